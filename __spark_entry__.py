@@ -34,41 +34,38 @@ FIRST_DAY = datetime(2024, 1, 2)
 
 # --- views ------------------------------------------------------------------
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+EVENTS = """event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
+    value double, props string"""
+LINEITEM = """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,
+    l_quantity double, l_extendedprice double, l_discount double, l_tax double,
+    l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"""
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return configure(spark).read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as decoded share messages; `arrival` is their order."""
-    user = F.col("user_id").cast("string")
-    event = F.col("event_id")
-    symbol = (
-        F.when(F.col("event_type") == "view", "ALPH")
-        .when(F.col("event_type") == "click", "KAS")
-        .when(F.col("event_type") == "purchase", "NEXA")
-        .when(F.col("event_type") == "signup", "DNX")
-        .otherwise("HYP")
-    )
-    wallet = (F.col("user_id") % 50).cast("string")
-    amount = F.col("value").cast("decimal(12,2)")
-    return _table(spark, sf_dir, "events").select(
-        event.alias("arrival"),
-        event.cast("string").alias("uuid"),
-        F.lit("share_found").alias("block_type"),
-        F.concat(F.lit("EU-"), (event % 3).cast("string")).alias("server_id"),
-        symbol.alias("coin_symbol"),
-        F.concat(F.lit("wallet"), wallet, F.lit(".rig"), user).alias("workerfull"),
-        F.unix_millis(F.col("ts").cast("timestamp")).alias("share_date_ms"),
-        F.col("user_id").alias("c_hrate"),
-        event.alias("a_hrate"),
-        amount.cast("string").alias("difficulty"),
-        (amount * 3).cast("string").alias("sharedif"),
-        F.md5(event.cast("string")).alias("nonce"),
-        F.concat(F.lit("10.0.0."), (event % 7).cast("string")).alias("miner_ip"),
-        (F.col("user_id") % 4 == 0).alias("is_solo"),
-        F.when(F.col("user_id") % 4 == 0, "SOLO").otherwise("PPLNS").alias("reward_method"),
-        (amount / 100).cast("decimal(12,4)").cast("string").alias("cost"),
-        F.lit(False).alias("malformed"),
+    return events(spark, sf_dir).selectExpr(
+        "event_id AS arrival",
+        "cast(event_id AS string) AS uuid",
+        "'share_found' AS block_type",
+        "concat('EU-', cast(event_id % 3 AS string)) AS server_id",
+        """CASE event_type WHEN 'view' THEN 'ALPH' WHEN 'click' THEN 'KAS'
+             WHEN 'purchase' THEN 'NEXA' WHEN 'signup' THEN 'DNX' ELSE 'HYP' END AS coin_symbol""",
+        "concat('wallet', cast(user_id % 50 AS string), '.rig', cast(user_id AS string)) AS workerfull",
+        "unix_millis(cast(ts AS timestamp)) AS share_date_ms",
+        "user_id AS c_hrate",
+        "event_id AS a_hrate",
+        "cast(cast(value AS decimal(12,2)) AS string) AS difficulty",
+        "cast(cast(value AS decimal(12,2)) * 3 AS string) AS sharedif",
+        "md5(cast(event_id AS string)) AS nonce",
+        "concat('10.0.0.', cast(event_id % 7 AS string)) AS miner_ip",
+        "user_id % 4 = 0 AS is_solo",
+        "CASE WHEN user_id % 4 = 0 THEN 'SOLO' ELSE 'PPLNS' END AS reward_method",
+        "cast(cast(cast(value AS decimal(12,2)) * 0.01 AS decimal(12,4)) AS string) AS cost",
+        "false AS malformed",
     )
 
 
@@ -98,20 +95,15 @@ MESSAGES_SQL = """
 
 def event_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as stored shares with ids."""
-    user = F.col("user_id")
-    coin = (
-        F.when(F.col("event_type") == "view", 4).when(F.col("event_type") == "click", 8)
-        .when(F.col("event_type") == "purchase", 9).when(F.col("event_type") == "signup", 10)
-        .otherwise(11)
-    )
-    return _table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("uuid"),
-        coin.cast("bigint").alias("coin_id"),
-        (user % 50 + 1).alias("wallet_id"),
-        (user + 1).alias("worker_id"),
-        F.col("ts").alias("share_date"),
-        F.when(user % 4 == 0, "SOLO").otherwise("PPLNS").alias("reward_method"),
-        F.col("value").cast("decimal(12,2)").cast("decimal(25,10)").alias("difficulty"),
+    return events(spark, sf_dir).selectExpr(
+        "cast(event_id AS string) AS uuid",
+        """cast(CASE event_type WHEN 'view' THEN 4 WHEN 'click' THEN 8
+             WHEN 'purchase' THEN 9 WHEN 'signup' THEN 10 ELSE 11 END AS bigint) AS coin_id""",
+        "user_id % 50 + 1 AS wallet_id",
+        "user_id + 1 AS worker_id",
+        "ts AS share_date",
+        "CASE WHEN user_id % 4 = 0 THEN 'SOLO' ELSE 'PPLNS' END AS reward_method",
+        "cast(cast(value AS decimal(12,2)) AS decimal(25,10)) AS difficulty",
     )
 
 
@@ -128,23 +120,20 @@ SHARES_SQL = """
 
 def item_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`lineitem` as typed shares of seven years; their uuids repeat."""
-    order = F.col("l_orderkey").cast("string")
-    line = F.col("l_linenumber").cast("string")
-    cents = "decimal(12,2)"
-    return _table(spark, sf_dir, "lineitem").select(
-        F.concat(order, F.lit("-"), line).alias("uuid"),
-        F.concat(F.lit("EU-"), line).alias("server_id"),
-        F.when(F.col("l_returnflag") == "A", 4).when(F.col("l_returnflag") == "N", 8)
-        .otherwise(9).cast("bigint").alias("coin_id"),
-        F.col("l_partkey").alias("worker_id"),
-        F.col("l_suppkey").alias("wallet_id"),
-        F.col("l_shipdate").cast("timestamp").alias("share_date"),
-        F.col("l_extendedprice").cast(cents).cast("decimal(25,10)").alias("difficulty"),
-        F.col("l_quantity").cast(cents).cast("decimal(25,10)").alias("sharedif"),
-        F.md5(order).alias("nonce"),
-        (F.col("l_linestatus") == "F").alias("is_solo"),
-        F.when(F.col("l_linestatus") == "F", "SOLO").otherwise("PPLNS").alias("reward_method"),
-        F.col("l_tax").cast(cents).cast("decimal(30,20)").alias("cost"),
+    items = configure(spark).read.schema(LINEITEM).parquet(f"{sf_dir}/lineitem.parquet")
+    return items.selectExpr(
+        "concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS uuid",
+        "concat('EU-', cast(l_linenumber AS string)) AS server_id",
+        "cast(CASE l_returnflag WHEN 'A' THEN 4 WHEN 'N' THEN 8 ELSE 9 END AS bigint) AS coin_id",
+        "l_partkey AS worker_id",
+        "l_suppkey AS wallet_id",
+        "cast(l_shipdate AS timestamp) AS share_date",
+        "cast(cast(l_extendedprice AS decimal(12,2)) AS decimal(25,10)) AS difficulty",
+        "cast(cast(l_quantity AS decimal(12,2)) AS decimal(25,10)) AS sharedif",
+        "md5(cast(l_orderkey AS string)) AS nonce",
+        "l_linestatus = 'F' AS is_solo",
+        "CASE WHEN l_linestatus = 'F' THEN 'SOLO' ELSE 'PPLNS' END AS reward_method",
+        "cast(cast(l_tax AS decimal(12,2)) AS decimal(30,20)) AS cost",
     )
 
 
@@ -182,16 +171,23 @@ def _plain(shares: DataFrame) -> DataFrame:
 
 
 def _known_wallets(found: DataFrame) -> DataFrame:
-    """Wallets of the first day, numbered from an empty table."""
-    early = lookup.coin_ids(found, seed_coins(found.sparkSession)).filter(_is_early())
-    empty = empty_table(found.sparkSession, WALLETS)
-    return members.get_or_create_wallets(early, empty, "arrival").created
+    """The wallets table as it is after the first day."""
+    spark = found.sparkSession
+    early = lookup.coin_ids(found, seed_coins(spark)).filter(_is_early())
+    made = members.get_or_create_wallets(early, empty_table(spark, WALLETS), "arrival")
+    path = _scratch(spark, "wallets")
+    sinks.append_dimension(made.created, path, 0)
+    return read_dimension(spark, path, WALLETS)
 
 
 def _known_workers(found: DataFrame) -> DataFrame:
-    early = lookup.coin_ids(found, seed_coins(found.sparkSession)).filter(_is_early())
-    empty = empty_table(found.sparkSession, WORKERS)
-    return members.get_or_create_workers(early, empty, "arrival").created
+    """The workers table as it is after the first day."""
+    spark = found.sparkSession
+    early = lookup.coin_ids(found, seed_coins(spark)).filter(_is_early())
+    made = members.get_or_create_workers(early, empty_table(spark, WORKERS), "arrival")
+    path = _scratch(spark, "workers")
+    sinks.append_dimension(made.created, path, 0)
+    return read_dimension(spark, path, WORKERS)
 
 
 def _is_early():
@@ -237,7 +233,7 @@ def headers_map_query(spark, sf_dir):
         header("user", F.col("user_id").cast("string")),
         header("trace", F.md5(F.col("event_id").cast("string"))),
     )
-    found = _table(spark, sf_dir, "events").select("event_id", headers_map(listed).alias("h"))
+    found = events(spark, sf_dir).select("event_id", headers_map(listed).alias("h"))
     return found.select(
         "event_id", F.col("h")["trace"].alias("trace"), F.col("h")["user"].alias("user_header"),
         F.size("h").alias("n_headers"),
@@ -283,7 +279,7 @@ def wallet_worker_split(spark, sf_dir):
         .when(F.col("event_type") == "signup", F.lit(""))
         .otherwise(F.concat(F.lit("w"), user, F.lit(".rig"), user))
     )
-    named = _table(spark, sf_dir, "events").select("event_id", full.alias("workerfull"))
+    named = events(spark, sf_dir).select("event_id", full.alias("workerfull"))
     return named.select(
         "event_id", "workerfull",
         wallet_name(F.col("workerfull")).alias("wallet"),

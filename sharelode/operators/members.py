@@ -29,11 +29,17 @@ class GetOrCreate(NamedTuple):
 
 def number_keys(fresh: DataFrame, key: list[str], after: int, name: str = "id",
                 digits: int = BUCKET_DIGITS) -> DataFrame:
-    """Give the rows of `fresh`, unique on `key`, the ids `after`+1, `after`+2, ..."""
+    """Give the rows of `fresh`, unique on `key`, the ids `after`+1, `after`+2, ...
+
+    `digits=0` numbers all rows in one task and is for sets of checked size.
+    """
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
-    hashed = fresh.withColumn("_hash", digest).withColumn(
-        "_bucket", F.substring("_hash", 1, digits)
-    )
+    hashed = fresh.withColumn("_hash", digest)
+    if digits == 0:
+        nth = F.row_number().over(Window.orderBy("_hash", *key))
+        return hashed.select(*fresh.columns, (F.lit(after).cast("bigint") + nth).alias(name))
+
+    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     # One row per bucket: at most 16 ** digits rows, whatever the data.
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -42,25 +48,22 @@ def number_keys(fresh: DataFrame, key: list[str], after: int, name: str = "id",
         .select("_bucket", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     )
     within = Window.partitionBy("_bucket").orderBy("_hash", *key)
-    return (
-        hashed.withColumn("_nth", F.row_number().over(within))
-        .join(F.broadcast(offsets), "_bucket")
-        .select(*fresh.columns, (F.lit(after) + F.col("_before") + F.col("_nth")).alias(name))
-    )
+    nth = F.lit(after).cast("bigint") + F.col("_before") + F.row_number().over(within)
+    return hashed.join(F.broadcast(offsets), "_bucket").select(*fresh.columns, nth.alias(name))
 
 
 def highest_id(dim: DataFrame) -> int:
     return dim.agg(F.max("id")).first()[0] or 0
 
 
-def find_known(keys: DataFrame, dim: DataFrame, key: list[str], name: str) -> DataFrame:
+def find_known(keys: DataFrame, dim: DataFrame, key: list[str], name: str, *,
+               small: bool) -> DataFrame:
     """Add the known id as `name` to `keys`, NULL for a key seen for the first time.
 
-    The dimension is only read past the keys of the batch: a small batch is sent
-    to it, and it is not shuffled.
+    The dimension is only read past the keys of the batch: when these are `small`
+    they are sent to it, and it is not shuffled.
     """
     probe = keys.select(*key).distinct()
-    small = fits_broadcast(probe)
     hits = dim.join(F.broadcast(probe) if small else probe, key, "left_semi")
     return attach(keys, one_per_key(hits, key, "id", name), key, [name],
                   small=True if small else None)
@@ -127,10 +130,13 @@ def new_worker_rows(fresh: DataFrame, now: Column) -> DataFrame:
 
 
 def _resolve(keys: DataFrame, dim: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    tagged = settle(find_known(keys, dim, key, "id"))
+    keys = settle(keys)
+    small = fits_broadcast(keys)
+    tagged = settle(find_known(keys, dim, key, "id", small=small))
     known = tagged.filter(F.col("id").isNotNull()).withColumn("is_new", F.lit(False))
     fresh = number_keys(
-        tagged.filter(F.col("id").isNull()).drop("id"), key, highest_id(dim)
+        tagged.filter(F.col("id").isNull()).drop("id"), key, highest_id(dim),
+        digits=0 if small else BUCKET_DIGITS,
     )
     ids = known.unionByName(fresh.withColumn("is_new", F.lit(True)))
     return ids.select(*key, "id", "is_new"), fresh

@@ -12,11 +12,10 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sharelode.functions.names import wallet_name
-from sharelode.operators.lookup import attach, coin_ids
+from sharelode.operators.lookup import attach, coin_ids, fits_broadcast
 from sharelode.operators.members import (
-    find_known, highest_id, new_wallet_rows, new_worker_rows, number_keys, wallet_keys,
-    worker_keys,
+    BUCKET_DIGITS, find_known, highest_id, new_wallet_rows, new_worker_rows, number_keys,
+    wallet_keys, worker_keys,
 )
 from sharelode.operators.messages import bad_amount, decode, enforce, typed_columns
 from sharelode.schemas import SHARE_COLUMNS, WALLET_KEY, WORKER_KEY
@@ -65,31 +64,38 @@ def normalize(found: DataFrame, coins: DataFrame, wallets: DataFrame, workers: D
         accepted = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 
     keys = settle(worker_keys(accepted, "arrival"))
-    tagged = find_known(keys, workers, WORKER_KEY, "worker_id")
-    tagged = settle(find_known(tagged, wallets, WALLET_KEY, "wallet_id"))
+    # Wallets, known ids and new ids are all at most as many as these keys.
+    small = fits_broadcast(keys)
+    digits = 0 if small else BUCKET_DIGITS
+    fits = True if small else None
+    tagged = find_known(keys, workers, WORKER_KEY, "worker_id", small=small)
+    tagged = settle(find_known(tagged, wallets, WALLET_KEY, "wallet_id", small=small))
 
     fresh_workers = number_keys(
         tagged.filter(F.col("worker_id").isNull()).drop("worker_id", "wallet_id"),
-        WORKER_KEY, highest_id(workers), "id",
+        WORKER_KEY, highest_id(workers), digits=digits,
     )
     fresh_wallets = number_keys(
         wallet_keys(tagged.filter(F.col("wallet_id").isNull())),
-        WALLET_KEY, highest_id(wallets), "id",
+        WALLET_KEY, highest_id(wallets), digits=digits,
     )
-    created = fresh_wallets.select(*WALLET_KEY, F.col("id").alias("new_wallet"))
-    workers_created = fresh_workers.select(*WORKER_KEY, F.col("id").alias("new_worker"))
-    per_wallet = tagged.groupBy(*WALLET_KEY).agg(F.count("*").alias("n"))
-    ids = attach(tagged, created, WALLET_KEY, ["new_wallet"], counts=per_wallet)
-    ids = ids.join(workers_created, WORKER_KEY, "left").select(
+    ids = attach(
+        tagged, fresh_wallets.withColumnRenamed("id", "new_wallet"), WALLET_KEY, ["new_wallet"],
+        small=fits,
+    )
+    ids = attach(
+        ids, fresh_workers.withColumnRenamed("id", "new_worker"), WORKER_KEY, ["new_worker"],
+        counts=tagged.select(*WORKER_KEY, F.lit(1).alias("n")), small=fits,
+    )
+    ids = settle(ids.select(
         *WORKER_KEY, "n",
         F.coalesce("worker_id", "new_worker").alias("worker_id"),
         F.coalesce("wallet_id", "new_wallet").alias("wallet_id"),
-    )
-    ids = settle(ids)
+    ))
 
     shares = attach(
-        accepted.drop("wallet_id", "worker_id"), ids, WORKER_KEY, ["worker_id", "wallet_id"],
-        counts=ids.select(*WORKER_KEY, "n"),
+        accepted, ids, WORKER_KEY, ["worker_id", "wallet_id"],
+        counts=ids.select(*WORKER_KEY, "n"), small=fits,
     )
     shares = shares.withColumns(typed_columns()).select(*SHARE_COLUMNS)
     stamp = F.current_timestamp() if now is None else now

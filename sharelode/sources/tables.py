@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BooleanType, StringType, StructType
 
 from sharelode.schemas import COIN_SEED, COINS, SHARE_COLUMNS, SHARES
 
@@ -20,21 +20,15 @@ def empty_table(spark: SparkSession, schema: str) -> DataFrame:
 
 def seed_coins(spark: SparkSession) -> DataFrame:
     """The coins a pool starts with; columns not seeded have their column defaults."""
-    rows = F.array(*[
-        F.struct(*[F.lit(v).alias(c) for v, c in zip(coin, ("id", "symbol", "name", "algo"))])
-        for coin in COIN_SEED
-    ])
-    seeded = spark.range(1).select(F.inline(rows))
+    rows = ", ".join(f"({i}, '{symbol}', '{name}', '{algo}')" for i, symbol, name, algo in COIN_SEED)
+    seeded = spark.sql(f"SELECT * FROM VALUES {rows} AS coins(id, symbol, name, algo)")
     columns = []
-    for field in StructType.fromDDL(COINS):
-        if field.name in seeded.columns:
-            value = F.col(field.name)
-        elif field.dataType == BooleanType():
-            value = F.lit(True)
-        else:
-            value = F.lit("" if field.dataType == StringType() else 0)
-        columns.append(value.cast(field.dataType).alias(field.name))
-    return seeded.select(*columns)
+    for declared in re.split(r",\s+", COINS.strip()):
+        name, kind = declared.split()
+        default = {"string": "''", "boolean": "true"}.get(kind, "0")
+        value = name if name in seeded.columns else default
+        columns.append(f"cast({value} AS {kind}) AS {name}")
+    return seeded.selectExpr(*columns)
 
 
 def read_dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
