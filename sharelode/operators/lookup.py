@@ -16,8 +16,9 @@ BROADCAST_ROWS = 100_000
 HEAVY_KEYS = 10_000
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     """Whether `df` has at most `rows` rows; counts no further than that."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return df.limit(rows + 1).count() <= rows
 
 
@@ -34,7 +35,6 @@ def attach(
     *,
     counts: DataFrame | None = None,
     small: bool | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
     heavy_keys: int = HEAVY_KEYS,
 ) -> DataFrame:
     """Left-join `values` of `dim`, which is unique on `on`, to `facts`.
@@ -48,7 +48,7 @@ def attach(
     """
     dim = dim.select(*on, *values)
     if small is None:
-        small = fits_broadcast(dim, broadcast_rows)
+        small = fits_broadcast(dim)
     if small:
         return facts.join(F.broadcast(dim), on, "left").select(*facts.columns, *values)
 

@@ -16,7 +16,8 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     """Replace the JSON text in `value` by one column per message field.
 
     A missing or null field becomes its zero value. `malformed` marks text that
-    is not a message. Other columns of `messages` are kept.
+    is not a message, and `malformed_text` holds it. Other columns of `messages`
+    are kept.
     """
     parsed = F.from_json(
         F.col(value).cast("string"),
@@ -30,7 +31,8 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     ]
     malformed = F.col("_m").isNull() | F.col("_m")[_CORRUPT].isNotNull()
     return messages.select(*kept, parsed.alias("_m")).select(
-        *kept, *fields, malformed.alias("malformed")
+        *kept, *fields, malformed.alias("malformed"),
+        F.col("_m")[_CORRUPT].alias("malformed_text"),
     )
 
 
