@@ -469,6 +469,18 @@ def _stored_items(spark, sf_dir) -> str:
     return path
 
 
+def batch_insert(spark, sf_dir):
+    """All messages as one batch of typed shares, appended and counted per folder."""
+    path = _scratch(spark, "shares")
+    typed = messages.type_shares(messages.project_share(event_messages(spark, sf_dir)))
+    sinks.append_shares(typed, path, 7)
+    stored = read_shares(spark, path, keep_layout=True)
+    return stored.groupBy("share_month", "ingest_batch").agg(
+        F.count("*").alias("cnt"), F.sum("difficulty").cast("double").alias("sumdif"),
+        F.max(to_epoch_ms(F.col("share_date"))).alias("last_ms"),
+    )
+
+
 def share_roundtrip(spark, sf_dir):
     """All shares written by month, twice under one batch number, and read back."""
     path = _stored_items(spark, sf_dir)
@@ -584,6 +596,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "coin_hashrate": coin_hashrate,
         "wallet_hashrate": wallet_hashrate,
         "worker_hashrate": worker_hashrate,
+        "batch_insert": batch_insert,
         "share_roundtrip": share_roundtrip,
         "share_month_counts": share_month_counts,
         "stored_range_scan": stored_range_scan,
@@ -717,6 +730,11 @@ def oracle_sql() -> dict[str, str]:
         "coin_hashrate": _hashrate_sql("coin_id = 4", 4294967296.0),
         "wallet_hashrate": _hashrate_sql("wallet_id = 8", 65536.0),
         "worker_hashrate": _hashrate_sql("worker_id = 8", 65536.0),
+        "batch_insert": f"""
+          SELECT cast(year(share_date) * 100 + month(share_date) AS integer) AS share_month,
+            7::bigint AS ingest_batch, count(*) AS cnt,
+            cast(cast(sum(cast(difficulty AS decimal(25,10))) AS varchar) AS double) AS sumdif,
+            max(share_date_ms) AS last_ms FROM ({MESSAGES_SQL}) GROUP BY 1""",
         "share_roundtrip": f"""
           SELECT uuid, server_id, coin_id, worker_id, wallet_id, share_date, nonce, is_solo,
             reward_method, {items_text} FROM ({ITEMS_SQL})""",

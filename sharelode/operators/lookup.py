@@ -11,9 +11,8 @@ from sharelode.session import settle
 # A lookup row is a few names of at most 255 characters and a few integers, so
 # this many rows stay well under 100 MB on every executor.
 BROADCAST_ROWS = 100_000
-# A key is heavy when it holds more than 1/HEAVY_KEYS of all rows, so there are
-# fewer than HEAVY_KEYS of them whatever the data.
-HEAVY_KEYS = 10_000
+# Rows of one key that one task should join; a share is about 200 bytes.
+ROWS_PER_TASK = 1_000_000
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
@@ -27,6 +26,18 @@ def one_per_key(dim: DataFrame, on: list[str], id_column: str, name: str) -> Dat
     return dim.groupBy(*on).agg(F.min(id_column).alias(name))
 
 
+def heavy_keys(counts: DataFrame, on: list[str]) -> DataFrame:
+    """Keys with too many rows for one task, and over how many `_salts` to spread them.
+
+    A key listed here holds more than 1/BROADCAST_ROWS of all rows, so whatever
+    the data the list is short enough to broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(ROWS_PER_TASK, total / BROADCAST_ROWS)
+    listed = counts.filter(F.col("n") > F.lit(limit)).dropna(subset=on)
+    return listed.select(*on, F.ceil(F.col("n") / F.lit(ROWS_PER_TASK)).alias("_salts"))
+
+
 def attach(
     facts: DataFrame,
     dim: DataFrame,
@@ -35,39 +46,38 @@ def attach(
     *,
     counts: DataFrame | None = None,
     small: bool | None = None,
-    heavy_keys: int = HEAVY_KEYS,
 ) -> DataFrame:
     """Left-join `values` of `dim`, which is unique on `on`, to `facts`.
 
     A `dim` of checked size is broadcast and `facts` are not shuffled. Beyond
-    that size, heavy keys (and NULL keys, which match nothing) would each put
-    their rows into one task, so those rows are resolved against the heavy part
-    of `dim`, which is small by definition, and only the others are shuffled.
+    that size both sides are shuffled, and the rows of a heavy key, which would
+    all go to one task, are salted: its row in `dim` is repeated once per salt,
+    and its facts take the salt of the task that read them. NULL keys match
+    nothing and are spread in the same way.
 
     `counts` (`on` + `n`) may be given when rows per key are already known.
     """
     dim = dim.select(*on, *values)
+    columns = [*facts.columns, *values]
     if small is None:
         small = fits_broadcast(dim)
     if small:
-        return facts.join(F.broadcast(dim), on, "left").select(*facts.columns, *values)
+        return facts.join(F.broadcast(dim), on, "left").select(*columns)
 
     if counts is None:
         counts = settle(facts.groupBy(*on).agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.filter(F.col("n") * heavy_keys > total).select(*on)
-    heavy = heavy.dropna(subset=on)
-    resolved = settle(
-        heavy.join(F.broadcast(dim.join(F.broadcast(heavy), on)), on, "left")
+    heavy = F.broadcast(settle(heavy_keys(counts, on)))
+    salts = F.coalesce(F.col("_salts"), F.lit(1).cast("bigint"))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
+    # The number of a task is the same when the task is run again.
+    task = F.spark_partition_id().cast("bigint")
+    salted = facts.join(heavy, on, "left").withColumn(
+        "_salt", F.when(whole, F.pmod(task, salts)).otherwise(task)
     )
-
-    whole_key = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
-    marked = facts.join(F.broadcast(resolved.withColumn("_heavy", F.lit(True))), on, "left")
-    near = marked.filter(F.col("_heavy").isNotNull() | ~whole_key)
-    far = facts.filter(whole_key).join(F.broadcast(resolved.select(*on)), on, "left_anti")
-    far = far.join(dim, on, "left")
-    columns = [*facts.columns, *values]
-    return near.select(*columns).unionByName(far.select(*columns))
+    repeated = dim.join(heavy, on, "left").select(
+        *on, *values, F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1)).alias("_salt")
+    )
+    return salted.join(repeated, [*on, "_salt"], "left").select(*columns)
 
 
 def coin_ids(facts: DataFrame, coins: DataFrame, symbol: str = "coin_symbol") -> DataFrame:

@@ -20,6 +20,13 @@ RUNTIME = {
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
+# Settings of a new session or of spark-submit.
+STATIC = {
+    # What `settle` stores is removed once nothing refers to it.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.checkpoint.compress": "true",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME.items():

@@ -31,6 +31,8 @@ def create_tables(spark: SparkSession, shares: str, wallets: str, workers: str)
 
 def append_dimension(rows: DataFrame, path: str, batch_id: int) -> None:
     """Append new wallets or workers. No rows leave the folder of the batch as it is."""
+    if rows.isEmpty():
+        return
     _replace_batch(rows.withColumn(BATCH, F.lit(batch_id).cast("bigint"))).partitionBy(
         BATCH
     ).parquet(path)

@@ -31,9 +31,11 @@ def seed_coins(spark: SparkSession) -> DataFrame:
     return seeded.selectExpr(*columns)
 
 
-def read_dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_dimension(spark: SparkSession, path: str, schema: str, *,
+                   keep_batch: bool = False) -> DataFrame:
     """A dimension written by this package, without its batch column."""
-    return spark.read.schema(f"{schema}, {BATCH} bigint").parquet(path).drop(BATCH)
+    stored = spark.read.schema(f"{schema}, {BATCH} bigint").parquet(path)
+    return stored if keep_batch else stored.drop(BATCH)
 
 
 def jdbc_options(url: str, table: str, highest_id: int, tasks: int) -> dict[str, str]:

@@ -11,14 +11,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sharelode.plans.ingest import FAIL, QUARANTINE, normalize_messages
-from sharelode.schemas import WALLETS, WORKERS
+from sharelode.schemas import WALLET_KEY, WALLETS, WORKER_KEY, WORKERS
 from sharelode.session import configure
 from sharelode.sinks.tables import append_dimension, append_shares, create_tables
-from sharelode.sources.tables import read_dimension
+from sharelode.sources.tables import BATCH, read_dimension
 
 
 @dataclass(frozen=True)
@@ -48,14 +48,49 @@ class Tables:
         return self
 
 
+class KnownIds:
+    """The ids of a dimension, kept by the executors from batch to batch.
+
+    Rows up to some batch are kept, and only the folders of later batches are
+    read each time. After `REFRESH` batches the kept rows are taken anew.
+    """
+
+    REFRESH = 100
+
+    def __init__(self, path: str, schema: str, key: list[str]) -> None:
+        self.path, self.schema, self.columns = path, schema, [*key, "id"]
+        self.kept: DataFrame | None = None
+        self.through, self.uses = -1, 0
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        stored = read_dimension(spark, self.path, self.schema, keep_batch=True)
+        if self.kept is not None and self.uses >= self.REFRESH:
+            self.close()
+        if self.kept is None:
+            self.through = stored.agg(F.max(BATCH)).first()[0]
+            if self.through is None:
+                return stored.select(*self.columns)
+            self.kept = stored.filter(F.col(BATCH) <= self.through).select(*self.columns)
+            self.kept.persist(StorageLevel.MEMORY_AND_DISK)
+        self.uses += 1
+        later = stored.filter(F.col(BATCH) > self.through).select(*self.columns)
+        return self.kept.unionByName(later)
+
+    def close(self) -> None:
+        if self.kept is not None:
+            self.kept.unpersist()
+        self.kept, self.uses = None, 0
+
+
 def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables, coins: DataFrame,
-                 on_error: str = FAIL) -> None:
+                 on_error: str = FAIL, *, wallets: KnownIds | None = None,
+                 workers: KnownIds | None = None) -> None:
     """Write one bounded batch of messages; also the way to load history in bulk."""
     spark = configure(messages.sparkSession)
     result = normalize_messages(
         messages, coins,
-        read_dimension(spark, tables.wallets, WALLETS),
-        read_dimension(spark, tables.workers, WORKERS),
+        wallets.read(spark) if wallets else read_dimension(spark, tables.wallets, WALLETS),
+        workers.read(spark) if workers else read_dimension(spark, tables.workers, WORKERS),
         on_error=on_error,
     )
     append_dimension(result.new_wallets, tables.wallets, batch_id)
@@ -72,11 +107,14 @@ def start_ingest(messages: DataFrame, tables: Tables, coins: DataFrame, checkpoi
     `checkpoint` holds the offsets; a new folder starts at the source's starting
     offsets again. The default trigger looks for messages every second.
     """
+    wallets = KnownIds(tables.wallets, WALLETS, WALLET_KEY)
+    workers = KnownIds(tables.workers, WORKERS, WORKER_KEY)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         # The batch is read twice; what an executor loses is read again from the source.
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            ingest_batch(batch, batch_id, tables, coins, on_error)
+            ingest_batch(batch, batch_id, tables, coins, on_error, wallets=wallets, workers=workers)
         finally:
             batch.unpersist()
 

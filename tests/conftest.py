@@ -1,13 +1,16 @@
 import pytest
 from pyspark.sql import SparkSession
 
-from sharelode.session import configure
+from sharelode.session import STATIC, configure
 
 
 @pytest.fixture(scope="session")
 def spark():
+    builder = SparkSession.builder.master("local[8]")
+    for key, value in STATIC.items():
+        builder = builder.config(key, value)
     session = (
-        SparkSession.builder.master("local[8]")
+        builder
         .appName("sharelode-tests")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")

@@ -76,7 +76,8 @@ def test_large_batches_give_the_same_result(spark, monkeypatch):
         for i in range(600)
     ]
     small = Counter(run(spark, texts).shares.collect())
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(lookup, "ROWS_PER_TASK", 10)
     large = run(spark, texts)
     assert Counter(large.shares.collect()) == small
     assert large.new_workers.count() == len({(r.worker_id) for r in small})

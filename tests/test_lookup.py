@@ -25,30 +25,42 @@ def dimension(spark):
     return both.withColumn("wallet_id", F.abs(F.xxhash64("name", "coin_id")))
 
 
-def test_split_join_equals_broadcast_join(spark):
-    facts, dim, on = skewed(spark), dimension(spark), ["name", "coin_id"]
-    plain = lookup.attach(facts, dim, on, ["wallet_id"], small=True)
-    split = lookup.attach(facts, dim, on, ["wallet_id"], small=False, heavy_keys=20)
-    assert plain.columns == split.columns == ["id", "name", "coin_id", "wallet_id"]
-    assert Counter(plain.collect()) == Counter(split.collect())
-    assert split.count() == 20_000
+@pytest.fixture
+def few_rows_per_task(monkeypatch):
+    monkeypatch.setattr(lookup, "ROWS_PER_TASK", 300)
 
 
-def test_counts_may_be_given(spark):
+@pytest.mark.parametrize("given", [False, True])
+def test_salted_join_equals_broadcast_join(spark, few_rows_per_task, given):
     facts, dim, on = skewed(spark), dimension(spark), ["name", "coin_id"]
-    counts = facts.groupBy(*on).agg(F.count("*").alias("n"))
+    counts = facts.groupBy(*on).agg(F.count("*").alias("n")) if given else None
     plain = lookup.attach(facts, dim, on, ["wallet_id"], small=True)
-    split = lookup.attach(facts, dim, on, ["wallet_id"], counts=counts, small=False, heavy_keys=20)
-    assert Counter(plain.collect()) == Counter(split.collect())
-
-
-def test_heavy_rows_are_not_shuffled(spark):
-    """Only the part without heavy keys goes through the shuffled join."""
-    facts, dim = skewed(spark), dimension(spark)
-    split = lookup.attach(facts, dim, ["name", "coin_id"], ["wallet_id"], small=False,
-                          heavy_keys=20)
-    plan = split._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftAnti" in plan and plan.count("strategy=broadcast") >= 2
+    salted = lookup.attach(facts, dim, on, ["wallet_id"], counts=counts, small=False)
+    assert plain.columns == salted.columns == ["id", "name", "coin_id", "wallet_id"]
+    assert Counter(plain.collect()) == Counter(salted.collect())
+    assert salted.count() == 20_000
+
+
+def test_heavy_keys(spark, few_rows_per_task):
+    facts, on = skewed(spark), ["name", "coin_id"]
+    heavy = lookup.heavy_keys(facts.groupBy(*on).agg(F.count("*").alias("n")), on)
+    found = {(r.name, r.coin_id): r._salts for r in heavy.collect()}
+    assert found[("hot", 0)] == found[("hot", 1)] == 12
+    assert not [name for name, _ in found if name is None or name.startswith("k")]
+
+
+def test_no_task_joins_all_rows_of_a_heavy_key(spark, few_rows_per_task):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        facts = skewed(spark).repartition(16, "id")
+        joined = lookup.attach(facts, dimension(spark), ["name", "coin_id"], ["wallet_id"], small=False)
+        sizes = joined.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert sum(r["count"] for r in sizes) == 20_000
+    assert max(r["count"] for r in sizes) < 20_000 / 3
 
 
 def test_size_check_decides(spark, monkeypatch):

@@ -134,3 +134,21 @@ def test_empty_input(spark, tmp_path):
     run(spark, f"{tmp_path}/in", tables, f"{tmp_path}/checkpoint")
     ingest_batch(frame(spark, []), 0, tables, seed_coins(spark))
     assert read_shares(spark, tables.shares).count() == 0
+
+
+def test_known_ids_are_kept_between_batches(spark, tmp_path, monkeypatch):
+    tables = Tables(f"{tmp_path}/pool").create(spark)
+    ids = job.KnownIds(tables.workers, WORKERS, ["workerfull", "coin_id", "reward_method"])
+    assert ids.read(spark).count() == 0 and ids.kept is None
+    for i in range(3):
+        ingest_batch(frame(spark, batch()[i * 5:i * 5 + 5]), i, tables, seed_coins(spark))
+        found = ids.read(spark)
+        assert found.count() == 5 * (i + 1)
+        assert sorted(r.id for r in found.collect()) == list(range(1, 5 * (i + 1) + 1))
+    assert ids.through == 0 and ids.uses == 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan and "ingest_batch#" in plan
+    monkeypatch.setattr(job.KnownIds, "REFRESH", 3)
+    assert ids.read(spark).count() == 15 and ids.through == 2
+    ids.close()
+    assert ids.kept is None
