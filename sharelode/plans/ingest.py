@@ -33,8 +33,15 @@ class Normalized(NamedTuple):
 
 
 def judge(found: DataFrame, coins: DataFrame) -> DataFrame:
-    """Add `coin_id` and, for a share that cannot be stored, a `reject_reason`."""
-    with_coin = coin_ids(found, coins)
+    """Add `coin_id` and, for a share that cannot be stored, a `reject_reason`.
+
+    An `arrival` column, if there is one with values, orders shares; else their
+    own time does.
+    """
+    order = F.col("share_date_ms")
+    if "arrival" in found.columns:
+        order = F.coalesce(F.col("arrival"), order)
+    with_coin = coin_ids(found.withColumn("arrival", order), coins)
     reason = (
         F.when(F.col("malformed"), "malformed message")
         .when(F.col("coin_id").isNull(), "unknown coin")
@@ -48,15 +55,16 @@ def normalize(found: DataFrame, coins: DataFrame, wallets: DataFrame, workers: D
     """Decoded messages to typed shares, creating ids on first sight.
 
     With `on_error="fail"` a share that cannot be stored fails the job; with
-    "quarantine" it is handed back in `rejected`. An `arrival` column, if there
-    is one with values, orders shares; else their own time does.
+    "quarantine" it is handed back in `rejected`.
     """
+    return assign_ids(judge(found, coins), wallets, workers, on_error=on_error, now=now)
+
+
+def assign_ids(judged: DataFrame, wallets: DataFrame, workers: DataFrame, *,
+               on_error: str = FAIL, now: Column | None = None) -> Normalized:
+    """`normalize` for messages that `judge` has seen, which may be persisted."""
     if on_error not in (FAIL, QUARANTINE):
         raise ValueError(f"on_error must be {FAIL!r} or {QUARANTINE!r}: {on_error!r}")
-    order = F.col("share_date_ms")
-    if "arrival" in found.columns:
-        order = F.coalesce(F.col("arrival"), order)
-    judged = judge(found.withColumn("arrival", order), coins)
     rejected = judged.filter(F.col("reject_reason").isNotNull())
     if on_error == FAIL:
         accepted = enforce(judged)
@@ -80,18 +88,22 @@ def normalize(found: DataFrame, coins: DataFrame, wallets: DataFrame, workers: D
         WALLET_KEY, highest_id(wallets), digits=digits,
     )
     ids = attach(
-        tagged, fresh_wallets.withColumnRenamed("id", "new_wallet"), WALLET_KEY, ["new_wallet"],
-        small=fits,
+        tagged,
+        fresh_wallets.withColumnsRenamed({"id": "new_wallet", "is_solo": "wallet_is_solo"}),
+        WALLET_KEY, ["new_wallet", "wallet_is_solo"], small=fits,
     )
     ids = attach(
         ids, fresh_workers.withColumnRenamed("id", "new_worker"), WORKER_KEY, ["new_worker"],
         counts=tagged.select(*WORKER_KEY, F.lit(1).alias("n")), small=fits,
     )
-    ids = settle(ids.select(
-        *WORKER_KEY, "n",
-        F.coalesce("worker_id", "new_worker").alias("worker_id"),
-        F.coalesce("wallet_id", "new_wallet").alias("wallet_id"),
-    ))
+    ids = settle(ids.withColumns({
+        "worker_id": F.coalesce("worker_id", "new_worker"),
+        "wallet_id": F.coalesce("wallet_id", "new_wallet"),
+    }))
+    new_workers = ids.filter(F.col("new_worker").isNotNull()).withColumnRenamed("new_worker", "id")
+    new_wallets = ids.filter(F.col("new_wallet").isNotNull()).groupBy(*WALLET_KEY).agg(
+        F.min("new_wallet").alias("id"), F.min("wallet_is_solo").alias("is_solo")
+    )
 
     shares = attach(
         accepted, ids, WORKER_KEY, ["worker_id", "wallet_id"],
@@ -100,7 +112,7 @@ def normalize(found: DataFrame, coins: DataFrame, wallets: DataFrame, workers: D
     shares = shares.withColumns(typed_columns()).select(*SHARE_COLUMNS)
     stamp = F.current_timestamp() if now is None else now
     return Normalized(
-        shares, new_wallet_rows(fresh_wallets), new_worker_rows(fresh_workers, stamp), rejected
+        shares, new_wallet_rows(new_wallets), new_worker_rows(new_workers, stamp), rejected
     )
 
 

@@ -14,7 +14,7 @@ RUNTIME = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Size of a written file before compression, and of a piece of a skewed
     # partition. Other shuffles keep their parallelism first.
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     # Times stored as INT96 carry no statistics, so a filter on share_date
     # could not skip row groups.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sharelode.schemas import SHARE_COLUMNS, SHARES
 from sharelode.session import configure
-from sharelode.sinks.tables import bloom_options, by_month
+from sharelode.sinks.tables import file_options, by_month
 from sharelode.sources.tables import (
     BATCH, MONTH, THROUGH, empty_table, month_of, months_between, read_shares,
 )
@@ -78,7 +78,7 @@ def compact_month(spark: SparkSession, live: str, archive: str, archived: str,
         rows = rows.unionByName(old.select(*SHARE_COLUMNS))
     rows = rows.withColumn(THROUGH, F.lit(through_batch).cast("bigint"))
     writer = by_month(rows, THROUGH).write.mode("overwrite")
-    writer = bloom_options(writer.option("partitionOverwriteMode", "dynamic"))
+    writer = file_options(writer.option("partitionOverwriteMode", "dynamic"))
     writer.partitionBy(MONTH, THROUGH).parquet(archive)
     entry = spark.range(1).select(
         F.lit(month).cast("int").alias(MONTH), F.lit(through_batch).cast("bigint").alias(THROUGH)

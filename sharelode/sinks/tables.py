@@ -38,7 +38,8 @@ def append_dimension(rows: DataFrame, path: str, batch_id: int) -> None:
     ).parquet(path)
 
 
-def bloom_options(writer: DataFrameWriter) -> DataFrameWriter:
+def file_options(writer: DataFrameWriter) -> DataFrameWriter:
+    writer = writer.option("compression", "zstd")
     writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     for column in BLOOM_COLUMNS:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
@@ -61,5 +62,5 @@ def append_shares(shares: DataFrame, path: str, batch_id: int) -> None:
     """Append typed shares to the month folders of the table."""
     configure(shares.sparkSession)
     rows = shares.select(*SHARE_COLUMNS).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-    writer = bloom_options(_replace_batch(by_month(rows, BATCH)))
+    writer = file_options(_replace_batch(by_month(rows, BATCH)))
     writer.partitionBy(MONTH, BATCH).parquet(path)

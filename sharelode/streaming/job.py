@@ -14,7 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sharelode.plans.ingest import FAIL, QUARANTINE, normalize_messages
+from sharelode.operators.messages import decode
+from sharelode.plans.ingest import FAIL, QUARANTINE, assign_ids, judge
 from sharelode.schemas import WALLET_KEY, WALLETS, WORKER_KEY, WORKERS
 from sharelode.session import configure
 from sharelode.sinks.tables import append_dimension, append_shares, create_tables
@@ -83,21 +84,32 @@ class KnownIds:
 
 
 def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables, coins: DataFrame,
-                 on_error: str = FAIL, *, wallets: KnownIds | None = None,
+                 on_error: str = FAIL, *, keep: bool = False, wallets: KnownIds | None = None,
                  workers: KnownIds | None = None) -> None:
-    """Write one bounded batch of messages; also the way to load history in bulk."""
+    """Write one bounded batch of messages; also the way to load history in bulk.
+
+    The decoded batch is used twice. `keep` holds it in the executors for that;
+    what they lose, and all of a batch too large to keep, is decoded again.
+    """
     spark = configure(messages.sparkSession)
-    result = normalize_messages(
-        messages, coins,
-        wallets.read(spark) if wallets else read_dimension(spark, tables.wallets, WALLETS),
-        workers.read(spark) if workers else read_dimension(spark, tables.workers, WORKERS),
-        on_error=on_error,
-    )
-    append_dimension(result.new_wallets, tables.wallets, batch_id)
-    append_dimension(result.new_workers, tables.workers, batch_id)
-    append_shares(result.shares, tables.shares, batch_id)
-    if on_error == QUARANTINE:
-        append_dimension(result.rejected.drop("headers"), tables.rejected, batch_id)
+    judged = judge(decode(messages), coins)
+    if keep:
+        judged.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        result = assign_ids(
+            judged,
+            wallets.read(spark) if wallets else read_dimension(spark, tables.wallets, WALLETS),
+            workers.read(spark) if workers else read_dimension(spark, tables.workers, WORKERS),
+            on_error=on_error,
+        )
+        append_dimension(result.new_wallets, tables.wallets, batch_id)
+        append_dimension(result.new_workers, tables.workers, batch_id)
+        append_shares(result.shares, tables.shares, batch_id)
+        if on_error == QUARANTINE:
+            append_dimension(result.rejected.drop("headers"), tables.rejected, batch_id)
+    finally:
+        if keep:
+            judged.unpersist()
 
 
 def start_ingest(messages: DataFrame, tables: Tables, coins: DataFrame, checkpoint: str, *,
@@ -111,12 +123,8 @@ def start_ingest(messages: DataFrame, tables: Tables, coins: DataFrame, checkpoi
     workers = KnownIds(tables.workers, WORKERS, WORKER_KEY)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # The batch is read twice; what an executor loses is read again from the source.
-        batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            ingest_batch(batch, batch_id, tables, coins, on_error, wallets=wallets, workers=workers)
-        finally:
-            batch.unpersist()
+        ingest_batch(batch, batch_id, tables, coins, on_error, keep=True, wallets=wallets,
+                     workers=workers)
 
     return (
         messages.writeStream.foreachBatch(write)

@@ -149,16 +149,16 @@ def test_interrupted_compaction_changes_no_result(spark, tmp_path, monkeypatch):
     live, archive, archived = (f"{tmp_path}/{n}" for n in ("live", "archive", "archived"))
     append_shares(months(spark), live, 0)
     compaction.create_archive(spark, archive, archived)
-    write = compaction.bloom_options
+    write = compaction.file_options
 
     def stop(writer):
         write(writer).partitionBy("share_month", "through_batch").parquet(archive)
         raise RuntimeError("lost")
 
-    monkeypatch.setattr(compaction, "bloom_options", stop)
+    monkeypatch.setattr(compaction, "file_options", stop)
     with pytest.raises(RuntimeError):
         compaction.compact_month(spark, live, archive, archived, 202401, 0)
     assert compaction.read_compacted(spark, live, archive, archived).count() == 60
-    monkeypatch.setattr(compaction, "bloom_options", write)
+    monkeypatch.setattr(compaction, "file_options", write)
     compaction.compact_month(spark, live, archive, archived, 202401, 0)
     assert compaction.read_compacted(spark, live, archive, archived).count() == 60
