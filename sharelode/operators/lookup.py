@@ -80,11 +80,13 @@ def attach(
     return salted.join(repeated, [*on, "_salt"], "left").select(*columns)
 
 
-def coin_ids(facts: DataFrame, coins: DataFrame, symbol: str = "coin_symbol") -> DataFrame:
+def coin_ids(facts: DataFrame, coins: DataFrame, symbol: str = "coin_symbol", *,
+             small: bool | None = None) -> DataFrame:
     """Add `coin_id` by exact symbol; NULL for a symbol that is not listed."""
     named = coins.select(F.col("symbol").alias(symbol), "id")
-    listed = one_per_key(named, [symbol], "id", "coin_id")
-    return attach(facts, listed, [symbol], ["coin_id"], small=fits_broadcast(named))
+    small = fits_broadcast(named) if small is None else small
+    return attach(facts, one_per_key(named, [symbol], "id", "coin_id"), [symbol], ["coin_id"],
+                  small=small)
 
 
 def known_ids(facts: DataFrame, dim: DataFrame, key: list[str], name: str) -> DataFrame:

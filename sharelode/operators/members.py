@@ -9,6 +9,7 @@ number of buckets does not change the ids.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -52,8 +53,12 @@ def number_keys(fresh: DataFrame, key: list[str], after: int, name: str = "id",
     return hashed.join(F.broadcast(offsets), "_bucket").select(*fresh.columns, nth.alias(name))
 
 
-def highest_id(dim: DataFrame) -> int:
-    return dim.agg(F.max("id")).first()[0] or 0
+def highest_ids(*dims: DataFrame) -> list[int]:
+    """The highest id of each dimension, 0 for an empty one, in one job."""
+    tops = [d.agg(F.max("id").alias("top")).select(F.lit(i).alias("i"), "top")
+            for i, d in enumerate(dims)]
+    found = {row.i: row.top for row in reduce(DataFrame.unionByName, tops).collect()}
+    return [found[i] or 0 for i in range(len(dims))]
 
 
 def find_known(keys: DataFrame, dim: DataFrame, key: list[str], name: str, *,
@@ -135,7 +140,7 @@ def _resolve(keys: DataFrame, dim: DataFrame, key: list[str]) -> tuple[DataFrame
     tagged = settle(find_known(keys, dim, key, "id", small=small))
     known = tagged.filter(F.col("id").isNotNull()).withColumn("is_new", F.lit(False))
     fresh = number_keys(
-        tagged.filter(F.col("id").isNull()).drop("id"), key, highest_id(dim),
+        tagged.filter(F.col("id").isNull()).drop("id"), key, highest_ids(dim)[0],
         digits=0 if small else BUCKET_DIGITS,
     )
     ids = known.unionByName(fresh.withColumn("is_new", F.lit(True)))

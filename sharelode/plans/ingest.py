@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sharelode.operators.lookup import attach, coin_ids, fits_broadcast
 from sharelode.operators.members import (
-    BUCKET_DIGITS, find_known, highest_id, new_wallet_rows, new_worker_rows, number_keys,
+    BUCKET_DIGITS, find_known, highest_ids, new_wallet_rows, new_worker_rows, number_keys,
     wallet_keys, worker_keys,
 )
 from sharelode.operators.messages import bad_amount, decode, enforce, typed_columns
@@ -32,16 +32,16 @@ class Normalized(NamedTuple):
     rejected: DataFrame     # messages left out, with `reject_reason`
 
 
-def judge(found: DataFrame, coins: DataFrame) -> DataFrame:
+def judge(found: DataFrame, coins: DataFrame, *, small: bool | None = None) -> DataFrame:
     """Add `coin_id` and, for a share that cannot be stored, a `reject_reason`.
 
     An `arrival` column, if there is one with values, orders shares; else their
-    own time does.
+    own time does. `small` says whether the coins fit a broadcast, when known.
     """
     order = F.col("share_date_ms")
     if "arrival" in found.columns:
         order = F.coalesce(F.col("arrival"), order)
-    with_coin = coin_ids(found.withColumn("arrival", order), coins)
+    with_coin = coin_ids(found.withColumn("arrival", order), coins, small=small)
     reason = (
         F.when(F.col("malformed"), "malformed message")
         .when(F.col("coin_id").isNull(), "unknown coin")
@@ -79,13 +79,14 @@ def assign_ids(judged: DataFrame, wallets: DataFrame, workers: DataFrame, *,
     tagged = find_known(keys, workers, WORKER_KEY, "worker_id", small=small)
     tagged = settle(find_known(tagged, wallets, WALLET_KEY, "wallet_id", small=small))
 
+    top_wallet, top_worker = highest_ids(wallets, workers)
     fresh_workers = number_keys(
         tagged.filter(F.col("worker_id").isNull()).drop("worker_id", "wallet_id"),
-        WORKER_KEY, highest_id(workers), digits=digits,
+        WORKER_KEY, top_worker, digits=digits,
     )
     fresh_wallets = number_keys(
         wallet_keys(tagged.filter(F.col("wallet_id").isNull())),
-        WALLET_KEY, highest_id(wallets), digits=digits,
+        WALLET_KEY, top_wallet, digits=digits,
     )
     ids = attach(
         tagged,

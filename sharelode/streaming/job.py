@@ -14,6 +14,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sharelode.operators.lookup import fits_broadcast
 from sharelode.operators.messages import decode
 from sharelode.plans.ingest import FAIL, QUARANTINE, assign_ids, judge
 from sharelode.schemas import WALLET_KEY, WALLETS, WORKER_KEY, WORKERS
@@ -84,15 +85,15 @@ class KnownIds:
 
 
 def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables, coins: DataFrame,
-                 on_error: str = FAIL, *, keep: bool = False, wallets: KnownIds | None = None,
-                 workers: KnownIds | None = None) -> None:
+                 on_error: str = FAIL, *, keep: bool = False, small_coins: bool | None = None,
+                 wallets: KnownIds | None = None, workers: KnownIds | None = None) -> None:
     """Write one bounded batch of messages; also the way to load history in bulk.
 
     The decoded batch is used twice. `keep` holds it in the executors for that;
     what they lose, and all of a batch too large to keep, is decoded again.
     """
     spark = configure(messages.sparkSession)
-    judged = judge(decode(messages), coins)
+    judged = judge(decode(messages), coins, small=small_coins)
     if keep:
         judged.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -119,12 +120,13 @@ def start_ingest(messages: DataFrame, tables: Tables, coins: DataFrame, checkpoi
     `checkpoint` holds the offsets; a new folder starts at the source's starting
     offsets again. The default trigger looks for messages every second.
     """
+    small_coins = fits_broadcast(coins)
     wallets = KnownIds(tables.wallets, WALLETS, WALLET_KEY)
     workers = KnownIds(tables.workers, WORKERS, WORKER_KEY)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, tables, coins, on_error, keep=True, wallets=wallets,
-                     workers=workers)
+        ingest_batch(batch, batch_id, tables, coins, on_error, keep=True,
+                     small_coins=small_coins, wallets=wallets, workers=workers)
 
     return (
         messages.writeStream.foreachBatch(write)
