@@ -312,13 +312,9 @@ def share_row_text(spark, sf_dir):
 
 def time_buckets(spark, sf_dir):
     """Bucket starts of every share for widths that do and do not divide a day."""
-    return event_shares(spark, sf_dir).select(
-        "uuid", bucket_start(F.col("share_date"), 60).alias("minute"),
-    ).join(
-        event_shares(spark, sf_dir).select(
-            "uuid", bucket_start(F.col("share_date"), 7).alias("seven")
-        ), "uuid",
-    )
+    shares = event_shares(spark, sf_dir).select("uuid", "share_date")
+    minutes = shares.withColumn("minute", bucket_start(F.col("share_date"), 60))
+    return minutes.withColumn("seven", bucket_start(F.col("share_date"), 7)).drop("share_date")
 
 
 # --- lookups ----------------------------------------------------------------

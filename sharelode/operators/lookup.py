@@ -16,9 +16,8 @@ ROWS_PER_TASK = 1_000_000
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether `df` has at most `rows` rows; counts no further than that."""
-    rows = BROADCAST_ROWS if rows is None else rows
-    return df.limit(rows + 1).count() <= rows
+    """Whether `df` has at most `rows` rows. A count, so no rows move to one task."""
+    return df.count() <= (BROADCAST_ROWS if rows is None else rows)
 
 
 def one_per_key(dim: DataFrame, on: list[str], id_column: str, name: str) -> DataFrame:

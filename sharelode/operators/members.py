@@ -62,16 +62,19 @@ def highest_ids(*dims: DataFrame) -> list[int]:
 
 
 def find_known(keys: DataFrame, dim: DataFrame, key: list[str], name: str, *,
-               small: bool) -> DataFrame:
+               small: bool, unique: bool) -> DataFrame:
     """Add the known id as `name` to `keys`, NULL for a key seen for the first time.
 
     The dimension is only read past the keys of the batch: when these are `small`
-    they are sent to it, and it is not shuffled.
+    they are sent to it, and it is not shuffled. `unique` says that no two rows
+    of `keys` share a key, so none is heavy.
     """
-    probe = keys.select(*key).distinct()
+    probe = keys.select(*key) if unique else keys.select(*key).distinct()
     hits = dim.join(F.broadcast(probe) if small else probe, key, "left_semi")
-    return attach(keys, one_per_key(hits, key, "id", name), key, [name],
-                  small=True if small else None)
+    hits = one_per_key(hits, key, "id", name)
+    if unique and not small:
+        return keys.join(hits, key, "left").select(*keys.columns, name)
+    return attach(keys, hits, key, [name], small=True if small else None)
 
 
 def worker_keys(found: DataFrame, arrival: str) -> DataFrame:
@@ -137,7 +140,7 @@ def new_worker_rows(fresh: DataFrame, now: Column) -> DataFrame:
 def _resolve(keys: DataFrame, dim: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     keys = settle(keys)
     small = fits_broadcast(keys)
-    tagged = settle(find_known(keys, dim, key, "id", small=small))
+    tagged = settle(find_known(keys, dim, key, "id", small=small, unique=True))
     known = tagged.filter(F.col("id").isNotNull()).withColumn("is_new", F.lit(False))
     fresh = number_keys(
         tagged.filter(F.col("id").isNull()).drop("id"), key, highest_ids(dim)[0],

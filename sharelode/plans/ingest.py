@@ -76,8 +76,10 @@ def assign_ids(judged: DataFrame, wallets: DataFrame, workers: DataFrame, *,
     small = fits_broadcast(keys)
     digits = 0 if small else BUCKET_DIGITS
     fits = True if small else None
-    tagged = find_known(keys, workers, WORKER_KEY, "worker_id", small=small)
-    tagged = settle(find_known(tagged, wallets, WALLET_KEY, "wallet_id", small=small))
+    tagged = find_known(keys, workers, WORKER_KEY, "worker_id", small=small, unique=True)
+    tagged = settle(
+        find_known(tagged, wallets, WALLET_KEY, "wallet_id", small=small, unique=False)
+    )
 
     top_wallet, top_worker = highest_ids(wallets, workers)
     fresh_workers = number_keys(

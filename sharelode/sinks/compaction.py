@@ -1,4 +1,4 @@
-"""Few large files for a month that short triggers filled with many small ones.
+"""Few large files in place of the many small ones that short triggers make.
 
 A month is copied from the live table to an archive, up to a batch number. The
 archive folder is complete before a row of the `archived` table names it, and
@@ -17,7 +17,7 @@ from sharelode.schemas import SHARE_COLUMNS, SHARES
 from sharelode.session import configure
 from sharelode.sinks.tables import file_options, by_month
 from sharelode.sources.tables import (
-    BATCH, MONTH, THROUGH, empty_table, month_of, months_between, read_shares,
+    BATCH, MONTH, THROUGH, empty_table, month_of, read_dimension, read_months, read_shares,
 )
 
 ARCHIVED = f"{MONTH} int, {THROUGH} bigint"
@@ -51,12 +51,12 @@ def read_compacted(spark: SparkSession, live: str, archive: str, archived: str,
         for month, batch in _archived_through(spark, archived).items()
         if (start is None or month >= month_of(start)) and (end is None or month <= month_of(end))
     }
-    stored = spark.read.schema(f"{SHARES}, {MONTH} int, {THROUGH} bigint").parquet(archive)
+    stored = read_months(spark, archive, f"{SHARES}, {THROUGH} bigint", start, end)
     covered = _any_of(
         [(F.col(MONTH) == m) & (F.col(THROUGH) == b) for m, b in sorted(through.items())]
     )
     moved = _any_of([(F.col(MONTH) == m) & (F.col(BATCH) <= b) for m, b in sorted(through.items())])
-    from_archive = stored.filter(months_between(start, end)).filter(covered)
+    from_archive = stored.filter(covered)
     from_live = read_shares(spark, live, start, end, keep_layout=True).filter(~moved)
     return from_archive.select(*SHARE_COLUMNS).unionByName(from_live.select(*SHARE_COLUMNS))
 
@@ -73,8 +73,8 @@ def compact_month(spark: SparkSession, live: str, archive: str, archived: str,
         (F.col(BATCH) <= through_batch) & (F.col(BATCH) > before)
     ).select(*SHARE_COLUMNS)
     if before >= 0:
-        old = spark.read.schema(f"{SHARES}, {MONTH} int, {THROUGH} bigint").parquet(archive)
-        old = old.filter((F.col(MONTH) == month) & (F.col(THROUGH) == before))
+        old = read_months(spark, archive, f"{SHARES}, {THROUGH} bigint", first, first)
+        old = old.filter(F.col(THROUGH) == before)
         rows = rows.unionByName(old.select(*SHARE_COLUMNS))
     rows = rows.withColumn(THROUGH, F.lit(through_batch).cast("bigint"))
     writer = by_month(rows, THROUGH).write.mode("overwrite")
@@ -84,3 +84,16 @@ def compact_month(spark: SparkSession, live: str, archive: str, archived: str,
         F.lit(month).cast("int").alias(MONTH), F.lit(through_batch).cast("bigint").alias(THROUGH)
     )
     entry.write.mode("append").parquet(archived)
+
+
+def compact_dimension(spark: SparkSession, path: str, new_path: str, schema: str) -> None:
+    """Copy a dimension to few files, for a job that is stopped and goes on with the copy.
+
+    All rows get the last batch number: it is not used by a batch that follows,
+    and a batch that is run again finds its ids and adds no rows.
+    """
+    configure(spark)
+    stored = read_dimension(spark, path, schema, keep_batch=True)
+    last = stored.agg(F.max(BATCH)).first()[0]
+    rows = stored.withColumn(BATCH, F.lit(last or 0).cast("bigint")).hint("rebalance")
+    rows.write.mode("overwrite").partitionBy(BATCH).parquet(new_path)

@@ -46,21 +46,24 @@ def file_options(writer: DataFrameWriter) -> DataFrameWriter:
     return writer
 
 
-def by_month(shares: DataFrame, batch_column: str) -> DataFrame:
+def by_month(shares: DataFrame, batch_column: str, in_time_order: bool = False) -> DataFrame:
     """Rows placed for month folders and ordered by time.
 
     Spark splits a month that is too large for one task and joins months that
     are too small, so neither a busy nor a quiet month decides the file size.
-    The order lets a reader skip the row groups and pages outside a time range.
+    Where each partition already covers a short span of time, that shuffle is
+    left out. The order lets a reader skip the row groups and pages outside a
+    time range.
     """
     dated = shares.withColumn(MONTH, month_key(F.col("share_date")))
-    placed = dated.hint("rebalance", F.col(MONTH))
+    placed = dated if in_time_order else dated.hint("rebalance", F.col(MONTH))
     return placed.sortWithinPartitions(MONTH, batch_column, "share_date")
 
 
-def append_shares(shares: DataFrame, path: str, batch_id: int) -> None:
+def append_shares(shares: DataFrame, path: str, batch_id: int, *,
+                  in_time_order: bool = False) -> None:
     """Append typed shares to the month folders of the table."""
     configure(shares.sparkSession)
     rows = shares.select(*SHARE_COLUMNS).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-    writer = file_options(_replace_batch(by_month(rows, BATCH)))
+    writer = file_options(_replace_batch(by_month(rows, BATCH, in_time_order)))
     writer.partitionBy(MONTH, BATCH).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sharelode.schemas import COIN_SEED, COINS, SHARE_COLUMNS, SHARES
@@ -57,11 +58,7 @@ def month_of(moment: datetime) -> int:
 
 
 def months_between(start: datetime | None, end: datetime | None) -> Column:
-    """Predicate on the month folders that may hold shares from `start` to `end`.
-
-    Spark cannot derive it from a filter on share_date, and without it every
-    month would be listed and read.
-    """
+    """Predicate on the month folders that may hold shares from `start` to `end`."""
     wanted = F.lit(True)
     if start is not None:
         wanted = wanted & (F.col(MONTH) >= month_of(start))
@@ -70,12 +67,37 @@ def months_between(start: datetime | None, end: datetime | None) -> Column:
     return wanted
 
 
+def _months(first: int, last: int) -> list[int]:
+    months = range(first // 100 * 12 + first % 100 - 1, last // 100 * 12 + last % 100)
+    return [m // 12 * 100 + m % 12 + 1 for m in months]
+
+
+def read_months(spark: SparkSession, path: str, schema: str, start: datetime | None = None,
+                end: datetime | None = None) -> DataFrame:
+    """Rows of the month folders from `start` to `end`, with the folder columns.
+
+    Spark cannot derive the months from a filter on share_date: without them
+    every folder would be listed and every file opened. With both ends given only
+    the folders of these months are even listed.
+    """
+    schema = f"{schema}, {MONTH} int"
+    reader = spark.read.schema(schema).option("basePath", path)
+    if start is None or end is None:
+        return reader.parquet(path).filter(months_between(start, end))
+    months = ",".join(str(m) for m in _months(month_of(start), month_of(end)))
+    try:
+        return reader.parquet(f"{path}/{MONTH}={{{months}}}").filter(months_between(start, end))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_table(spark, schema)
+
+
 def read_shares(spark: SparkSession, path: str, start: datetime | None = None,
                 end: datetime | None = None, *, keep_layout: bool = False) -> DataFrame:
     """Shares of the months from `start` to `end`; all months without them.
 
     The caller still filters on share_date: this only leaves out whole months.
     """
-    schema = f"{SHARES}, {MONTH} int, {BATCH} bigint"
-    shares = spark.read.schema(schema).parquet(path).filter(months_between(start, end))
+    shares = read_months(spark, path, f"{SHARES}, {BATCH} bigint", start, end)
     return shares if keep_layout else shares.select(*SHARE_COLUMNS)

@@ -8,7 +8,7 @@ There is one writer per set of tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,15 +19,20 @@ from sharelode.operators.messages import decode
 from sharelode.plans.ingest import FAIL, QUARANTINE, assign_ids, judge
 from sharelode.schemas import WALLET_KEY, WALLETS, WORKER_KEY, WORKERS
 from sharelode.session import configure
+from sharelode.sinks.compaction import compact_dimension
 from sharelode.sinks.tables import append_dimension, append_shares, create_tables
 from sharelode.sources.tables import BATCH, read_dimension
 
 
 @dataclass(frozen=True)
 class Tables:
-    """Where the tables of one pool are."""
+    """Where the tables of one pool are.
+
+    `generation` counts how often the wallets and workers have been compacted.
+    """
 
     root: str
+    generation: int = 0
 
     @property
     def shares(self) -> str:
@@ -35,11 +40,11 @@ class Tables:
 
     @property
     def wallets(self) -> str:
-        return f"{self.root}/wallets"
+        return f"{self.root}/wallets-{self.generation}"
 
     @property
     def workers(self) -> str:
-        return f"{self.root}/workers"
+        return f"{self.root}/workers-{self.generation}"
 
     @property
     def rejected(self) -> str:
@@ -49,6 +54,13 @@ class Tables:
         create_tables(spark, self.shares, self.wallets, self.workers)
         return self
 
+    def compact_dimensions(self, spark: SparkSession) -> "Tables":
+        """Copy wallets and workers to few files; start the stopped job with the result."""
+        later = replace(self, generation=self.generation + 1)
+        compact_dimension(spark, self.wallets, later.wallets, WALLETS)
+        compact_dimension(spark, self.workers, later.workers, WORKERS)
+        return later
+
 
 class KnownIds:
     """The ids of a dimension, kept by the executors from batch to batch.

@@ -103,11 +103,31 @@ def test_only_the_months_of_the_range_are_read(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(share_month" in plan
     assert "GreaterThan(share_date" in plan and "EqualTo(coin_id,4)" in plan
     assert "nonce" not in plan
-    assert {f.split("share_month=")[1][:6] for f in stored.inputFiles()} >= {"202402"}
+    assert {f.split("share_month=")[1][:6] for f in stored.inputFiles()} == {"202402"}
     everything = analytics.range_difficulty_sum(months(spark), start, end, 4, "PPLNS")
     assert total.collect() == everything.collect()
 
 
+def test_months_without_shares(spark, tmp_path):
+    path = f"{tmp_path}/shares"
+    append_shares(months(spark), path, 0)
+    none = read_shares(spark, path, datetime(2030, 1, 1), datetime(2030, 2, 1))
+    assert none.count() == 0 and none.columns == SHARE_COLUMNS
+    over = read_shares(spark, path, datetime(2023, 11, 30), datetime(2024, 1, 1))
+    assert over.count() == 20
+    assert read_shares(spark, path, start=datetime(2024, 2, 1)).count() == 40
+    assert read_shares(spark, path, end=datetime(2024, 2, 1)).count() == 40
+    with pytest.raises(Exception, match="does not exist"):
+        read_shares(spark, f"{tmp_path}/nowhere").count()
+
+
+def test_input_in_time_order_is_written_without_a_shuffle(spark, tmp_path):
+    shares = months(spark).orderBy("share_date")
+    append_shares(shares, f"{tmp_path}/shares", 0, in_time_order=True)
+    stored = read_shares(spark, f"{tmp_path}/shares")
+    assert Counter(stored.collect()) == Counter(shares.collect())
+
+
 def test_month_edges(spark, tmp_path):
     texts = [
         message(uuid="last", shareDate=ms(2024, 2, 1) - 1),

@@ -152,3 +152,19 @@ def test_known_ids_are_kept_between_batches(spark, tmp_path, monkeypatch):
     assert ids.read(spark).count() == 15 and ids.through == 2
     ids.close()
     assert ids.kept is None
+
+
+def test_the_job_goes_on_with_compacted_dimensions(spark, tmp_path):
+    tables = Tables(f"{tmp_path}/pool").create(spark)
+    write_files(f"{tmp_path}/in", batch()[:20], 5)
+    run(spark, f"{tmp_path}/in", tables, f"{tmp_path}/checkpoint")
+    before = names(spark, tables)
+    later = tables.compact_dimensions(spark)
+    assert len(glob.glob(f"{later.workers}/*/*.parquet")) == 1
+    assert names(spark, later) == before
+    write_files(f"{tmp_path}/in", batch(), 38)
+    os.rename(f"{tmp_path}/in/part00000.json", f"{tmp_path}/in/more.json")
+    run(spark, f"{tmp_path}/in", later, f"{tmp_path}/checkpoint")
+    found = names(spark, later)
+    assert sum(found.values()) == 58 and before.keys() <= found.keys()
+    assert read_dimension(spark, later.workers, WORKERS).count() == 27
