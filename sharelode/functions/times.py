@@ -1,6 +1,18 @@
 """Time expressions. All count from the epoch, so none depends on the session zone."""
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
+
+
+def time_literal(value: datetime, kind: DataType) -> Column:
+    """A moment to compare a time column of type `kind` with; in UTC unless it has a zone."""
+    moment = value if value.tzinfo else value.replace(tzinfo=timezone.utc)
+    if isinstance(kind, TimestampNTZType):
+        clock = moment.astimezone(timezone.utc).replace(tzinfo=None)
+        return F.lit(clock.isoformat(sep=" ")).cast(kind)
+    return F.lit(moment)
 
 
 def from_epoch_ms(ms: Column) -> Column:

@@ -11,7 +11,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sharelode.functions.times import bucket_start
+from sharelode.functions.times import bucket_start, time_literal
 
 # A series is one row; beyond this many points, use the rows themselves.
 SERIES_POINTS = 1_000_000
@@ -23,7 +23,7 @@ def share_by_uuid(shares: DataFrame, uuid: str) -> DataFrame:
 
 
 def _time(shares: DataFrame, value: datetime) -> Column:
-    return F.lit(value).cast(shares.schema["share_date"].dataType)
+    return time_literal(value, shares.schema["share_date"].dataType)
 
 
 def _selected(shares: DataFrame, coin_id: int, reward_method: str) -> Column:

@@ -13,6 +13,8 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sharelode.functions.times import time_literal
+
 
 def _estimate(shares: DataFrame, chosen: Column, as_of: datetime, window: int,
               hashes_per_difficulty: float) -> DataFrame:
@@ -20,8 +22,8 @@ def _estimate(shares: DataFrame, chosen: Column, as_of: datetime, window: int,
         raise ValueError(f"window must be a positive number of seconds: {window!r}")
     date = F.col("share_date")
     kind = shares.schema["share_date"].dataType
-    since = F.lit(as_of - timedelta(seconds=window)).cast(kind)
-    total = shares.filter((date > since) & (date <= F.lit(as_of).cast(kind)) & chosen).agg(
+    since = time_literal(as_of - timedelta(seconds=window), kind)
+    total = shares.filter((date > since) & (date <= time_literal(as_of, kind)) & chosen).agg(
         F.coalesce(F.sum("difficulty").cast("double"), F.lit(0.0)).alias("total")
     )
     rate = F.col("total") * F.lit(float(hashes_per_difficulty)) / F.lit(float(window))

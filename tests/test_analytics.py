@@ -1,4 +1,5 @@
-from datetime import datetime, timedelta
+import time
+from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
 import pytest
@@ -113,3 +114,20 @@ def test_huge_sums_are_exact(spark):
         "*", "4L AS coin_id", "'SOLO' AS reward_method")
     row = analytics.range_difficulty_sum(df, at(-1), at(1), 4, "SOLO").first()
     assert row.sumdif == float(Decimal("299999999999997.0000000003"))
+
+
+def test_moments_do_not_depend_on_the_zone_of_the_machine(shares, monkeypatch):
+    zoned = shares.withColumn("share_date", shares.share_date.cast("timestamp"))
+    monkeypatch.setenv("TZ", "Asia/Tokyo")
+    time.tzset()
+    try:
+        for table in (shares, zoned):
+            row = analytics.range_difficulty_sum(table, at(0), at(300), 4, "PPLNS").first()
+            assert (row.sumdif, row.cnt) == (102.0, 4)
+            east = timezone(timedelta(hours=2))
+            start, end = ((m + timedelta(hours=2)).replace(tzinfo=east) for m in (at(0), at(300)))
+            row = analytics.range_difficulty_sum(table, start, end, 4, "PPLNS").first()
+            assert (row.sumdif, row.cnt) == (102.0, 4)
+    finally:
+        monkeypatch.undo()
+        time.tzset()
