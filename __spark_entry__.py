@@ -301,13 +301,8 @@ def share_typing(spark, sf_dir):
 def share_row_text(spark, sf_dir):
     """Amounts as text and the time as milliseconds, for every share."""
     typed = messages.type_shares(messages.project_share(event_messages(spark, sf_dir)))
-    return typed.select(
-        "uuid", to_epoch_ms(F.col("share_date")).alias("share_date_ms"),
-        decimal_text(F.col("difficulty")).alias("difficulty"),
-        decimal_text(F.col("sharedif")).alias("sharedif"),
-        decimal_text(F.col("cost")).alias("cost"),
-        decimal_text(F.col("cost"), trim_zeros=True).alias("cost_trimmed"),
-    )
+    trimmed = decimal_text(F.col("cost").cast("decimal(30,20)"), trim_zeros=True)
+    return messages.share_text(typed).withColumn("cost_trimmed", trimmed)
 
 
 def time_buckets(spark, sf_dir):
@@ -664,7 +659,8 @@ def oracle_sql() -> dict[str, str]:
             0::bigint AS wallet_id, share_date, {TYPED_SQL}, nonce, is_solo, reward_method
           FROM ({MESSAGES_SQL})""",
         "share_row_text": f"""
-          SELECT uuid, share_date_ms, {TYPED_SQL},
+          SELECT uuid, server_id, 0::bigint AS coin_id, 0::bigint AS worker_id,
+            0::bigint AS wallet_id, share_date_ms, {TYPED_SQL}, nonce, is_solo, reward_method,
             regexp_replace(cast(cast(cost AS decimal(30,20)) AS varchar), '\\.?0+$', '')
               AS cost_trimmed
           FROM ({MESSAGES_SQL})""",

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sharelode.functions.amounts import COST, DIFFICULTY, parse_decimal
-from sharelode.functions.times import from_epoch_ms
+from sharelode.functions.amounts import COST, DIFFICULTY, decimal_text, parse_decimal
+from sharelode.functions.times import from_epoch_ms, to_epoch_ms
 from sharelode.schemas import SHARE_COLUMNS, SHARE_FOUND, WIRE_COLUMNS
 
 _CORRUPT = "_corrupt_record"
@@ -78,6 +78,17 @@ def type_shares(shares: DataFrame) -> DataFrame:
     return checked.withColumns(typed_columns()).select(*SHARE_COLUMNS)
 
 
+def share_text(shares: DataFrame, trim_zeros: bool = False) -> DataFrame:
+    """Stored shares with their time in milliseconds and their amounts as text."""
+    return shares.select(
+        "uuid", "server_id", "coin_id", "worker_id", "wallet_id",
+        to_epoch_ms(F.col("share_date")).alias("share_date_ms"),
+        *[decimal_text(F.col(c), trim_zeros).alias(c) for c in ("difficulty", "sharedif")],
+        "nonce", "is_solo", "reward_method",
+        decimal_text(F.col("cost"), trim_zeros).alias("cost"),
+    )
+
+
 def enforce(judged: DataFrame) -> DataFrame:
     """Fail the job at the first row with a `reject_reason`, and drop that column."""
     stop = F.raise_error(

@@ -19,6 +19,13 @@ SHARES = """
     reward_method string, cost decimal(30,20)
 """
 
+# A share before it is typed: time in milliseconds, amounts as text.
+SHARE_TEXT = """
+    uuid string, server_id string, coin_id bigint, worker_id bigint,
+    wallet_id bigint, share_date_ms bigint, difficulty string, sharedif string,
+    nonce string, is_solo boolean, reward_method string, cost string
+"""
+
 COINS = """
     id bigint, symbol string, symbol2 string, name string, algo string,
     image string, min_withdraw decimal(10,6), transactions_explorer string,

@@ -15,6 +15,9 @@ RUNTIME = {
     # Size of a written file before compression, and of a piece of a skewed
     # partition. Other shuffles keep their parallelism first.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # A join whose smaller side turns out to fit in memory task by task is hashed
+    # instead of sorting the shares.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
     # Times stored as INT96 carry no statistics, so a filter on share_date
     # could not skip row groups.
     "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",

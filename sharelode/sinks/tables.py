@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from sharelode.functions.times import month_key
-from sharelode.schemas import SHARE_COLUMNS, SHARES, WALLETS, WORKERS
+from sharelode.operators.messages import type_shares
+from sharelode.schemas import SHARE_COLUMNS, SHARE_TEXT, SHARES, WALLETS, WORKERS
 from sharelode.session import configure
 from sharelode.sources.tables import BATCH, MONTH, empty_table
 
@@ -67,3 +68,8 @@ def append_shares(shares: DataFrame, path: str, batch_id: int, *,
     rows = shares.select(*SHARE_COLUMNS).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
     writer = file_options(_replace_batch(by_month(rows, BATCH, in_time_order)))
     writer.partitionBy(MONTH, BATCH).parquet(path)
+
+
+def append_share(spark: SparkSession, share: dict, path: str, batch_id: int) -> None:
+    """Append one share given as the fields of `SHARE_TEXT`; meant for tests."""
+    append_shares(type_shares(spark.createDataFrame([share], SHARE_TEXT)), path, batch_id)

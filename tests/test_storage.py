@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from sharelode.operators import analytics
+from sharelode.operators.messages import share_text
 from sharelode.plans.ingest import normalize_messages
 from sharelode.schemas import SHARE_COLUMNS, WALLETS, WORKERS
 from sharelode.sinks import compaction
-from sharelode.sinks.tables import append_dimension, append_shares, create_tables
+from sharelode.sinks.tables import (
+    append_dimension, append_share, append_shares, create_tables,
+)
 from sharelode.sources.tables import empty_table, read_dimension, read_shares, seed_coins
 from shares import frame, message
 
@@ -46,9 +49,19 @@ def test_append_and_read_back(spark, tmp_path):
 
 
 def test_one_share(spark, tmp_path):
-    append_shares(typed(spark, [message(uuid="only", cost="0.00124")]), f"{tmp_path}/shares", 0)
-    row = analytics.share_by_uuid(read_shares(spark, f"{tmp_path}/shares"), "only").first()
-    assert (row.server_id, row.coin_id, str(row.cost)) == ("EU-1", 4, "0.00124000000000000000")
+    share = {
+        "uuid": "only", "server_id": "EU-1", "coin_id": 4, "worker_id": 4, "wallet_id": 2,
+        "share_date_ms": ms(2025, 2, 12, 19, 9, 6) + 803, "difficulty": "0.008941",
+        "sharedif": "5.14677", "nonce": "9c44", "is_solo": False, "reward_method": "PPLNS",
+        "cost": "0.00124",
+    }
+    path = f"{tmp_path}/shares"
+    append_share(spark, share, path, 0)
+    append_share(spark, {**share, "uuid": "other", "difficulty": "7"}, path, 1)
+    found = analytics.share_by_uuid(read_shares(spark, path), "only")
+    assert [r.asDict() for r in share_text(found, trim_zeros=True).collect()] == [share]
+    assert share_text(found).first().cost == "0.00124000000000000000"
+    assert share_text(analytics.share_by_uuid(read_shares(spark, path), "none")).first() is None
 
 
 def test_a_batch_written_again_replaces_itself(spark, tmp_path):
