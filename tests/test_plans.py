@@ -1,7 +1,6 @@
 """Shapes of physical plans that matter at scale."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from sharelode.operators import members, messages
