@@ -195,3 +195,35 @@ def test_interrupted_compaction_changes_no_result(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(compaction, "file_options", write)
     compaction.compact_month(spark, live, archive, archived, 202401, 0)
     assert compaction.read_compacted(spark, live, archive, archived).count() == 60
+
+
+def rows_read(df):
+    """Rows that leave the scan of `df`, from the metrics of its run plan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.children().nonEmpty() or plan.nodeName().startswith("AdaptiveSparkPlan"):
+        if plan.nodeName().startswith("AdaptiveSparkPlan"):
+            plan = plan.finalPhysicalPlan()
+        else:
+            plan = plan.children().head()
+        if plan.nodeName().endswith("QueryStage"):
+            plan = plan.plan()
+    assert plan.nodeName().startswith("Scan parquet")
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_filters_skip_files_and_row_groups(spark, tmp_path):
+    """Each batch is a file; a uuid or a time range that it cannot hold skips it."""
+    path = f"{tmp_path}/shares"
+    for batch in range(4):
+        texts = [
+            message(uuid=f"{batch}-{i * 37 % 100}", shareDate=ms(2024, 1, 1 + batch, i % 24))
+            for i in range(100)
+        ]
+        append_shares(typed(spark, texts), path, batch)
+    stored = read_shares(spark, path)
+    assert stored.count() == 400
+    assert rows_read(stored.filter(F.col("uuid") == "2-55").limit(1)) <= 100
+    assert rows_read(stored.filter(F.col("uuid") == "2-555")) == 0
+    start, end = datetime(2024, 1, 2), datetime(2024, 1, 2, 23, 30)
+    assert rows_read(analytics.range_difficulty_sum(stored, start, end, 4, "PPLNS")) == 100
