@@ -557,6 +557,23 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {**share_queries(), **_text_part("queries")}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**share_sql(), **_text_part("oracle_sql")}
+
+
+def _text_part(what: str) -> dict:
+    """What the subpackage for training text adds, if it is there."""
+    try:
+        from sharelode.llm import queries as text_queries
+    except ImportError:
+        return {}
+    return getattr(text_queries, what)()
+
+
+def share_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "headers_map": headers_map_query,
         "decode_share_json": decode_share_json,
@@ -628,7 +645,7 @@ TYPED_SQL = """cast(cast(difficulty AS decimal(25,10)) AS varchar) AS difficulty
       cast(cast(cost AS decimal(30,20)) AS varchar) AS cost"""
 
 
-def oracle_sql() -> dict[str, str]:
+def share_sql() -> dict[str, str]:
     wire = ", ".join(WIRE)
     stored = "difficulty, sharedif, cost"
     items_text = ", ".join(f"cast({c} AS varchar) AS {c}" for c in stored.split(", "))

@@ -14,13 +14,13 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(registered.share_queries()) == set(registered.share_sql())
 
 
-@pytest.mark.parametrize("key", list(registered.queries()))
+@pytest.mark.parametrize("key", list(registered.share_queries()))
 def test_query(spark, con, key):
-    columns, rows = spark_rows(registered.queries()[key](spark, SF))
-    expected_columns, expected = duck_rows(con, registered.oracle_sql()[key])
+    columns, rows = spark_rows(registered.share_queries()[key](spark, SF))
+    expected_columns, expected = duck_rows(con, registered.share_sql()[key])
     assert columns == expected_columns
     assert rows == expected
 
