@@ -38,3 +38,35 @@ FROM (SELECT *,
     + if(2 * n_stutter > n_words, 512, 0)::bigint AS failed_bits
   FROM m)
 """
+
+REPEATS = f"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, {WORDS} AS w FROM documents),
+windows AS (
+  SELECT row_id, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h
+  FROM (SELECT row_id, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+gone AS (
+  SELECT DISTINCT row_id, j FROM (
+    SELECT row_id, unnest(range(i, i + 50)) AS j FROM windows JOIN firsts USING (h) WHERE first < doc_id)),
+words AS (SELECT row_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+kept AS (
+  SELECT row_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS k
+  FROM words ANTI JOIN gone USING (row_id, j) GROUP BY row_id)
+SELECT doc_id, len(w)::bigint AS n_words, (len(w) - coalesce(n, 0))::bigint AS n_removed,
+  sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row_id)
+"""
+
+SEARCH = """
+WITH v AS (
+  SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.row_id, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::bigint AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, rank::integer AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
