@@ -6,13 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sharelode.llm import quality, sql
+from sharelode.llm import packing, quality, repeats, search, sql
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def _vocabulary(name: str) -> str:
+    """Path of a public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.packed(_table(spark, sf_dir, "documents"), _vocabulary(TOKENIZER))
+    return pieces.drop("ids")
+
+
+def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(quality.ledger(_table(spark, sf_dir, "documents")), quality.STRICT)
     base = F.col("failed_bits").bitwiseAND(F.lit(quality.BASE)) != 0
@@ -21,11 +43,16 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_packing": op3_packing,
+        "op4_topk_search": op4_topk_search,
         "op8_quality_rules": op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": sql.REPEATS,
+        "op4_topk_search": sql.SEARCH,
         "op8_quality_rules": sql.QUALITY,
     }
