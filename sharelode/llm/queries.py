@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sharelode.llm import packing, quality, repeats, search, sql
+from sharelode.llm import (
+    extraction, jaccard, licenses, packing, pieces, quality, repeats, search, sql, token_counts, warc,
+)
+from sharelode.llm.common import scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def _vocabulary(name: str) -> str:
@@ -22,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), _vocabulary(PIECES))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -35,18 +43,50 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("detections")
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encodes all texts and decodes the ids; the text comes back as its length and hash."""
+    model = _vocabulary(PIECES)
+    decoded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model), model)
+    return decoded.select("doc_id", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"),
+                          F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    return warc.resolved(warc.read_archives(spark, path))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.judge(quality.ledger(_table(spark, sf_dir, "documents")), quality.STRICT)
     base = F.col("failed_bits").bitwiseAND(F.lit(quality.BASE)) != 0
     return found.withColumn("base_failed", base)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(_table(spark, sf_dir, "pages"))
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
         "op2_substring_dedup": op2_substring_dedup,
         "op3_packing": op3_packing,
         "op4_topk_search": op4_topk_search,
+        "op5_license_scan": op5_license_scan,
+        "op6_sentencepiece": op6_sentencepiece,
+        "op7_warc": op7_warc,
         "op8_quality_rules": op8_quality_rules,
+        "op9_html_extraction": op9_html_extraction,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
@@ -54,5 +94,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": sql.REPEATS,
         "op4_topk_search": sql.SEARCH,
+        "op7_warc": sql.ARCHIVES,
         "op8_quality_rules": sql.QUALITY,
+        "op10_ngram_jaccard": sql.NEAR,
     }

@@ -70,3 +70,43 @@ SELECT query_id, rank::integer AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 5
 """
+
+# Base32 of a hash: five hexadecimal digits are four letters.
+_LETTERS = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v >> {shift} & 31)::integer + 1, 1)" for shift in (15, 10, 5, 0))
+
+ARCHIVES = f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::bigint AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+d AS (
+  SELECT sha, string_agg({_LETTERS}, '' ORDER BY i) AS payload_digest
+  FROM (SELECT sha, i, ('0x' || substr(sha, i * 5 + 1, 5))::bigint AS v
+        FROM (SELECT DISTINCT sha FROM p), range(8) AS r(i))
+  GROUP BY sha),
+firsts AS (SELECT sha, max(page_id) AS first FROM p GROUP BY sha)
+SELECT page_id, payload_bytes, payload_digest,
+  if(page_id < first, 'revisit', 'response') AS record_type, if(page_id < first, first, NULL) AS refers_to
+FROM p JOIN d USING (sha) JOIN firsts USING (sha)
+"""
+
+NEAR = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT row_id, doc_id, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS g
+  FROM (SELECT row_id, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT row_id, doc_id, count(*) AS n FROM s GROUP BY ALL),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y
+  FROM (SELECT p.row_id AS r1, q.row_id AS r2, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.row_id <> q.row_id
+        GROUP BY ALL)
+    JOIN n a ON a.row_id = r1 JOIN n b ON b.row_id = r2
+  WHERE 100 * c >= 75 * (a.n + b.n - c)),
+reach AS (
+  WITH RECURSIVE r(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, l.y FROM r JOIN links l ON r.y = l.x)
+  SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0)::bigint AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (row_id) LEFT JOIN reach ON reach.x = d.doc_id
+"""
