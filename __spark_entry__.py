@@ -270,6 +270,37 @@ def message_defaults(spark, sf_dir):
     return messages.decode(records).select("uuid", "share_date_ms", "miner_ip", "is_solo", "cost")
 
 
+def strict_messages(spark, sf_dir):
+    """Texts that are one message, and texts that only begin like one."""
+    clean = messages.encode(event_messages(spark, sf_dir))
+    uuid = F.col("uuid")
+    forms = [
+        clean,
+        F.concat(clean, F.lit(" x")),
+        F.concat(clean, clean),
+        F.concat(clean, F.lit(","), clean),
+        F.concat(F.lit('{"uuid":"'), uuid, F.lit('","workerfull":7}')),
+        F.concat(F.lit('{"workerfull" : {"x":1},"uuid":"'), uuid, F.lit('"}')),
+        F.concat(F.lit("{'uuid':'"), uuid, F.lit("'}")),
+        F.concat(clean, F.lit(',"x":'), clean),
+        F.concat(F.lit("  "), clean, F.lit("\n")),
+        F.concat(clean, F.lit("}")),
+        F.concat(clean, F.lit(',"end":true}{')),
+        F.concat(F.lit('{"nonce":"\\"uuid\\": 5","uuid":"'), uuid, F.lit('"}')),
+        F.concat(F.lit('{"other":{"uuid":5},"uuid":"'), uuid, F.lit('"}')),
+    ]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        text = F.when(F.col("arrival") % len(forms) == i, form).otherwise(text)
+    sent = event_messages(spark, sf_dir).select(F.col("arrival").alias("event_id"), text.alias("value"),
+                                                text.alias("sent"))
+    found = messages.decode(sent)
+    good = ~F.col("malformed")
+    return found.select(
+        "event_id", "malformed", F.when(good, F.col("uuid")).alias("uuid"),
+        (F.col("malformed_text") == F.col("sent")).alias("text_kept"))
+
+
 def wallet_worker_split(spark, sf_dir):
     """Names with none, one and two dots."""
     user = F.col("user_id").cast("string")
@@ -315,8 +346,12 @@ def time_buckets(spark, sf_dir):
 # --- lookups ----------------------------------------------------------------
 
 def coin_id_lookup(spark, sf_dir):
-    found = lookup.coin_ids(event_messages(spark, sf_dir), seed_coins(spark))
-    return found.select("uuid", "coin_symbol", "coin_id")
+    coins = seed_coins(spark)
+    found = lookup.coin_ids(event_messages(spark, sf_dir), coins)
+    values = ["average_round_diff", "coins_in_block", "current_effort"]
+    found = lookup.attach(found, coins.withColumnRenamed("id", "coin_id"), ["coin_id"], values)
+    text = [decimal_text(F.col(c)).alias(c) for c in values]
+    return found.select("uuid", "coin_symbol", "coin_id", *text)
 
 
 def wallet_id_lookup(spark, sf_dir):
@@ -367,6 +402,10 @@ def rejected_shares(spark, sf_dir):
     ).withColumn(
         "cost", F.when(F.col("reward_method") == "SOLO", "none").otherwise(F.col("cost"))
     )
+    found = found.withColumn("server_id", F.when(
+        F.col("server_id") == "EU-2", F.repeat(F.lit("s"), 33)).otherwise(F.col("server_id")))
+    found = found.withColumn("workerfull", F.when(
+        F.col("c_hrate") % 5 == 0, F.repeat(F.lit("w"), 256)).otherwise(F.col("workerfull")))
     text = F.when(F.col("coin_symbol") == "DNX", F.lit("{broken")).otherwise(messages.encode(found))
     result = ingest.normalize_messages(
         found.select(text.alias("value")), seed_coins(spark), empty_table(spark, WALLETS),
@@ -428,10 +467,20 @@ def interval_wallet_and_worker(spark, sf_dir):
 
 
 def interval_series(spark, sf_dir):
-    """The two lists, side by side again as rows with their position."""
-    series = analytics.interval_series(event_shares(spark, sf_dir), START, END, 3600, 4, "PPLNS")
-    zipped = series.select(F.posexplode(F.arrays_zip("times", "sums")).alias("pos", "point"))
-    return zipped.select("pos", F.col("point.times").alias("time"), F.col("point.sums").alias("sum"))
+    """The two lists of each span, side by side again as rows with their position."""
+    return _points(analytics.interval_series(
+        event_shares(spark, sf_dir), START, END, 3600, 4, "PPLNS", points=100))
+
+
+def interval_series_seconds(spark, sf_dir):
+    """A month in buckets of a second."""
+    return _points(analytics.interval_series(event_shares(spark, sf_dir), START, END, 1, 4, "PPLNS"))
+
+
+def _points(series):
+    zipped = series.select("part", F.posexplode(F.arrays_zip("times", "sums")).alias("pos", "point"))
+    return zipped.select(
+        "part", "pos", F.col("point.times").alias("time"), F.col("point.sums").alias("sum"))
 
 
 AS_OF = datetime(2024, 1, 20)
@@ -489,9 +538,29 @@ def share_month_counts(spark, sf_dir):
 
 def stored_range_scan(spark, sf_dir):
     """A range sum over the stored table, reading only the months of the range."""
-    start, end = datetime(1998, 2, 27), datetime(1999, 5, 1)
-    stored = read_shares(spark, _stored_items(spark, sf_dir), start, end)
-    return analytics.range_difficulty_sum(stored, start, end, 8, "PPLNS")
+    stored = read_shares(spark, _stored_items(spark, sf_dir), STORED_START, STORED_END)
+    return analytics.range_difficulty_sum(stored, STORED_START, STORED_END, 8, "PPLNS")
+
+
+STORED_START, STORED_END = datetime(1998, 2, 27), datetime(1999, 5, 1)
+
+
+def stored_share_by_uuid(spark, sf_dir):
+    """The shares of one uuid in the stored table, found by its bloom filters."""
+    found = read_shares(spark, _stored_items(spark, sf_dir)).filter(F.col("uuid") == "1-1")
+    return _plain(found)
+
+
+def stored_interval_wallet(spark, sf_dir):
+    stored = read_shares(spark, _stored_items(spark, sf_dir), STORED_START, STORED_END)
+    found = analytics.interval_wallet(stored, STORED_START, STORED_END, 86400, 8, 3, "PPLNS")
+    return found.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
+def stored_coin_hashrate(spark, sf_dir):
+    """Hashrate over the last 400 days of the period."""
+    stored = read_shares(spark, _stored_items(spark, sf_dir), STORED_START, STORED_END)
+    return hashrate.coin_hashrate(stored, seed_coins(spark), "kas", STORED_END, 400 * 86400, 65536.0)
 
 
 def compacted_scan(spark, sf_dir):
@@ -579,6 +648,7 @@ def share_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "decode_share_json": decode_share_json,
         "share_to_json": share_to_json,
         "message_defaults": message_defaults,
+        "strict_messages": strict_messages,
         "wallet_worker_split": wallet_worker_split,
         "share_projection": share_projection,
         "share_typing": share_typing,
@@ -601,6 +671,7 @@ def share_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "interval_worker": interval_worker,
         "interval_wallet_and_worker": interval_wallet_and_worker,
         "interval_series": interval_series,
+        "interval_series_seconds": interval_series_seconds,
         "coin_hashrate": coin_hashrate,
         "wallet_hashrate": wallet_hashrate,
         "worker_hashrate": worker_hashrate,
@@ -608,6 +679,9 @@ def share_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "share_roundtrip": share_roundtrip,
         "share_month_counts": share_month_counts,
         "stored_range_scan": stored_range_scan,
+        "stored_share_by_uuid": stored_share_by_uuid,
+        "stored_interval_wallet": stored_interval_wallet,
+        "stored_coin_hashrate": stored_coin_hashrate,
         "compacted_scan": compacted_scan,
         "stream_ingest": stream_ingest,
         "backfill_ingest": backfill_ingest,
@@ -624,6 +698,13 @@ def _interval_sql(where: str, seconds: int = 3600, view: str = SHARES_SQL,
     """
 
 
+def _series_sql(seconds: int, points: int) -> str:
+    return f"""
+      SELECT {_bucket_sql(seconds * points, "bucket_start")} AS part, bucket_start AS time, sumdif AS sum,
+        cast(row_number() OVER (PARTITION BY part ORDER BY bucket_start) - 1 AS integer) AS pos
+      FROM ({_interval_sql("coin_id = 4 AND reward_method = 'PPLNS'", seconds)})"""
+
+
 def _range_sql(where: str, start: datetime, end: datetime, view: str = SHARES_SQL) -> str:
     return f"""
       SELECT coalesce({SUM_SQL}, 0.0::double) AS sumdif, count(*) AS cnt FROM ({view})
@@ -684,7 +765,17 @@ def share_sql() -> dict[str, str]:
         "time_buckets": f"""
           SELECT uuid, {_bucket_sql(60)} AS minute, {_bucket_sql(7)} AS seven
           FROM ({SHARES_SQL})""",
-        "coin_id_lookup": f"SELECT uuid, coin_symbol, coin_id FROM ({MESSAGES_SQL})",
+        "coin_id_lookup": f"""
+          SELECT uuid, coin_symbol, coin_id, cast(average_round_diff AS varchar) AS average_round_diff,
+            cast(coins_in_block AS varchar) AS coins_in_block,
+            cast(current_effort AS varchar) AS current_effort
+          FROM ({MESSAGES_SQL}) JOIN (
+            SELECT coin_id, average_round_diff::decimal(25,10) AS average_round_diff,
+              coins_in_block::decimal(25,10) AS coins_in_block, current_effort::decimal(10,2) AS current_effort
+            FROM (VALUES (4, 0.000964, 2.105129971, 1615), (8, 0, 174.61411571, 0),
+              (9, 1.401112, 10000000, 0), (10, 109052.63157895, 312.245522648, 0),
+              (11, 0.0958054078, 1, 0)) AS c(coin_id, average_round_diff, coins_in_block, current_effort)
+          ) USING (coin_id)""",
         "wallet_id_lookup": f"""
           WITH m AS ({MESSAGES_SQL}), {WALLET_IDS_SQL}
           SELECT m.uuid, m.name, m.coin_id, m.reward_method, coalesce(k.id, 0) AS wallet_id
@@ -709,9 +800,15 @@ def share_sql() -> dict[str, str]:
             m.share_date, {TYPED_SQL}, m.nonce, m.is_solo, m.reward_method
           FROM m JOIN wallet_all w USING (name, coin_id, reward_method)
             JOIN worker_all r USING (workerfull, coin_id, reward_method)""",
+        "strict_messages": """
+          SELECT event_id, event_id % 13 IN (1, 2, 3, 4, 5, 6, 7, 9, 10) AS malformed,
+            if(malformed, NULL, cast(event_id AS varchar)) AS uuid, if(malformed, true, NULL) AS text_kept
+          FROM events""",
         "rejected_shares": f"""
           SELECT CASE WHEN coin_symbol = 'DNX' THEN 'malformed message'
               WHEN coin_symbol = 'HYP' THEN 'unknown coin'
+              WHEN c_hrate % 5 = 0 THEN 'workerfull too long'
+              WHEN server_id = 'EU-2' THEN 'server_id too long'
               WHEN reward_method = 'SOLO' THEN 'bad cost' ELSE 'stored' END AS reject_reason,
             count(*) AS n FROM ({MESSAGES_SQL}) GROUP BY 1""",
         "share_by_uuid": f"""
@@ -732,10 +829,8 @@ def share_sql() -> dict[str, str]:
             "coin_id = 4 AND reward_method = 'PPLNS' AND worker_id = 8"),
         "interval_wallet_and_worker": _interval_sql(
             "coin_id = 8 AND reward_method = 'PPLNS' AND wallet_id = 8 AND worker_id = 8"),
-        "interval_series": f"""
-          SELECT cast(row_number() OVER (ORDER BY bucket_start) - 1 AS integer) AS pos,
-            bucket_start AS time, sumdif AS sum
-          FROM ({_interval_sql("coin_id = 4 AND reward_method = 'PPLNS'")})""",
+        "interval_series": _series_sql(3600, 100),
+        "interval_series_seconds": _series_sql(1, 10_000),
         "coin_hashrate": _hashrate_sql("coin_id = 4", 4294967296.0),
         "wallet_hashrate": _hashrate_sql("wallet_id = 8", 65536.0),
         "worker_hashrate": _hashrate_sql("worker_id = 8", 65536.0),
@@ -753,6 +848,16 @@ def share_sql() -> dict[str, str]:
         "stored_range_scan": _range_sql(
             "coin_id = 8 AND reward_method = 'PPLNS'", datetime(1998, 2, 27),
             datetime(1999, 5, 1), ITEMS_SQL),
+        "stored_share_by_uuid": f"""
+          SELECT uuid, server_id, coin_id, worker_id, wallet_id, share_date, nonce, is_solo,
+            reward_method, {items_text} FROM ({ITEMS_SQL}) WHERE uuid = '1-1'""",
+        "stored_interval_wallet": _interval_sql(
+            "coin_id = 8 AND reward_method = 'PPLNS' AND wallet_id = 3", 86400, ITEMS_SQL,
+            STORED_START, STORED_END),
+        "stored_coin_hashrate": f"""
+          SELECT coalesce({SUM_SQL}, 0.0::double) * 65536.0::double / {400 * 86400}::double AS hashrate
+          FROM ({ITEMS_SQL}) WHERE coin_id = 8 AND share_date <= TIMESTAMP '{STORED_END}'
+            AND share_date > TIMESTAMP '{STORED_END}' - INTERVAL 400 DAY""",
         "compacted_scan": f"""
           SELECT cast(year(share_date) * 100 + month(share_date) AS integer) AS share_month,
             reward_method, count(*) AS cnt, {SUM_SQL} AS sumdif FROM ({ITEMS_SQL}) GROUP BY 1, 2""",

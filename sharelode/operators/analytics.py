@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sharelode.functions.times import bucket_start, time_literal
 
-# A series is one row; beyond this many points, use the rows themselves.
-SERIES_POINTS = 1_000_000
+# Buckets that one row of a series spans.
+SERIES_POINTS = 10_000
 
 
 def share_by_uuid(shares: DataFrame, uuid: str) -> DataFrame:
@@ -52,6 +52,12 @@ def interval_group(shares: DataFrame, start: datetime, end: datetime, interval:
     Buckets are aligned to the epoch, so the first and the last may be partial;
     a bucket without shares is absent. An id of 0 does not filter.
     """
+    return _interval_sums(shares, start, end, interval, coin_id, reward_method,
+                          wallet_id, worker_id).orderBy("bucket_start")
+
+
+def _interval_sums(shares: DataFrame, start: datetime, end: datetime, interval: int,
+                   coin_id: int, reward_method: str, wallet_id: int, worker_id: int) -> DataFrame:
     date = F.col("share_date")
     chosen = (date >= _time(shares, start)) & (date < _time(shares, end))
     chosen = chosen & _selected(shares, coin_id, reward_method)
@@ -63,7 +69,6 @@ def interval_group(shares: DataFrame, start: datetime, end: datetime, interval:
         shares.filter(chosen)
         .groupBy(bucket_start(date, interval).alias("bucket_start"))
         .agg(F.count("*").alias("cnt"), F.sum("difficulty").cast("double").alias("sumdif"))
-        .orderBy("bucket_start")
     )
 
 
@@ -85,18 +90,18 @@ def interval_worker(shares: DataFrame, start: datetime, end: datetime, interval:
 
 
 def interval_series(shares: DataFrame, start: datetime, end: datetime, interval: int,
-                    coin_id: int, reward_method: str, *,
-                    wallet_id: int = 0, worker_id: int = 0) -> DataFrame:
-    """One row with two parallel lists `(times, sums)`.
+                    coin_id: int, reward_method: str, *, wallet_id: int = 0, worker_id: int = 0,
+                    points: int = SERIES_POINTS) -> DataFrame:
+    """Rows `(part, times, sums)` with two parallel lists in time order.
 
-    The length is bounded by the arguments, not by the shares; a period with more
-    buckets than one row should hold is refused.
+    A row holds the buckets of one span of `points` buckets, aligned to the epoch, and
+    `part` is the start of that span. So a row is bounded whatever the period is, and
+    a span without shares has none.
     """
-    if (end - start).total_seconds() > SERIES_POINTS * interval:
-        raise ValueError("too many buckets for one series; use interval_group")
-    rows = interval_group(shares, start, end, interval, coin_id, reward_method,
-                          wallet_id=wallet_id, worker_id=worker_id)
-    points = F.array_sort(F.collect_list(F.struct("bucket_start", "sumdif")))
-    return rows.agg(points.alias("points")).select(
-        F.col("points.bucket_start").alias("times"), F.col("points.sumdif").alias("sums")
+    sums = _interval_sums(shares, start, end, interval, coin_id, reward_method, wallet_id, worker_id)
+    listed = F.array_sort(F.collect_list(F.struct("bucket_start", "sumdif")))
+    return (
+        sums.groupBy(bucket_start(F.col("bucket_start"), interval * points).alias("part"))
+        .agg(listed.alias("points"))
+        .select("part", F.col("points.bucket_start").alias("times"), F.col("points.sumdif").alias("sums"))
     )

@@ -32,11 +32,15 @@ def _estimate(shares: DataFrame, chosen: Column, as_of: datetime, window: int,
 
 def coin_hashrate(shares: DataFrame, coins: DataFrame, symbol: str, as_of: datetime,
                   window: int, hashes_per_difficulty: float) -> DataFrame:
-    """Hashrate of a coin named by its symbol in any case; 0.0 for an unknown one."""
+    """Hashrate of a coin named by its symbol in any case; an unknown symbol is an error.
+
+    The id is looked up first, so that it is a filter of the scan.
+    """
     listed = coins.filter(F.col("symbol") == F.upper(F.lit(symbol))).agg(F.min("id").alias("id"))
     coin_id = listed.first()["id"]
-    chosen = F.col("coin_id") == F.lit(coin_id).cast("bigint")
-    return _estimate(shares, chosen, as_of, window, hashes_per_difficulty)
+    if coin_id is None:
+        raise ValueError(f"unknown coin: {symbol!r}")
+    return _estimate(shares, F.col("coin_id") == F.lit(coin_id), as_of, window, hashes_per_difficulty)
 
 
 def wallet_hashrate(shares: DataFrame, wallet_id: int, as_of: datetime, window: int,

@@ -5,19 +5,28 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from sharelode.session import settle
 
-# A lookup row is a few names of at most 255 characters and a few integers, so
-# this many rows stay well under 100 MB on every executor.
+# What may be sent to every executor: rows, and bytes of text in them.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 # Rows of one key that one task should join; a share is about 200 bytes.
 ROWS_PER_TASK = 1_000_000
 
 
 def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether `df` has at most `rows` rows. A count, so no rows move to one task."""
-    return df.count() <= (BROADCAST_ROWS if rows is None else rows)
+    """Whether `df` has at most `rows` rows and not too much text.
+
+    A count and a sum, so no rows move to one task.
+    """
+    text = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, StringType):
+            text = text + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+    found = df.agg(F.count("*").alias("n"), F.sum(text).alias("bytes")).first()
+    return found.n <= (BROADCAST_ROWS if rows is None else rows) and (found.bytes or 0) <= BROADCAST_BYTES
 
 
 def one_per_key(dim: DataFrame, on: list[str], id_column: str, name: str) -> DataFrame:
@@ -26,14 +35,8 @@ def one_per_key(dim: DataFrame, on: list[str], id_column: str, name: str) -> Dat
 
 
 def heavy_keys(counts: DataFrame, on: list[str]) -> DataFrame:
-    """Keys with too many rows for one task, and over how many `_salts` to spread them.
-
-    A key listed here holds more than 1/BROADCAST_ROWS of all rows, so whatever
-    the data the list is short enough to broadcast.
-    """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    limit = max(ROWS_PER_TASK, total / BROADCAST_ROWS)
-    listed = counts.filter(F.col("n") > F.lit(limit)).dropna(subset=on)
+    """Keys with too many rows for one task, and over how many `_salts` to spread them."""
+    listed = counts.filter(F.col("n") > F.lit(ROWS_PER_TASK)).dropna(subset=on)
     return listed.select(*on, F.ceil(F.col("n") / F.lit(ROWS_PER_TASK)).alias("_salts"))
 
 
@@ -65,7 +68,9 @@ def attach(
 
     if counts is None:
         counts = settle(facts.groupBy(*on).agg(F.count("*").alias("n")))
-    heavy = F.broadcast(settle(heavy_keys(counts, on)))
+    # The list of heavy keys is joined by shuffle where it is too long to be sent.
+    heavy = settle(heavy_keys(counts, on))
+    heavy = F.broadcast(heavy) if fits_broadcast(heavy) else heavy
     salts = F.coalesce(F.col("_salts"), F.lit(1).cast("bigint"))
     whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in on])
     # The number of a task is the same when the task is run again.

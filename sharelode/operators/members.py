@@ -32,14 +32,10 @@ def number_keys(fresh: DataFrame, key: list[str], after: int, name: str = "id",
                 digits: int = BUCKET_DIGITS) -> DataFrame:
     """Give the rows of `fresh`, unique on `key`, the ids `after`+1, `after`+2, ...
 
-    `digits=0` numbers all rows in one task and is for sets of checked size.
+    The ids do not depend on `digits`.
     """
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
     hashed = fresh.withColumn("_hash", digest)
-    if digits == 0:
-        nth = F.row_number().over(Window.orderBy("_hash", *key))
-        return hashed.select(*fresh.columns, (F.lit(after).cast("bigint") + nth).alias(name))
-
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     # One row per bucket: at most 16 ** digits rows, whatever the data.
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -144,7 +140,6 @@ def _resolve(keys: DataFrame, dim: DataFrame, key: list[str]) -> tuple[DataFrame
     known = tagged.filter(F.col("id").isNotNull()).withColumn("is_new", F.lit(False))
     fresh = number_keys(
         tagged.filter(F.col("id").isNull()).drop("id"), key, highest_ids(dim)[0],
-        digits=0 if small else BUCKET_DIGITS,
     )
     ids = known.unionByName(fresh.withColumn("is_new", F.lit(True)))
     return ids.select(*key, "id", "is_new"), fresh

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sharelode.functions.amounts import COST, DIFFICULTY, decimal_text, parse_decimal
 from sharelode.functions.times import from_epoch_ms, to_epoch_ms
-from sharelode.schemas import SHARE_COLUMNS, SHARE_FOUND, WIRE_COLUMNS
+from sharelode.schemas import SHARE_COLUMNS, SHARE_FOUND, TEXT_LIMITS, WIRE_COLUMNS
 
 _CORRUPT = "_corrupt_record"
 _DEFAULTS = {"shareDate": 0, "cHrate": 0, "aHrate": 0, "isSolo": False}
@@ -15,27 +15,54 @@ _DEFAULTS = {"shareDate": 0, "cHrate": 0, "aHrate": 0, "isSolo": False}
 def decode(messages: DataFrame, value: str = "value") -> DataFrame:
     """Replace the JSON text in `value` by one column per message field.
 
-    A missing or null field becomes its zero value. `malformed` marks text that
-    is not a message, and `malformed_text` holds it. Other columns of `messages`
-    are kept.
+    A missing or null field becomes its zero value. Keys are matched exactly. `malformed`
+    marks text that is not one message: other text before or after it, a second object, a field
+    of another type, single quotes. `malformed_text` holds it. Other columns of
+    `messages` are kept.
     """
+    text = F.col(value).cast("string")
+    # A parser stops at the end of the first value. Only one value and no more fits both
+    # as the member of an object that goes on, and as the one element of a list.
     parsed = F.from_json(
-        F.col(value).cast("string"),
-        f"{SHARE_FOUND}, {_CORRUPT} string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT},
+        F.concat(F.lit('{"m":'), text, F.lit(',"end":true}')),
+        f"m struct<{SHARE_FOUND}>, end boolean, {_CORRUPT} string",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"},
     )
+    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     kept = [c for c in messages.columns if c != value]
+    message = F.col("_m")["m"]
     fields = [
-        F.coalesce(F.col("_m")[key], F.lit(_DEFAULTS.get(key, ""))).alias(name)
+        F.coalesce(message[key], F.lit(_DEFAULTS.get(key, ""))).alias(name)
         for key, name in WIRE_COLUMNS.items()
     ]
-    malformed = F.col("_m").isNull() | F.col("_m")[_CORRUPT].isNotNull()
-    return messages.select(*kept, parsed.alias("_m")).select(
-        *kept, *fields, malformed.alias("malformed"),
-        F.col("_m")[_CORRUPT].alias("malformed_text"),
+    whole = F.col("_single") & F.col("_m")["end"] & F.col("_m")[_CORRUPT].isNull() & message.isNotNull()
+    malformed = ~F.coalesce(whole, F.lit(False)) | F.coalesce(_wrong_kind(F.col("_text")), F.lit(False))
+    return (
+        messages.select(*kept, text.alias("_text"), parsed.alias("_m"), single.alias("_single"))
+        .select(*kept, *fields, malformed.alias("malformed"), "_text")
+        .select(*kept, *WIRE_COLUMNS.values(), "malformed",
+                F.when(F.col("malformed"), F.col("_text")).alias("malformed_text"))
     )
 
 
+_TEXT_KEYS = [key for key in WIRE_COLUMNS if key not in _DEFAULTS]
+_MAYBE_WRONG = f'"(?:{"|".join(_TEXT_KEYS)})"\\s*:\\s*(?!["\\s]|null)'
+
+
+def _wrong_kind(text: Column) -> Column:
+    """Whether a field that holds text has a number, a list or an object.
+
+    The text is parsed a second time only where it looks as if it had.
+    """
+    def kind(key: str) -> Column:
+        return F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), f"$.{key}", "variant"))
+
+    wrong = F.lit(False)
+    for key in _TEXT_KEYS:
+        wrong = wrong | ~F.coalesce(kind(key), F.lit("VOID")).isin("STRING", "VOID")
+    return F.when(text.rlike(_MAYBE_WRONG), wrong).otherwise(F.lit(False))
+
+
 def encode(found: DataFrame) -> Column:
     """JSON text of a message, from the columns `decode` gives."""
     return F.to_json(F.struct(*[found[name].alias(key) for key, name in WIRE_COLUMNS.items()]))
@@ -72,6 +99,31 @@ def bad_amount() -> Column:
     )
 
 
+def too_long() -> Column:
+    """Name of the first field that does not fit its stored column, else NULL.
+
+    A wallet's and a worker's name are parts of `workerfull`.
+    """
+    return F.coalesce(*[
+        F.when(F.char_length(name) > size, F.lit(f"{name} too long")) for name, size in TEXT_LIMITS.items()
+    ])
+
+
+def arrival_order(found: DataFrame) -> Column:
+    """A whole number by which messages came: time, then partition, then offset."""
+    order = F.col("share_date_ms").cast("decimal(38,0)")
+    if "arrival" not in found.columns:
+        return order
+    if not {"partition", "offset"} <= set(found.columns):
+        return F.coalesce(F.col("arrival").cast("decimal(38,0)"), order)
+    digits = F.concat(
+        F.lpad(F.col("arrival").cast("string"), 16, "0"),
+        F.lpad(F.coalesce("partition", F.lit(0)).cast("string"), 6, "0"),
+        F.lpad(F.coalesce("offset", F.lit(0)).cast("string"), 16, "0"),
+    )
+    return F.coalesce(digits.cast("decimal(38,0)"), order)
+
+
 def type_shares(shares: DataFrame) -> DataFrame:
     """Shares in the types of the stored table; an unparsable amount fails the job."""
     checked = enforce(shares.withColumn("reject_reason", bad_amount()))

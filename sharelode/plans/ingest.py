@@ -14,10 +14,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sharelode.operators.lookup import attach, coin_ids, fits_broadcast
 from sharelode.operators.members import (
-    BUCKET_DIGITS, find_known, highest_ids, new_wallet_rows, new_worker_rows, number_keys,
+    find_known, highest_ids, new_wallet_rows, new_worker_rows, number_keys,
     wallet_keys, worker_keys,
 )
-from sharelode.operators.messages import bad_amount, decode, enforce, typed_columns
+from sharelode.operators.messages import (
+    arrival_order, bad_amount, decode, enforce, too_long, typed_columns,
+)
 from sharelode.schemas import SHARE_COLUMNS, WALLET_KEY, WORKER_KEY
 from sharelode.session import settle
 
@@ -35,17 +37,15 @@ class Normalized(NamedTuple):
 def judge(found: DataFrame, coins: DataFrame, *, small: bool | None = None) -> DataFrame:
     """Add `coin_id` and, for a share that cannot be stored, a `reject_reason`.
 
-    An `arrival` column, if there is one with values, orders shares; else their
-    own time does. `small` says whether the coins fit a broadcast, when known.
+    An `arrival` column, if there is one with values, orders shares, and among equal values
+    `partition` and `offset` do; else their own time does. `small` says whether the coins
+    fit a broadcast, when known.
     """
-    order = F.col("share_date_ms")
-    if "arrival" in found.columns:
-        order = F.coalesce(F.col("arrival"), order)
-    with_coin = coin_ids(found.withColumn("arrival", order), coins, small=small)
+    with_coin = coin_ids(found.withColumn("arrival", arrival_order(found)), coins, small=small)
     reason = (
         F.when(F.col("malformed"), "malformed message")
         .when(F.col("coin_id").isNull(), "unknown coin")
-        .otherwise(bad_amount())
+        .otherwise(F.coalesce(too_long(), bad_amount()))
     )
     return with_coin.withColumn("reject_reason", reason)
 
@@ -74,7 +74,6 @@ def assign_ids(judged: DataFrame, wallets: DataFrame, workers: DataFrame, *,
     keys = settle(worker_keys(accepted, "arrival"))
     # Wallets, known ids and new ids are all at most as many as these keys.
     small = fits_broadcast(keys)
-    digits = 0 if small else BUCKET_DIGITS
     fits = True if small else None
     tagged = find_known(keys, workers, WORKER_KEY, "worker_id", small=small, unique=True)
     tagged = settle(
@@ -84,11 +83,11 @@ def assign_ids(judged: DataFrame, wallets: DataFrame, workers: DataFrame, *,
     top_wallet, top_worker = highest_ids(wallets, workers)
     fresh_workers = number_keys(
         tagged.filter(F.col("worker_id").isNull()).drop("worker_id", "wallet_id"),
-        WORKER_KEY, top_worker, digits=digits,
+        WORKER_KEY, top_worker,
     )
     fresh_wallets = number_keys(
         wallet_keys(tagged.filter(F.col("wallet_id").isNull())),
-        WALLET_KEY, top_wallet, digits=digits,
+        WALLET_KEY, top_wallet,
     )
     ids = attach(
         tagged,

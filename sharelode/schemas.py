@@ -72,13 +72,17 @@ WIRE_COLUMNS = {
     "cost": "cost",
 }
 
-# The coins a pool starts with (id, symbol, name, algorithm).
+# Characters that the stored columns hold.
+TEXT_LIMITS = {"workerfull": 255, "server_id": 32, "miner_ip": 32, "reward_method": 16}
+
+# The coins a pool starts with: id, symbol, name, algorithm, average_round_diff,
+# current_effort, coins_in_block, average_effort, average_last_effort.
 COIN_SEED = [
-    (4, "ALPH", "Alephium", "Blake 3"),
-    (8, "KAS", "Kaspa", "HeavyHash"),
-    (9, "NEXA", "Nexa", "NexaPow"),
-    (10, "DNX", "", ""),
-    (11, "HYP", "Hypra", "EthashB3"),
+    (4, "ALPH", "Alephium", "Blake 3", "0.000964", "1615", "2.105129971", "0", "0"),
+    (8, "KAS", "Kaspa", "HeavyHash", "0", "0", "174.61411571", "0", "0"),
+    (9, "NEXA", "Nexa", "NexaPow", "1.401112", "0", "10000000", "0", "0"),
+    (10, "DNX", "", "", "109052.63157895", "0", "312.245522648", "0.69", "0.18"),
+    (11, "HYP", "Hypra", "EthashB3", "0.0958054078", "0", "1", "0.89", "1.23"),
 ]
 
 # Natural keys. A solo flag is an attribute, never part of a key.

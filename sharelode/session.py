@@ -6,9 +6,16 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Runtime settings, safe to apply to a session that is already running.
-RUNTIME = {
+# Settings that results depend on; always set.
+REQUIRED = {
     "spark.sql.session.timeZone": "UTC",
+    # Times stored as INT96 carry no statistics, so a filter on share_date
+    # could not skip row groups.
+    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
+}
+
+# Tuning; set only where the session has no value of its own.
+TUNING = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -18,9 +25,6 @@ RUNTIME = {
     # A join whose smaller side turns out to fit in memory task by task is hashed
     # instead of sorting the shares.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "128m",
-    # Times stored as INT96 carry no statistics, so a filter on share_date
-    # could not skip row groups.
-    "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
 }
 
 # Settings of a new session or of spark-submit.
@@ -32,8 +36,12 @@ STATIC = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    for key, value in RUNTIME.items():
+    for key, value in REQUIRED.items():
         spark.conf.set(key, value)
+    own = spark.conf.getAll
+    for key, value in TUNING.items():
+        if key not in own:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -77,7 +77,7 @@ def compact_month(spark: SparkSession, live: str, archive: str, archived: str,
         old = old.filter(F.col(THROUGH) == before)
         rows = rows.unionByName(old.select(*SHARE_COLUMNS))
     rows = rows.withColumn(THROUGH, F.lit(through_batch).cast("bigint"))
-    writer = by_month(rows, THROUGH).write.mode("overwrite")
+    writer = by_month(rows, THROUGH, by_time=True).write.mode("overwrite")
     writer = file_options(writer.option("partitionOverwriteMode", "dynamic"))
     writer.partitionBy(MONTH, THROUGH).parquet(archive)
     entry = spark.range(1).select(

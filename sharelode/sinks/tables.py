@@ -32,8 +32,6 @@ def create_tables(spark: SparkSession, shares: str, wallets: str, workers: str)
 
 def append_dimension(rows: DataFrame, path: str, batch_id: int) -> None:
     """Append new wallets or workers. No rows leave the folder of the batch as it is."""
-    if rows.isEmpty():
-        return
     _replace_batch(rows.withColumn(BATCH, F.lit(batch_id).cast("bigint"))).partitionBy(
         BATCH
     ).parquet(path)
@@ -47,26 +45,25 @@ def file_options(writer: DataFrameWriter) -> DataFrameWriter:
     return writer
 
 
-def by_month(shares: DataFrame, batch_column: str, in_time_order: bool = False) -> DataFrame:
+def by_month(shares: DataFrame, batch_column: str, by_time: bool = False) -> DataFrame:
     """Rows placed for month folders and ordered by time.
 
     Spark splits a month that is too large for one task and joins months that
-    are too small, so neither a busy nor a quiet month decides the file size.
-    Where each partition already covers a short span of time, that shuffle is
-    left out. The order lets a reader skip the row groups and pages outside a
-    time range.
+    are too small, so neither a busy nor a quiet month decides the file size. With `by_time`
+    rows are dealt out by ranges of time, so that the files of a month do not overlap
+    in time; that looks at the rows twice and is for loads of many rows. The order
+    lets a reader skip the row groups and pages outside a time range.
     """
     dated = shares.withColumn(MONTH, month_key(F.col("share_date")))
-    placed = dated if in_time_order else dated.hint("rebalance", F.col(MONTH))
+    placed = dated.repartitionByRange(MONTH, "share_date") if by_time else dated.hint("rebalance", F.col(MONTH))
     return placed.sortWithinPartitions(MONTH, batch_column, "share_date")
 
 
-def append_shares(shares: DataFrame, path: str, batch_id: int, *,
-                  in_time_order: bool = False) -> None:
+def append_shares(shares: DataFrame, path: str, batch_id: int, *, by_time: bool = False) -> None:
     """Append typed shares to the month folders of the table."""
     configure(shares.sparkSession)
     rows = shares.select(*SHARE_COLUMNS).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-    writer = file_options(_replace_batch(by_month(rows, BATCH, in_time_order)))
+    writer = file_options(_replace_batch(by_month(rows, BATCH, by_time)))
     writer.partitionBy(MONTH, BATCH).parquet(path)
 
 

@@ -1,7 +1,8 @@
-"""Share messages as a DataFrame `(value, headers, arrival)`.
+"""Share messages as a DataFrame `(value, headers, arrival, topic, partition, offset)`.
 
 The same columns come from a Kafka topic and from files with one JSON message
-per line. `arrival` is a whole number that orders messages; files have none.
+per line. `arrival` is a whole number that orders messages, `partition` and `offset` order
+those of one moment; files have none.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ NEWEST = -1
 
 
 def offsets_json(topic: str, partitions: list[int], offset: int) -> str:
-    """One offset for every partition of a topic: a number, OLDEST or NEWEST."""
+    """One offset for each of the partitions named: a number, OLDEST or NEWEST.
+
+    A partition that is left out keeps the default of the source. To start all partitions at the
+    oldest or newest message, without naming them, pass `starting="earliest"` or "latest".
+    """
     return json.dumps({topic: {str(p): offset for p in sorted(partitions)}})
 
 
@@ -55,7 +60,10 @@ def kafka_source_options(brokers: list[str], topic: str, group: str, *,
 
 def from_kafka(records: DataFrame) -> DataFrame:
     """The columns used here, from the columns of the Kafka source."""
-    return records.select("value", "headers", F.unix_micros("timestamp").alias("arrival"))
+    return records.select(
+        "value", "headers", F.unix_micros("timestamp").alias("arrival"), "topic",
+        F.col("partition").cast("int"), F.col("offset").cast("bigint"),
+    )
 
 
 def kafka_stream(spark: SparkSession, options: dict[str, str]) -> DataFrame:
@@ -71,6 +79,9 @@ def _from_lines(lines: DataFrame) -> DataFrame:
         "value",
         F.lit(None).cast("array<struct<key:string,value:binary>>").alias("headers"),
         F.lit(None).cast("bigint").alias("arrival"),
+        F.lit(None).cast("string").alias("topic"),
+        F.lit(None).cast("int").alias("partition"),
+        F.lit(None).cast("bigint").alias("offset"),
     )
 
 

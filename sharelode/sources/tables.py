@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from sharelode.schemas import COIN_SEED, COINS, SHARE_COLUMNS, SHARES
 
@@ -19,16 +19,28 @@ def empty_table(spark: SparkSession, schema: str) -> DataFrame:
     return spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("row")).select("row.*")
 
 
+_SEEDED = ["id", "symbol", "name", "algo", "average_round_diff", "current_effort", "coins_in_block",
+           "average_effort", "average_last_effort"]
+
+
 def seed_coins(spark: SparkSession) -> DataFrame:
-    """The coins a pool starts with; columns not seeded have their column defaults."""
-    rows = ", ".join(f"({i}, '{symbol}', '{name}', '{algo}')" for i, symbol, name, algo in COIN_SEED)
-    seeded = spark.sql(f"SELECT * FROM VALUES {rows} AS coins(id, symbol, name, algo)")
+    """The coins a pool starts with, all active.
+
+    `params` and `seo_title` are free text that is not kept here: they are NULL. The other
+    columns not seeded are empty or 0.
+    """
+    rows = ", ".join(str(row) for row in COIN_SEED)
+    seeded = spark.sql(f"SELECT * FROM VALUES {rows} AS coins({', '.join(_SEEDED)})")
     columns = []
-    for declared in re.split(r",\s+", COINS.strip()):
-        name, kind = declared.split()
-        default = {"string": "''", "boolean": "true"}.get(kind, "0")
-        value = name if name in seeded.columns else default
-        columns.append(f"cast({value} AS {kind}) AS {name}")
+    for field in StructType.fromDDL(COINS).fields:
+        kind = field.dataType.simpleString()
+        if field.name in _SEEDED:
+            value = field.name
+        elif field.name in ("params", "seo_title"):
+            value = "NULL"
+        else:
+            value = {"string": "''", "boolean": "true"}.get(kind, "0")
+        columns.append(f"cast({value} AS {kind}) AS {field.name}")
     return seeded.selectExpr(*columns)
 
 
@@ -78,7 +90,8 @@ def read_months(spark: SparkSession, path: str, schema: str, start: datetime | N
 
     Spark cannot derive the months from a filter on share_date: without them
     every folder would be listed and every file opened. With both ends given only
-    the folders of these months are even listed.
+    the folders of these months are even listed. A month without a folder is empty; a
+    table that does not exist is an error.
     """
     schema = f"{schema}, {MONTH} int"
     reader = spark.read.schema(schema).option("basePath", path)
@@ -88,11 +101,16 @@ def read_months(spark: SparkSession, path: str, schema: str, start: datetime | N
     try:
         return reader.parquet(f"{path}/{MONTH}={{{months}}}").filter(months_between(start, end))
     except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
+        if error.getCondition() != "PATH_NOT_FOUND" or not _exists(spark, path):
             raise
         return empty_table(spark, schema)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_shares(spark: SparkSession, path: str, start: datetime | None = None,
                 end: datetime | None = None, *, keep_layout: bool = False) -> DataFrame:
     """Shares of the months from `start` to `end`; all months without them.

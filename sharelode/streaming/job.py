@@ -117,9 +117,9 @@ def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables, coins: Data
         )
         append_dimension(result.new_wallets, tables.wallets, batch_id)
         append_dimension(result.new_workers, tables.workers, batch_id)
-        append_shares(result.shares, tables.shares, batch_id)
+        append_shares(result.shares, tables.shares, batch_id, by_time=not keep)
         if on_error == QUARANTINE:
-            append_dimension(result.rejected.drop("headers"), tables.rejected, batch_id)
+            append_dimension(result.rejected, tables.rejected, batch_id)
     finally:
         if keep:
             judged.unpersist()

@@ -83,12 +83,20 @@ def test_timestamps_with_zone_give_the_same_buckets(shares):
 
 
 def test_series(shares):
-    row = analytics.interval_series(shares, at(0), at(300), 60, 4, "PPLNS").first()
+    (row,) = analytics.interval_series(shares, at(0), at(300), 60, 4, "PPLNS").collect()
     assert row.times == [at(0), at(60), at(240)] and row.sums == [3.0000000001, 4.0, 32.0]
-    empty = analytics.interval_series(shares, at(900), at(960), 60, 4, "PPLNS").first()
-    assert empty.times == [] and empty.sums == []
-    with pytest.raises(ValueError):
-        analytics.interval_series(shares, T, T + timedelta(days=365), 1, 4, "PPLNS")
+    assert analytics.interval_series(shares, at(900), at(960), 60, 4, "PPLNS").count() == 0
+    parts = analytics.interval_series(shares, at(0), at(300), 60, 4, "PPLNS", points=2).collect()
+    assert sorted((r.part, r.times) for r in parts) == [(at(0), [at(0), at(60)]), (at(240), [at(240)])]
+    # A period of any length; only buckets with shares are there.
+    whole = analytics.interval_series(shares, T, T + timedelta(days=3650), 1, 4, "PPLNS").collect()
+    assert sum(len(r.times) for r in whole) == 5
+
+
+def test_series_needs_no_sort_and_no_single_task(shares):
+    plan = analytics.interval_series(shares, at(0), at(300), 1, 4, "PPLNS")._jdf.queryExecution()
+    plan = plan.executedPlan().toString()
+    assert "SinglePartition" not in plan and "Sort [" not in plan and "rangepartitioning" not in plan
 
 
 def test_point_lookup(shares):
@@ -100,7 +108,8 @@ def test_hashrates(spark, shares):
     coins = seed_coins(spark)
     assert hashrate.coin_hashrate(shares, coins, "Alph", at(300), 300, 10.0).first().hashrate == (
         118.0 * 10 / 300)
-    assert hashrate.coin_hashrate(shares, coins, "none", at(300), 300, 10.0).first().hashrate == 0.0
+    with pytest.raises(ValueError, match="unknown coin"):
+        hashrate.coin_hashrate(shares, coins, "none", at(300), 300, 10.0)
     assert hashrate.wallet_hashrate(shares, 2, at(300), 300, 3.0).first().hashrate == 68.0 * 3 / 300
     assert hashrate.worker_hashrate(shares, 3, at(299), 239, 1.0).first().hashrate == 0.0
     with pytest.raises(ValueError):

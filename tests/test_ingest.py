@@ -44,6 +44,10 @@ BAD = [
     (message(difficulty="x"), "bad difficulty"),
     (message(sharedif=""), "bad sharedif"),
     (message(cost="1e40"), "bad cost"),
+    (message(workerfull="w" * 256), "workerfull too long"),
+    (message(serverId="s" * 33), "server_id too long"),
+    (message(minerIp="1" * 33), "miner_ip too long"),
+    (message(rewardMethod="r" * 17), "reward_method too long"),
     ("{broken", "malformed message"),
     ("{}", "unknown coin"),
 ]
@@ -63,6 +67,20 @@ def test_bad_messages_are_set_aside(spark):
     assert [r.name for r in result.new_wallets.collect()] == ["a"]
 
 
+def test_names_may_be_as_long_as_their_columns(spark):
+    texts = [message(workerfull="é" * 255, serverId="s" * 32, minerIp="1" * 32, rewardMethod="r" * 16)]
+    assert run(spark, texts).shares.count() == 1
+
+
+def test_messages_of_one_moment_are_ordered_by_partition_and_offset(spark):
+    rows = [(message(serverId=s), 1000, p, o) for s, p, o in
+            (("c", 1, 5), ("b", 0, 70), ("a", 0, 8), ("d", 2, 1))]
+    found = spark.createDataFrame(rows, "value string, arrival bigint, partition int, offset bigint")
+    result = normalize_messages(
+        found, seed_coins(spark), empty_table(spark, WALLETS), empty_table(spark, WORKERS))
+    assert [r.server_id for r in result.new_workers.collect()] == ["a"]
+
+
 def test_mode_is_checked(spark):
     with pytest.raises(ValueError):
         run(spark, [message()], on_error="ignore")

@@ -1,4 +1,5 @@
 from collections import Counter
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,4 +96,32 @@ def test_seed(spark):
     assert {s: c.id for s, c in coins.items()} == {
         "ALPH": 4, "KAS": 8, "NEXA": 9, "DNX": 10, "HYP": 11,
     }
-    assert coins["KAS"].is_active is True and coins["KAS"].seo_title == ""
+    assert all(c.is_active and c.params is None and c.seo_title is None for c in coins.values())
+    assert coins["ALPH"].current_effort == Decimal("1615.00")
+    assert coins["DNX"].average_round_diff == Decimal("109052.6315789500")
+    assert (coins["HYP"].average_effort, coins["HYP"].average_last_effort) == (Decimal("0.89"), Decimal("1.23"))
+    assert coins["NEXA"].coins_in_block == 10_000_000 and coins["KAS"].min_withdraw == 0
+
+
+def test_heavy_keys_are_salted_at_any_total(spark):
+    counts = spark.createDataFrame(
+        [("hot", 10**12), ("warm", 2_000_000), ("cold", 999_999)], "name string, n bigint")
+    heavy = {r.name: r._salts for r in lookup.heavy_keys(counts, ["name"]).collect()}
+    assert heavy == {"hot": 10**6, "warm": 2}
+
+
+def test_few_long_names_are_not_sent_to_all(spark, monkeypatch):
+    dim = spark.createDataFrame([("k" * 200, 1), ("l" * 200, 2)], "name string, wallet_id bigint")
+    facts = spark.createDataFrame([("k" * 200,), ("l" * 200,), ("m",)], "name string")
+    assert lookup.fits_broadcast(dim)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 399)
+    assert not lookup.fits_broadcast(dim)
+    found = lookup.attach(facts, dim, ["name"], ["wallet_id"])
+    assert {(r.name[0], r.wallet_id) for r in found.collect()} == {("k", 1), ("l", 2), ("m", None)}
+
+
+def test_a_long_list_of_heavy_keys_is_joined_by_shuffle(spark, few_rows_per_task, monkeypatch):
+    facts, dim, on = skewed(spark), dimension(spark), ["name", "coin_id"]
+    plain = Counter(lookup.attach(facts, dim, on, ["wallet_id"], small=True).collect())
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 0)
+    assert Counter(lookup.attach(facts, dim, on, ["wallet_id"]).collect()) == plain

@@ -27,15 +27,29 @@ def test_missing_and_null_fields_get_zero_values_of_their_own_row(spark):
     assert full.uuid == "u"
 
 
-@pytest.mark.parametrize("text", ["{broken", "[]", "", "text", '{"shareDate": "soon"}', None])
+@pytest.mark.parametrize("text", [
+    "{broken", "[]", "", "text", '{"shareDate": "soon"}', None, "null", "{'uuid': 'u'}",
+    message() + message(), message() + " x", message() + "}", message() + ',"x":' + message(),
+    message() + "]", message() + "],[" + message(), message() + ',"end":true}', "[" + message() + "]",
+    message(workerfull=7), message(workerfull={"x": 1}), message(nonce=["a"]), message(uuid=True),
+])
 def test_malformed(spark, text):
     (row,) = decoded(spark, text)
     assert row.malformed is True
 
 
+@pytest.mark.parametrize("text", [
+    "  " + message() + "\n", message(other={"uuid": 5}), message(nonce='"uuid": 5'), message(more=[1, {"x": 2}]),
+])
+def test_well_formed(spark, text):
+    (row,) = decoded(spark, text)
+    assert row.malformed is False and row.uuid == "u" and row.malformed_text is None
+
+
 def test_malformed_text_is_kept(spark):
-    (row,) = decoded(spark, "{broken")
-    assert row.malformed_text == "{broken"
+    for text in ("{broken", message() + message(), message(workerfull=7)):
+        (row,) = decoded(spark, text)
+        assert row.malformed_text == text
 
 
 def test_bytes_and_other_columns(spark):

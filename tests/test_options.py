@@ -38,11 +38,13 @@ def test_sink_options():
 def test_kafka_columns(spark):
     records = spark.range(1).select(
         F.lit(b"k").alias("key"), F.lit(b"{}").alias("value"), F.lit("t").alias("topic"),
+        F.lit(3).alias("partition"), F.lit(42).cast("bigint").alias("offset"),
         F.lit("2024-01-01 00:00:01").cast("timestamp").alias("timestamp"),
         F.array().cast("array<struct<key:string,value:binary>>").alias("headers"),
     )
     row = from_kafka(records).first()
     assert row.arrival == 1704067201000000 and row.headers == []
+    assert (row.topic, row.partition, row.offset) == ("t", 3, 42)
 
 
 def test_jdbc_options_read_in_ranges():

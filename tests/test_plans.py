@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as registered
 from sharelode.operators import members, messages
 from sharelode.plans import ingest
+from sharelode.session import configure
 from sharelode.sources.tables import seed_coins
 from shares import frame, message
 
@@ -35,6 +36,26 @@ def test_sums_are_partial_before_the_shuffle(spark, key):
     assert "props" not in plan and "event_id" not in plan
 
 
+def test_stored_queries_reach_the_scan(spark):
+    plans = {key: plan_of(registered.queries()[key](spark, SF))
+             for key in ("stored_share_by_uuid", "stored_interval_wallet", "stored_coin_hashrate")}
+    assert "EqualTo(uuid,1-1)" in plans["stored_share_by_uuid"]
+    assert "EqualTo(wallet_id,3)" in plans["stored_interval_wallet"]
+    for key in ("stored_interval_wallet", "stored_coin_hashrate"):
+        assert "EqualTo(coin_id,8)" in plans[key] and "GreaterThan" in plans[key]
+        assert "PartitionFilters: [isnotnull(share_month" in plans[key]
+
+
+def test_tuning_of_the_session_is_kept(spark):
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "77m")
+    try:
+        assert configure(spark).conf.get(key) == "77m"
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_decoding_parses_a_message_once(spark):
     decoded = messages.decode(frame(spark, [message()]))
     plan = plan_of(decoded.select("uuid", "cost", "malformed", "share_date_ms"))

@@ -50,17 +50,17 @@ def test_append_and_read_back(spark, tmp_path):
 
 def test_one_share(spark, tmp_path):
     share = {
-        "uuid": "only", "server_id": "EU-1", "coin_id": 4, "worker_id": 4, "wallet_id": 2,
-        "share_date_ms": ms(2025, 2, 12, 19, 9, 6) + 803, "difficulty": "0.008941",
-        "sharedif": "5.14677", "nonce": "9c44", "is_solo": False, "reward_method": "PPLNS",
-        "cost": "0.00124",
+        "uuid": "only", "server_id": "north-7", "coin_id": 9, "worker_id": 31, "wallet_id": 12,
+        "share_date_ms": ms(2023, 8, 30, 4, 45, 59) + 17, "difficulty": "3.25",
+        "sharedif": "12.0625", "nonce": "00ff", "is_solo": True, "reward_method": "SOLO",
+        "cost": "0.5",
     }
     path = f"{tmp_path}/shares"
     append_share(spark, share, path, 0)
     append_share(spark, {**share, "uuid": "other", "difficulty": "7"}, path, 1)
     found = analytics.share_by_uuid(read_shares(spark, path), "only")
     assert [r.asDict() for r in share_text(found, trim_zeros=True).collect()] == [share]
-    assert share_text(found).first().cost == "0.00124000000000000000"
+    assert share_text(found).first().cost == "0.50000000000000000000"
     assert share_text(analytics.share_by_uuid(read_shares(spark, path), "none")).first() is None
 
 
@@ -130,15 +130,32 @@ def test_months_without_shares(spark, tmp_path):
     assert over.count() == 20
     assert read_shares(spark, path, start=datetime(2024, 2, 1)).count() == 40
     assert read_shares(spark, path, end=datetime(2024, 2, 1)).count() == 40
-    with pytest.raises(Exception, match="does not exist"):
-        read_shares(spark, f"{tmp_path}/nowhere").count()
+    for dates in ((), (datetime(2024, 1, 1), datetime(2024, 2, 1))):
+        with pytest.raises(Exception, match="does not exist"):
+            read_shares(spark, f"{tmp_path}/nowhere", *dates).count()
 
 
-def test_input_in_time_order_is_written_without_a_shuffle(spark, tmp_path):
-    shares = months(spark).orderBy("share_date")
-    append_shares(shares, f"{tmp_path}/shares", 0, in_time_order=True)
-    stored = read_shares(spark, f"{tmp_path}/shares")
-    assert Counter(stored.collect()) == Counter(shares.collect())
+def test_files_of_a_month_do_not_overlap_in_time(spark, tmp_path):
+    path = f"{tmp_path}/shares"
+    shares = spark.range(40_000).select(
+        F.col("id").cast("string").alias("uuid"), F.lit("s").alias("server_id"), F.lit(4).cast("bigint").alias("coin_id"),
+        F.lit(1).cast("bigint").alias("worker_id"), F.lit(1).cast("bigint").alias("wallet_id"),
+        F.timestamp_millis(F.lit(ms(2024, 1, 1)) + F.col("id") * 37 % 44_640 * 60_000).alias("share_date"),
+        F.lit(1).cast("decimal(25,10)").alias("difficulty"), F.lit(1).cast("decimal(25,10)").alias("sharedif"),
+        F.md5(F.col("id").cast("string")).alias("nonce"), F.lit(False).alias("is_solo"),
+        F.lit("PPLNS").alias("reward_method"), F.lit(0).cast("decimal(30,20)").alias("cost"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        append_shares(shares, path, 0, by_time=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = glob.glob(f"{path}/share_month=202401/*/*.parquet")
+    spans = sorted(tuple(spark.read.parquet(f).agg(F.min("share_date"), F.max("share_date")).first()) for f in files)
+    assert len(spans) == 8
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+    start, end = datetime(2024, 1, 16, 7), datetime(2024, 1, 16, 8)
+    hour = analytics.range_difficulty_sum(read_shares(spark, path, start, end), start, end, 4, "PPLNS")
+    assert rows_read(hour) <= 2 * 40_000 / 8 + 2000
 
 
 def test_month_edges(spark, tmp_path):

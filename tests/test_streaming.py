@@ -126,6 +126,7 @@ def test_bad_message_stops_the_job_or_is_set_aside(spark, tmp_path):
         "malformed message": 1, "unknown coin": 1,
     }
     assert rejected.filter("malformed").first().malformed_text == "{broken"
+    assert {"headers", "topic", "partition", "offset"} <= set(rejected.columns)
 
 
 def test_empty_input(spark, tmp_path):
