@@ -89,11 +89,11 @@ def test_a_batch_that_stops_between_its_writes_is_completed(spark, tmp_path, mon
     write_files(f"{tmp_path}/in", batch(), 19)
     real, calls = getattr(job, step), []
 
-    def stop(*args):
+    def stop(*args, **options):
         calls.append(1)
         if len(calls) == 2:  # workers of the first batch, or shares of the second
             raise RuntimeError("lost")
-        return real(*args)
+        return real(*args, **options)
 
     monkeypatch.setattr(job, step, stop)
     with pytest.raises(Exception, match="lost"):
