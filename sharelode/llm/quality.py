@@ -59,17 +59,24 @@ STRICT = Policy("strict", 1, tuple(BITS))
 POLICIES = (BASIC, STRICT)
 
 
-def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+           keep: tuple[str, ...] = ()) -> DataFrame:
     """Measurements and failure bits of every document: `doc_id`, MEASURES, `failed_bits`.
 
+    The columns in `keep` come along under their own names.
+
     Words are `[^\\x20\\x09-\\x0D]+`. A null text has no words and fails the rules that
     an empty one fails. One row is returned per input row, repeated and null ids
     included; an empty table gives an empty ledger. Other columns are not looked at.
     """
-    rows = only(docs, doc_id=id_column, text=text_column).withColumn("text", F.col("text").cast("string"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES)
-    return rows.mapInArrow(_measured, schema).withColumn("failed_bits", _bits())
+    rows = only(docs, _id=id_column, text=text_column, **{f"_keep{i}": c for i, c in enumerate(keep)})
+    rows = rows.withColumn("text", F.col("text").cast("string"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
+    found = rows.mapInArrow(_measured, schema + "".join(f", {m} long" for m in MEASURES))
+    kept = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]
+    ids = [] if "doc_id" in keep else [F.col("_id").alias("doc_id")]
+    clear = [m for m in MEASURES if m not in keep]
+    return found.withColumn("failed_bits", _bits()).select(*ids, *kept, *clear, "failed_bits")
 
 
 def _bits() -> Column:
@@ -105,7 +112,8 @@ def ablations(ledger_rows: DataFrame, policies: Iterable[Policy] = POLICIES) ->
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        texts = as_bytes(batch.column(1))
+        texts = as_bytes(batch.column("text"))
+        others = [n for n in batch.schema.names if n != "text"]
         words = [t.split() for t in texts]
         flat, counts = word_hashes(words)
         columns = {
@@ -122,8 +130,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns["n_lines"] = np.array([x[0] for x in lines], np.int64)
         columns["n_dup_lines"] = np.array([x[1] for x in lines], np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(columns[m], pa.int64()) for m in MEASURES)],
-            names=["doc_id", *MEASURES])
+            [*(batch.column(n) for n in others), *(pa.array(columns[m], pa.int64()) for m in MEASURES)],
+            names=[*others, *MEASURES])
 
 
 _SPACE = np.zeros(256, bool)

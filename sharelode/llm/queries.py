@@ -15,7 +15,7 @@ TOKENIZER = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """Path of a public vocabulary."""
     import public_tokenizers
 
@@ -27,7 +27,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), _vocabulary(PIECES))
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary(PIECES))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.packed(_table(spark, sf_dir, "documents"), _vocabulary(TOKENIZER))
+    pieces = packing.packed(_table(spark, sf_dir, "documents"), vocabulary(TOKENIZER))
     return pieces.drop("ids")
 
 
@@ -49,7 +49,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes all texts and decodes the ids; the text comes back as its length and hash."""
-    model = _vocabulary(PIECES)
+    model = vocabulary(PIECES)
     decoded = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents"), model), model)
     return decoded.select("doc_id", "n_ids", "ids_crc32", F.length("text").cast("long").alias("n_chars"),
                           F.sha2("text", 256).alias("text_sha256"))
@@ -75,6 +75,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -87,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_html_extraction": op9_html_extraction,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "pipeline": pipeline,
     }
 
 
