@@ -3,14 +3,15 @@
 Two sets that are alike enough share a shingle among the first of each, under any order of
 all shingles. The orders here put frequent shingles last, as a count sketch of the whole
 corpus sees them, and differ in how they mix those of like frequency. The first order
-gives candidates through a shuffle; a candidate must also have room for enough common shingles
-behind its place, must share enough of the first ones, and must share one under each
-other order, before its sets are compared.
-
-Only which documents hang together is asked for. So pairs within a group that is linked
-already are not compared again: rounds of comparisons with one member of a small part of a
-group link most of it, and what is not linked to a group's largest component by then is
-compared with everything in the group.
+gives candidates: first shingles are dealt to buckets, and a pair must have room for enough
+common shingles behind its places and share enough of its first shingles. Then it must share
+one under each other order, before its sets are compared.
+
+A shingle that is frequent and still among the first of many sets belongs to a large group of
+near copies. Only which documents hang together is asked for, so there not all pairs are
+compared: first members of small parts of such groups are compared with one member of the part,
+which links most of them, and what is not in a group's largest component by then is compared
+with all of the group.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sharelode.llm.common import (
-    as_bytes, left_in_text, list_array, mix, only, signed, slices, stored, window_hashes, word_hashes,
+    as_bytes, mix, only, slices, stored, window_hashes, word_hashes,
 )
 from sharelode.llm.components import connected
 
@@ -35,14 +36,20 @@ PERCENT = 75
 CELLS_PER_DOCUMENT = 4
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
 BLOCK = 4096
-# Rounds of comparisons within parts of a group, and the members of a part.
-ROUNDS = 2
-PART = 32
+# First shingles are dealt to as many buckets that each has those of so many documents.
+DOCUMENTS_PER_BUCKET, LEAST_BUCKETS = 4096, 8
+# A group of at most so many sets gives its pairs right away.
+SMALL_GROUP = 256
+# Pairs that a bucket's task holds before it counts them.
+_PAIRS_AT_ONCE = 1 << 21
+# Of larger groups one in so many is cut into parts of about so many members at first.
+GROUPS_APART, PART = 2, 32
+# Of the mixed keys of the second and the third order.
 _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                    percent: int = PERCENT) -> DataFrame:
+                    percent: int = PERCENT, small_group: int = SMALL_GROUP) -> DataFrame:
     """`doc_id`, `n_shingles`, `component_id` of every document.
 
     A-Z is lower-cased and words are `[^\\x20\\x09-\\x0D]+` of the whole text. A document's set are its
@@ -56,9 +63,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     rows = only(docs, doc_id=id_column, text=text_column).withColumns(
         {"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    n_rows = rows.count()
     cells = LEAST_CELLS
-    wanted = CELLS_PER_DOCUMENT * rows.count()
-    while cells < min(wanted, MOST_CELLS):
+    while cells < min(CELLS_PER_DOCUMENT * n_rows, MOST_CELLS):
         cells *= 2
     passed = stored(
         rows.mapInArrow(lambda b: _profiles(b, cells), "doc_id long, n long, v long, v2 long, block int, counts binary"),
@@ -73,36 +80,40 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         raise RuntimeError("two different sets have the same 64-bit key")
     frequency = _frequency(passed, cells)
 
-    tokens = stored(
+    buckets = n_rows // DOCUMENTS_PER_BUCKET + LEAST_BUCKETS
+    dealt = stored(
         rows.filter("doc_id is not null")
-        .mapInArrow(lambda b: _prefixes(b, frequency.value, percent), "v long, n long, prefix array<long>"),
-        "jaccard-prefixes",
-    ).select("v", "n", F.posexplode("prefix").alias("place", "token"))
-    shared = stored(
-        tokens.groupBy("token").agg(F.min("v").alias("low"), F.max("v").alias("high")).filter("low < high")
-        .select("token"), "jaccard-shared")
-    members = stored(tokens.join(shared, "token", "left_semi").dropDuplicates(["token", "v"]), "jaccard-members")
-    sizes = stored(members.groupBy("token").agg(F.count("*").alias("size")), "jaccard-sizes")
-    members = stored(members.join(sizes, "token"), "jaccard-groups")
-    wanted_sets = members.select("v").distinct().join(sets.select("v", "first"), "v")
+        .mapInArrow(lambda b: _prefixes(b, frequency.value, percent, buckets),
+                    "bucket long, docs binary, entries binary")
+        .groupBy("bucket").applyInArrow(lambda table: _grouped(table, percent, small_group),
+                                        "token long, a long, n_a long, b long, n_b long, count long, place long"),
+        "jaccard-groups")
+    # Without a place: pairs within small groups, counted. With one: first comparisons in large ones.
+    counted = dealt.filter("token is null and place is null").groupBy("a", "b", "n_a", "n_b").agg(
+        F.sum("count").alias("count"))
+    first = dealt.filter("token is null and place is not null").select("a", "b")
+    pairs = stored(
+        counted.filter(_shares_enough(percent)).select("a", "b").unionByName(first).distinct(), "jaccard-pairs")
+    members = dealt.filter("token is not null").select(
+        "token", F.col("a").alias("v"), F.col("n_a").alias("n"), "place", F.col("count").alias("size"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).unionByName(members.select("v")).distinct()
     full = stored(
-        rows.join(wanted_sets, F.col("doc_id") == F.col("first")).select("v", "text")
-        .mapInArrow(lambda b: _full_sets(b, frequency.value, percent),
-                    "v long, tokens binary, second binary, third binary").dropDuplicates(["v"]), "jaccard-full")
-
-    links = None
-    labels = members.select("v").distinct().select("v", F.col("v").alias("c"))
-    for turn in range(ROUNDS + 1):
-        labelled = stored(members.join(labels, "v"), "jaccard-labelled")
-        pairs = _parts(labelled, turn, percent) if turn < ROUNDS else _rest(labelled, percent)
-        found = stored(_compared(pairs, full, percent), "jaccard-links")
-        links = found if links is None else links.unionByName(found)
-        parts = connected(links)
-        labels = members.select("v").distinct().join(parts, F.col("v") == F.col("node"), "left").select(
-            "v", F.coalesce("component", "v").alias("c"))
+        rows.join(wanted.join(sets.select("v", "first"), "v"), F.col("doc_id") == F.col("first")).select("v", "text")
+        .mapInArrow(lambda b: _full_sets(b, frequency.value), "v long, low binary, high binary, levels binary"),
+        "jaccard-full")
+
+    links = _alike(pairs, full, percent)
+    parts = connected(links)
+    if not members.isEmpty():
+        labelled = stored(
+            members.join(parts, F.col("v") == F.col("node"), "left").withColumn("c", F.coalesce("component", "v")),
+            "jaccard-labelled")
+        more = stored(_rest(labelled, counted, percent), "jaccard-pairs")
+        parts = connected(links.unionByName(_alike(more, full, percent)))
 
     # By document: the smallest id of all sets that hang together.
-    joined = sets.join(labels, "v", "left").select("v", "first", "copies", F.coalesce("c", "v").alias("c"))
+    joined = sets.join(parts, F.col("v") == F.col("node"), "left").select(
+        "v", "first", "copies", F.coalesce("component", "v").alias("c"))
     lowest = joined.groupBy("c").agg(F.min("first").alias("component_id"), F.sum("copies").alias("together"))
     changed = stored(
         joined.join(lowest.filter("together > 1"), "c").select("v", "component_id"), "jaccard-components")
@@ -124,23 +135,12 @@ def _may_link(percent: int) -> Column:
     )
 
 
-def _parts(labelled: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Each member of a group with one member of the small part of the group it falls in."""
-    dealt = labelled.withColumn(
-        "part", F.pmod(F.xxhash64("v", F.lit(turn)), F.ceil(F.col("size") / PART)))
-    heads = stored(
-        dealt.groupBy("token", "part").agg(F.min(F.struct(
-            F.xxhash64("v", F.lit(turn), F.lit("head")).alias("h"), F.col("v").alias("v2"), F.col("n").alias("n2"),
-            F.col("place").alias("place2"), F.col("c").alias("c2"))).alias("head")), "jaccard-heads")
-    return (
-        dealt.join(heads.select("token", "part", "head.v2", "head.n2", "head.place2", "head.c2"), ["token", "part"])
-        .filter((F.col("c") != F.col("c2")) & _may_link(percent))
-        .select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
-    )
-
+def _rest(labelled: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share enough of their first shingles.
 
-def _rest(labelled: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components, found from the side that is not a group's largest."""
+    They are found from the side that is not a group's largest. `counted` has what pairs share in
+    small groups.
+    """
     counts = labelled.groupBy("token", "c").agg(F.count("*").alias("k"))
     largest = stored(
         counts.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("kinds"))
@@ -149,21 +149,44 @@ def _rest(labelled: DataFrame, percent: int) -> DataFrame:
     side = open_groups.filter("c <> top")
     other = open_groups.select("token", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("place").alias("place2"),
                                F.col("c").alias("c2"), (F.col("c") == F.col("top")).alias("is_top"))
+    swap = F.col("v") > F.col("v2")
     return (
         side.join(other, (side["token"] == other["token"]) & (F.col("c") != F.col("c2"))
                   & (F.col("is_top") | (F.col("v") < F.col("v2"))) & _may_link(percent))
-        .select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
+        .select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b"),
+                F.when(swap, F.col("n2")).otherwise(F.col("n")).alias("n_a"),
+                F.when(swap, F.col("n")).otherwise(F.col("n2")).alias("n_b"))
+        .groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("large"))
+        .join(counted.select("a", "b", F.col("count").alias("small")), ["a", "b"], "left")
+        .withColumn("count", F.col("large") + F.coalesce("small", F.lit(0)))
+        .filter(_shares_enough(percent)).select("a", "b")
     )
 
 
-def _compared(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """The pairs that pass the filters of the other orders and are alike."""
-    left = full.select(*[F.col(c).alias(f"{c}_a") for c in full.columns])
-    right = full.select(*[F.col(c).alias(f"{c}_b") for c in full.columns])
-    return (
-        pairs.join(left, F.col("a") == F.col("v_a")).join(right, F.col("b") == F.col("v_b")).drop("v_a", "v_b")
-        .mapInArrow(lambda b: _alike(b, percent), "a long, b long")
-    )
+def _shares_enough(percent: int) -> Column:
+    """Whether the pair shares as many of its first shingles as its sizes ask for.
+
+    What both have behind the first ones is at most the larger set's remainder.
+    """
+    rest = F.ceil(F.greatest("n_a", "n_b") * percent / 100) - 1
+    return (F.col("count") + rest) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+
+def _alike(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the filters of the other orders and are alike.
+
+    Sets are compared by the lower halves of their hashes. Where equal halves of different
+    shingles could decide, the whole hashes are.
+    """
+    def compared(some: DataFrame, columns: list[str], function, schema: str) -> DataFrame:
+        left, right = (full.select(F.col("v").alias(f"v_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+                       for x in "ab")
+        both = some.join(left, F.col("a") == F.col("v_a")).join(right, F.col("b") == F.col("v_b")).drop("v_a", "v_b")
+        return stored(both.mapInArrow(lambda batches: function(batches, percent), schema), "jaccard-links")
+
+    likely = compared(pairs, ["low", "levels"], _likely, "a long, b long, sure boolean")
+    checked = compared(likely.filter("not sure").select("a", "b"), ["low", "high"], _certain, "a long, b long")
+    return likely.filter("sure").select("a", "b").unionByName(checked)
 
 
 def _frequency(passed: DataFrame, cells: int):
@@ -192,7 +215,7 @@ def _frequency(passed: DataFrame, cells: int):
     return spark.sparkContext.broadcast(classes)  # MOST_CELLS bytes at most
 
 
-def _sum_counts(key, frame: pd.DataFrame) -> pd.DataFrame:
+def _sum_counts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros(BLOCK, np.int64)
     for counts in frame["counts"]:
         total += np.frombuffer(counts, np.int64)
@@ -208,7 +231,7 @@ def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     sets = []
     for text, end, n in zip(words, ends.tolist(), counts.tolist()):
         if n >= SHINGLE:
-            sets.append(np.unique(hashes[end - n:end - SHINGLE + 1]))
+            sets.append(_distinct(hashes[end - n:end - SHINGLE + 1]))
         elif n:
             sets.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(text), n)], np.uint64))
         else:
@@ -216,6 +239,14 @@ def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     return sets
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    values = np.sort(values)
+    new = np.empty(len(values), bool)
+    new[0] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
+
+
 def _key(tokens: np.ndarray) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(tokens.tobytes())
     return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
@@ -251,47 +282,169 @@ def _prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def _ordered(tokens: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
-    """Places of the tokens by frequency, and among those of like frequency by a mixed key."""
-    keys = mix(tokens ^ np.uint64(seed)) >> np.uint64(6) | levels.astype(np.uint64) << np.uint64(58)
-    return np.argsort(keys)
+def _order_keys(tokens: np.ndarray, levels: np.ndarray, seed: int) -> np.ndarray:
+    """Tokens are ordered by frequency, and among those of like frequency by a mixed key."""
+    return mix(tokens ^ np.uint64(seed)) >> np.uint64(6) | levels.astype(np.uint64) << np.uint64(58)
+
+
+def _first(tokens: np.ndarray, levels: np.ndarray, length: int) -> np.ndarray:
+    """The first tokens in the first order."""
+    keys = _order_keys(tokens, levels, 0)
+    if length < len(tokens):
+        some = np.argpartition(keys, length - 1)[:length]
+        return tokens[some[np.argsort(keys[some])]]
+    return tokens[np.argsort(keys)]
+
 
+_DOC = np.dtype([("v", np.int64), ("n", np.int32), ("entries", np.int32)])
+_ENTRY = np.dtype([("token", np.uint32), ("place", np.int32)])
 
-def _prefixes(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+
+def _prefixes(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, percent: int,
+              buckets: int) -> Iterator[pa.RecordBatch]:
+    """The first shingles of all sets, dealt to buckets by hash, packed for the shuffle.
+
+    Within a bucket a shingle is known by 32 bits; two that share them only make more candidates.
+    """
     for batch in slices(batches):
-        vs, ns, found = [], [], []
+        docs, found = [], []
         for tokens in _sets(batch):
             if len(tokens):
-                order = _ordered(tokens, frequency[_cell(tokens, len(frequency))], 0)
-                vs.append(_key(tokens)[0])
-                ns.append(len(tokens))
-                found.append(tokens[order[:_prefix_length(len(tokens), percent)]])
-        if found:
-            counts = np.array([len(f) for f in found], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(vs, pa.int64()), pa.array(ns, pa.int64()),
-                 list_array(signed(np.concatenate(found)), counts, pa.int64())], names=["v", "n", "prefix"])
+                first = _first(tokens, frequency[_cell(tokens, len(frequency))], _prefix_length(len(tokens), percent))
+                docs.append((_key(tokens)[0], len(tokens), 0))
+                found.append(mix(first))
+        if not found:
+            continue
+        sizes = np.array([len(f) for f in found])
+        keys = np.concatenate(found)
+        doc = np.repeat(np.arange(len(found)), sizes)
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, doc = bucket[order], doc[order]
+        entries = np.empty(len(keys), _ENTRY)
+        entries["token"], entries["place"] = (keys & np.uint64(0xFFFFFFFF))[order], place[order]
+        table = np.array(docs, _DOC)
+        starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = []
+        for start, end in zip(starts, np.append(starts[1:], len(keys))):
+            mine, counts = np.unique(doc[start:end], return_counts=True)
+            own = table[mine]
+            own["entries"] = counts
+            rows.append((own.tobytes(), entries[start:end].tobytes()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[starts], pa.int64()), *(pa.array(x, pa.binary()) for x in zip(*rows))],
+            names=["bucket", "docs", "entries"])
+
+
+def _room(n: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs with a common shingle at these places can have enough in common."""
+    low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    room = np.minimum(place[a], place[b]) + np.minimum(n[a] - place[a], n[b] - place[b])
+    return (low * 100 >= high * percent) & (room * (100 + percent) >= (n[a] + n[b]) * percent)
+
 
+def _grouped(table: pa.Table, percent: int, small_group: int) -> pa.Table:
+    """Of a bucket the pairs of sets within small groups, counted, and the members of large groups.
 
-def _full_sets(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Whole sets, and the first tokens under the other orders, of the rows whose text has that set."""
+    Large groups give some pairs too, for first comparisons.
+    """
+    docs = np.concatenate([np.frombuffer(x.as_buffer(), _DOC) for x in table.column("docs")])
+    entries = np.concatenate([np.frombuffer(x.as_buffer(), _ENTRY) for x in table.column("entries")])
+    v, n = np.repeat(docs["v"], docs["entries"]), np.repeat(docs["n"], docs["entries"]).astype(np.int64)
+    token, place = entries["token"], entries["place"].astype(np.int64)
+    order = np.lexsort((v, token))
+    v, n, token, place = v[order], n[order], token[order], place[order]
+    new = np.ones(len(v), bool)  # copies of one set count once
+    new[1:] = (token[1:] != token[:-1]) | (v[1:] != v[:-1])
+    v, n, token, place = v[new], n[new], token[new], place[new]
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    size = np.diff(np.append(starts, len(token)))
+    left = np.repeat(np.append(starts[1:], len(token)), size) - np.arange(len(token))  # to the end of the group
+    size = np.repeat(size, size)
+
+    pieces = []
+    small = np.where((size > 1) & (size <= small_group), left - 1, 0)  # pairs that start at a member
+    cuts = np.flatnonzero(np.diff(np.cumsum(small) // _PAIRS_AT_ONCE, prepend=0))
+    for start, end in zip([0, *cuts], [*cuts, len(small)]):
+        found = []
+        at = np.arange(start, end)[small[start:end] > 0]
+        distance = 1
+        while len(at):
+            a, b = at, at + distance
+            good = _room(n, place, a, b, percent)
+            found.append(np.stack([v[a[good]], n[a[good]], v[b[good]], n[b[good]]], axis=1))
+            distance += 1
+            at = at[small[at] >= distance]
+        if found:
+            pairs = np.concatenate(found)
+            order = np.lexsort((pairs[:, 2], pairs[:, 0]))
+            pairs = pairs[order]
+            first = np.flatnonzero(np.append(True, (pairs[1:, [0, 2]] != pairs[:-1, [0, 2]]).any(axis=1))) \
+                if len(pairs) else np.empty(0, np.int64)
+            pieces.append((pairs[first], np.diff(np.append(first, len(pairs)))))
+    large = size > small_group
+    apart = np.flatnonzero(large & (token % GROUPS_APART == 0))
+    if len(apart):
+        # Each member with the head of its part; these need not share more than the one shingle here.
+        h = mix(v[apart].view(np.uint64) ^ mix(token[apart].astype(np.uint64)))
+        part = h % (size[apart] // PART + 1).astype(np.uint64)
+        order = np.lexsort((h, part, token[apart]))
+        apart, part = apart[order], part[order]
+        head = np.append(True, (token[apart][1:] != token[apart][:-1]) | (part[1:] != part[:-1]))
+        heads = apart[head][np.cumsum(head) - 1]
+        good = (heads != apart) & _room(n, place, heads, apart, percent)
+        x, y = np.where(v[heads] < v[apart], heads, apart)[good], np.where(v[heads] < v[apart], apart, heads)[good]
+        firsts = np.stack([v[x], n[x], v[y], n[y]], axis=1)
+    else:
+        firsts = np.empty((0, 4), np.int64)
+    pairs = np.concatenate([p for p, _ in pieces]) if pieces else np.empty((0, 4), np.int64)
+    counts = np.concatenate([c for _, c in pieces]) if pieces else np.empty(0, np.int64)
+    bucket = table.column("bucket")[0].as_py()
+    tokens = token[large].astype(np.int64) | bucket << 32
+    lengths = (len(pairs), len(firsts), len(tokens))
+
+    def column(*parts):
+        """A column of the three kinds of rows; a kind without a value is null."""
+        return pa.chunked_array([
+            pa.nulls(length, pa.int64()) if part is None else pa.array(np.ascontiguousarray(part), pa.int64())
+            for part, length in zip(parts, lengths)])
+
+    return pa.table({
+        "token": column(None, None, tokens),
+        "a": column(pairs[:, 0], firsts[:, 0], v[large]),
+        "n_a": column(pairs[:, 1], firsts[:, 1], n[large]),
+        "b": column(pairs[:, 2], firsts[:, 2], None),
+        "n_b": column(pairs[:, 3], firsts[:, 3], None),
+        "count": column(counts, None, size[large]),
+        "place": column(None, np.zeros(len(firsts), np.int64), place[large]),
+    })
+
+
+def _full_sets(batches: Iterator[pa.RecordBatch], frequency: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Whole sets of the rows whose text has that set: halves of the hashes, and how frequent."""
     for batch in slices(batches):
         rows = []
         for v, tokens in zip(batch.column("v").to_pylist(), _sets(batch)):
             if len(tokens) and _key(tokens)[0] == v:
-                levels = frequency[_cell(tokens, len(frequency))]
-                first = [np.sort(tokens[_ordered(tokens, levels, seed)[:_prefix_length(len(tokens), percent)]]
-                                 & np.uint64(0xFFFFFFFF)).astype(np.uint32) for seed in _SEEDS]
-                rows.append((v, tokens.tobytes(), *(f.tobytes() for f in first)))
+                tokens = tokens[np.argsort(tokens & _LOW, kind="stable")]
+                rows.append((v, (tokens & _LOW).astype(np.uint32).tobytes(),
+                             (tokens >> np.uint64(32)).astype(np.uint32).tobytes(),
+                             frequency[_cell(tokens, len(frequency))].tobytes()))
         if rows:
-            v, tokens, second, third = zip(*rows)
+            v, low, high, levels = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(v, pa.int64()), *(pa.array(x, pa.binary()) for x in (tokens, second, third))],
-                names=["v", "tokens", "second", "third"])
+                [pa.array(v, pa.int64()), *(pa.array(x, pa.binary()) for x in (low, high, levels))],
+                names=["v", "low", "high", "levels"])
+
+
+_LOW = np.uint64(0xFFFFFFFF)
+# More equal halves of different shingles than this do not meet in one pair.
+_CHANCE = 2
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Members of two sorted arrays of distinct values that are in both."""
+    """Members of the shorter of two sorted arrays that are in the other."""
     if len(a) > len(b):
         a, b = b, a
     at = np.searchsorted(b, a)
@@ -299,18 +452,42 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _alike(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = {n: batch.column(n) for n in batch.schema.names}
+def _first_under(low: np.ndarray, levels: np.ndarray, seed: int, percent: int) -> np.ndarray:
+    """Sorted halves of the first shingles under another order; all that are level with the last of them."""
+    keys = _order_keys(low.astype(np.uint64), levels, seed)
+    last = np.partition(keys, _prefix_length(len(low), percent) - 1)[_prefix_length(len(low), percent) - 1]
+    return low[keys <= last]
 
-        def values(name: str, i: int, kind) -> np.ndarray:
-            return np.frombuffer(columns[name][i].as_buffer(), kind)
 
+def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that pass all filters and have enough in common, by half hashes; `sure` if no chance can matter."""
+    for batch in batches:
+        keep, sure = [], []
+        for i in range(batch.num_rows):
+            (low_a, levels_a), (low_b, levels_b) = (
+                (np.frombuffer(batch.column(f"low_{x}")[i].as_buffer(), np.uint32),
+                 np.frombuffer(batch.column(f"levels_{x}")[i].as_buffer(), np.uint8)) for x in "ab")
+            if not all(_common(_first_under(low_a, levels_a, seed, percent), _first_under(low_b, levels_b, seed, percent))
+                       for seed in _SEEDS):
+                continue
+            common = _common(low_a, low_b)
+            needed = -(-(len(low_a) + len(low_b)) * percent // (100 + percent))
+            if common >= needed:
+                keep.append(i)
+                sure.append(common > needed + _CHANCE)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64())),
+             pa.array(sure, pa.bool_())], names=["a", "b", "sure"])
+
+
+def _certain(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs that are alike by whole hashes."""
+    for batch in batches:
         keep = []
         for i in range(batch.num_rows):
-            if all(_common(values(f"{o}_a", i, np.uint32), values(f"{o}_b", i, np.uint32)) for o in ("second", "third")):
-                a, b = values("tokens_a", i, np.uint64), values("tokens_b", i, np.uint64)
-                common = _common(a, b)
-                if 100 * common >= percent * (len(a) + len(b) - common):
-                    keep.append(i)
+            a, b = (np.sort(np.frombuffer(batch.column(f"high_{x}")[i].as_buffer(), np.uint32).astype(np.uint64) << np.uint64(32)
+                            | np.frombuffer(batch.column(f"low_{x}")[i].as_buffer(), np.uint32)) for x in "ab")
+            common = _common(a, b)
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                keep.append(i)
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))

@@ -26,12 +26,10 @@ def test_against_all_pairs(spark, seed):
     assert cases.ordered(tuple(r) for r in found.collect()) == cases.ordered(cases.components(rows))
 
 
-def test_small_parts_and_no_rounds_give_the_same(spark, monkeypatch):
+def test_large_groups_give_the_same(spark):
     rows = _near(7)
-    for rounds, part in ((0, 32), (3, 2)):
-        monkeypatch.setattr(jaccard, "ROUNDS", rounds)
-        monkeypatch.setattr(jaccard, "PART", part)
-        found = jaccard.near_duplicates(cases.frame(spark, rows))
+    for small in (1, 5):
+        found = jaccard.near_duplicates(cases.frame(spark, rows), small_group=small)
         assert cases.ordered(tuple(r) for r in found.collect()) == cases.ordered(cases.components(rows))
 
 
@@ -41,7 +39,9 @@ def test_empty_table_and_only_empty_texts(spark):
     assert sorted(tuple(r) for r in found) == [(4, 0, 4), (5, 0, 5), (6, 0, 6)]
 
 
-def test_connected(spark):
+@pytest.mark.parametrize("per_task", [10, 1000])
+def test_connected(spark, monkeypatch, per_task):
+    monkeypatch.setattr(components, "LINKS_PER_TASK", per_task)
     path = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 140)]
     found = components.connected(spark.createDataFrame([*path, *star, (300, 200), (7, 7)], "a long, b long")).collect()
