@@ -1,9 +1,10 @@
-"""Ids of a BPE vocabulary with word ends, by remembered words.
+"""Ids of a BPE vocabulary with word ends, by remembered parts of words.
 
-The tokenizer cuts at white space before anything else, so the ids of a text are those
-of its words in a row. A worker remembers the ids of words it has met. New words of
-plain letters, digits and punctuation are cut by the vocabulary's own pattern and merged
-for many words at once; all others are left to the library.
+The tokenizer lower-cases, cuts at white space and by a pattern, and merges within the
+parts, so the ids of a text are those of its parts in a row. A worker remembers the ids of
+parts it has met, and merges new ones many at a time. That holds for texts of plain letters,
+digits and punctuation; the words of other texts are left to the library if they are not
+plain themselves.
 """
 
 from __future__ import annotations
@@ -11,16 +12,27 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 from tokenizers import Tokenizer
 
-MEMO_WORDS = 3 << 18
+MEMO_PARTS = 3 << 18
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 # The vocabulary's cutting pattern on lower-case text of the plain characters (fixed values).
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\x09-\\x0d ]+")
+_PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-ÿ\\x09-\\x0d ]*")
+_WORDS = re.compile("[^\\x09-\\x0d ]+")
+# Before a word that the library encodes; no part begins like that.
+_RAW = " "
 _NEVER = np.int32(1 << 30)
+_SLOTS = 1 << 20
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
 @lru_cache(maxsize=4)
@@ -44,49 +56,65 @@ class WordBpe:
         self.last = np.array([vocabulary[c + end] for c in letters], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         keys = np.array([vocabulary[a] << 16 | vocabulary[b] for a, b in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.ranks = order.astype(np.int32)
         self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
-        self.words: dict[bytes, bytes] = {}
+        self._hash(keys)
         self.parts: dict[str, bytes] = {}
 
-    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
-        """The ids of each text, given as its words."""
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
+    def _hash(self, keys: np.ndarray) -> None:
+        """Pairs to their ranks in a table with open places, so that most lookups are one step."""
+        self.slot_keys = np.full(_SLOTS + 64, -1, np.int64)
+        self.slot_ranks = np.full(_SLOTS + 64, _NEVER, np.int32)
+        self.steps = 1
+        for rank, (key, slot) in enumerate(zip(keys.tolist(), _slot(keys).tolist())):
+            step = 1
+            while self.slot_keys[slot] >= 0:
+                slot, step = slot + 1, step + 1
+            self.slot_keys[slot], self.slot_ranks[slot] = key, rank
+            self.steps = max(self.steps, step)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        if len(self.parts) > MEMO_PARTS:
             self.parts.clear()
-        found = [list(map(self.words.get, words)) for words in texts]
-        new = {w for words, ids in zip(texts, found) if None in ids for w, i in zip(words, ids) if i is None}
-        self._learn(new)
-        return [b"".join(ids if None not in ids else map(self.words.__getitem__, words))
-                for words, ids in zip(texts, found)]
-
-    def _learn(self, new: set[bytes]) -> None:
-        cut, others, unknown = [], [], set()
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            if _PLAIN.fullmatch(text):
-                parts = _PARTS.findall(text.lower())
-                cut.append((word, parts))
-                unknown.update([p for p in parts if p not in self.parts])
-            else:
-                others.append((word, text))
-        if unknown:
-            unknown = list(unknown)
-            self.parts.update(zip(unknown, self._merge([p.encode() for p in unknown])))
-        for word, parts in cut:
-            self.words[word] = self.parts[parts[0]] if len(parts) == 1 else b"".join([self.parts[p] for p in parts])
-        for start in range(0, len(others), 1024):
-            some = others[start:start + 1024]
-            ids = self.library.encode_batch_fast([t for _, t in some], add_special_tokens=False)
-            for (word, _), encoded in zip(some, ids):
-                self.words[word] = np.array(encoded.ids, "<u2").tobytes()
+        cut = [self._cut(text) for text in texts]
+        flat = list(chain.from_iterable(cut))
+        ids = list(map(self.parts.get, flat))
+        new = list(compress(range(len(flat)), map(is_, ids, repeat(None))))
+        if new:
+            self._learn({flat[i] for i in new})
+            for i in new:
+                ids[i] = self.parts[flat[i]]
+        ends = np.cumsum([len(c) for c in cut]).tolist()
+        return [b"".join(ids[end - len(c):end]) for c, end in zip(cut, ends)]
+
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        if _PLAIN_TEXT.fullmatch(text):
+            return _PARTS.findall(text.lower())
+        parts = []
+        for word in _WORDS.findall(text):
+            parts += _PARTS.findall(word.lower()) if _PLAIN.fullmatch(word) else [_RAW + word]
+        return parts
+
+    def _learn(self, new: set[str]) -> None:
+        raw = [p for p in new if p[0] == _RAW]
+        own = [p for p in new if p[0] != _RAW] if raw else list(new)
+        if own:
+            self.parts.update(zip(own, self._merge([p.encode() for p in own])))
+        for start in range(0, len(raw), 1024):
+            some = raw[start:start + 1024]
+            found = self.library.encode_batch_fast([p[1:] for p in some], add_special_tokens=False)
+            for part, encoded in zip(some, found):
+                self.parts[part] = np.array(encoded.ids, "<u2").tobytes()
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of two symbols side by side; a symbol of -1 has none."""
         keys = left.astype(np.int64) << 16 | right
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where((self.keys[at] == keys) & (right >= 0) & (left >= 0), self.ranks[at], _NEVER)
+        slots = _slot(keys)
+        ranks = np.where(self.slot_keys[slots] == keys, self.slot_ranks[slots], _NEVER)
+        for step in range(1, self.steps):
+            ranks = np.where(self.slot_keys[slots + step] == keys, self.slot_ranks[slots + step], ranks)
+        return np.where((left >= 0) & (right >= 0), ranks, _NEVER)
 
     def _merge(self, parts: list[bytes]) -> list[bytes]:
         lengths = np.fromiter(map(len, parts), np.int64, len(parts))
