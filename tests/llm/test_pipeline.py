@@ -52,9 +52,12 @@ def _is_kept(text):
 def test_odd_rows_pass_all_stages(spark):
     docs = cases.frame(spark, cases.documents(4), clash=False).selectExpr(
         "doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars")
-    for _, stage in corpus_pipeline.STAGES:
+    corpus_pipeline.quality_rules(spark, docs, SF).count()  # rejects them
+    for _, stage in corpus_pipeline.STAGES[1:]:
         docs = stage(spark, docs, SF)
     assert docs.count() > 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(f"{SF}/documents.parquet").filter("false"), SF).count() == 0
 
 
 @pytest.mark.parametrize("key", sorted(text_queries.oracle_sql()))
