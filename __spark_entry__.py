@@ -272,7 +272,8 @@ def message_defaults(spark, sf_dir):
 
 def strict_messages(spark, sf_dir):
     """Texts that are one message, and texts that only begin like one."""
-    clean = messages.encode(event_messages(spark, sf_dir))
+    source = event_messages(spark, sf_dir)
+    clean = messages.encode(source)
     uuid = F.col("uuid")
     forms = [
         clean,
@@ -292,8 +293,7 @@ def strict_messages(spark, sf_dir):
     text = F.lit(None).cast("string")
     for i, form in enumerate(forms):
         text = F.when(F.col("arrival") % len(forms) == i, form).otherwise(text)
-    sent = event_messages(spark, sf_dir).select(F.col("arrival").alias("event_id"), text.alias("value"),
-                                                text.alias("sent"))
+    sent = source.select(F.col("arrival").alias("event_id"), text.alias("value"), text.alias("sent"))
     found = messages.decode(sent)
     good = ~F.col("malformed")
     return found.select(
