@@ -43,7 +43,7 @@ SMALL_GROUP = 256
 # Pairs that a bucket's task holds before it counts them.
 _PAIRS_AT_ONCE = 1 << 21
 # Of larger groups one in so many is cut into parts of about so many members at first.
-GROUPS_APART, PART = 2, 32
+GROUPS_APART, PART = 4, 32
 # Of the mixed keys of the second and the third order.
 _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 
