@@ -3,12 +3,14 @@
 A text is lower-cased (A-Z) and cut into words; rules are regular expressions over its
 words joined by one space. A first expression over the raw text keeps texts without any
 license word out of all further work. Of the rest a rule is tried only if its keyword is
-there. Each match is an interval with its rule's priority; a match that lies within one
+there. Both follow from the patterns, so they lose no match. Each match is an interval with its rule's priority; a match that lies within one
 of at least its priority, or overlaps one of a higher priority, is suppressed.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sharelode.llm.common import only
@@ -23,8 +25,11 @@ BASE = [
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of lower-cased text
 _RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # of text as it is
-# Every rule and base phrase needs one of these.
-_GATE = r"(?i)licen[cs]|spdx|copyleft|public domain|creative ?commons|warranty|(?<![0-9a-z])cc(?![0-9a-z])"
+# What is between words, as the inside of a character class.
+_BETWEEN = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+# Texts that let a rule's matches through the gate, and what the gate then looks for.
+_MARKS = {"licen": None, "spdx": "spdx", "copyleft": "copyleft", "public domain": "public domain",
+          "creativecommons": "creative ?commons", "creative": "creative ?commons"}
 
 # label, names, short names, how its address goes on, versions. Names are words joined by one space.
 _LICENSES = [
@@ -89,25 +94,54 @@ _COMMONS = [
 ]
 _COMMONS_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 _OTHERS = [
-    ("cc0", 90, "cc", "cc ?(?:0|zero)(?: 1 0)?(?: universal)?"),
-    ("cc0", 90, "creativecommons", "creativecommons org publicdomain zero"),
-    ("public-domain", 70, "public domain", "(?:dedicated to|released (?:in)?to|placed in|in) the public domain"),
-    ("public-domain", 50, "public domain", "public domain"),
-    ("all-rights-reserved", 60, "licen", "all rights reserved"),
-    ("proprietary", 70, "licen", "proprietary licen[cs]e|end user licen[cs]e agreement|commercial licen[cs]e"),
-    ("no-warranty", 30, "warranty", "without (?:any )?warranty|without warranties or conditions"),
-    ("permission-notice", 40, "licen", "permission is hereby granted free of charge"),
-    ("unknown-license", 20, "licen", "(?:licen[cs]ed|released|distributed|published) under"),
-    ("unknown-license", 10, "licen", "(?:open source|free software|content) licen[cs]e"),
-    ("copyleft", 30, "copyleft", "copyleft"),
+    ("cc0", 90, "cc ?(?:0|zero)(?: 1 0)?(?: universal)?"),
+    ("cc0", 90, "creativecommons org publicdomain zero"),
+    ("public-domain", 70, "(?:dedicated to|released (?:in)?to|placed in|in) the public domain"),
+    ("public-domain", 50, "public domain"),
+    ("all-rights-reserved", 60, "all rights reserved"),
+    ("proprietary", 70, "proprietary licen[cs]e|end user licen[cs]e agreement|commercial licen[cs]e"),
+    ("no-warranty", 30, "without (?:any )?warranty|without warranties or conditions"),
+    ("permission-notice", 40, "permission is hereby granted free of charge"),
+    ("unknown-license", 20, "(?:licen[cs]ed|released|distributed|published) under"),
+    ("unknown-license", 10, "(?:open source|free software|content) licen[cs]e"),
+    ("copyleft", 30, "copyleft"),
 ]
 
 _GRANT = "(?:licen[cs]ed|released|distributed|published|available|provided|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?"
 _VERSION = "(?: version| v)? ?"
 
 
-def _keyword(address: str) -> str:
-    return "licen" if "licen" in address else address.split(" ")[0]
+def _texts(pattern: str) -> list[str]:
+    """Texts that every match contains, in order; the first starts it and the last ends it (both may be empty)."""
+    alternatives, texts, at = [], [""], 0
+    while at < len(pattern):
+        if pattern[at] == "|":
+            alternatives, texts, at = [*alternatives, texts], [""], at + 1
+            continue
+        if pattern[at] == "(":
+            end, depth = at + 1, 1
+            while depth:
+                depth += {"(": 1, ")": -1}.get(pattern[end], 0)
+                end += 1
+            inner = _texts(pattern[at + len("(?:"):end - 1])
+        elif pattern[at] == "[":
+            end, inner = pattern.index("]", at) + 1, ["", ""]
+        else:
+            end, inner = at + 1, [pattern[at]]
+        if pattern[end:end + 1] in ("?", "*", "+"):
+            end, inner = end + 1, ["", ""]
+        texts = [*texts[:-1], texts[-1] + inner[0], *inner[1:]]
+        at = end
+    if not alternatives:
+        return texts
+    parts = {t[i:j] for t in texts for i in range(len(t)) for j in range(i + 1, len(t) + 1)}
+    shared = [p for p in parts if all(any(p in t for t in other) for other in alternatives)]
+    return ["", max(shared, key=lambda p: (len(p), p), default=""), ""]
+
+
+def _keyword(pattern: str) -> str:
+    """The longest text that every match contains."""
+    return max(_texts(pattern), key=len)
 
 
 def rules() -> list[tuple[str, int, str, str]]:
@@ -119,30 +153,61 @@ def rules() -> list[tuple[str, int, str, str]]:
             if number.endswith(" 0"):
                 number = f"{number[:-2]}(?: 0)?"
             made += [
-                (f"{label}-{version}", 95, "spdx", f"spdx licen[cs]e identifier {short} {number}(?: (?:only|or later))?"),
-                (f"{label}-{version}", 85, "licen", f"(?:{_GRANT})?(?:{name}){_VERSION}{number}"),
-                (f"{label}-{version}", 80, _keyword(address), f"{address} {number}"),
-                (f"{label}-{version}", 75, "licen", f"{_GRANT}{short}{_VERSION}{number}"),
+                (f"{label}-{version}", 95, f"spdx licen[cs]e identifier {short} {number}(?: (?:only|or later))?"),
+                (f"{label}-{version}", 85, f"(?:{_GRANT})?(?:{name}){_VERSION}{number}"),
+                (f"{label}-{version}", 80, f"{address} {number}"),
+                (f"{label}-{version}", 75, f"{_GRANT}{short}{_VERSION}{number}"),
             ]
         made += [
-            (label, 90, "spdx", f"spdx licen[cs]e identifier {short}"),
-            (label, 75, _keyword(address), address),
-            (label, 70, "licen", f"{_GRANT}(?:{name}|{short})"),
-            (label, 65, "licen", f"(?:{name})"),
+            (label, 90, f"spdx licen[cs]e identifier {short}"),
+            (label, 75, address),
+            (label, 70, f"{_GRANT}(?:{name})"),
+            (label, 70, f"{_GRANT}{short}"),
+            (label, 65, f"(?:{name})"),
         ]
     for label, name, short in _COMMONS:
         for version in _COMMONS_VERSIONS:
             number = version.replace(".", " ")
             made += [
-                (f"{label}-{version}", 92, "cc", f"cc {short}{_VERSION}{number}"),
-                (f"{label}-{version}", 90, "creative", f"creative ?commons {name}{_VERSION}{number}"),
+                (f"{label}-{version}", 92, f"cc {short}{_VERSION}{number}"),
+                (f"{label}-{version}", 90, f"creative ?commons {name}{_VERSION}{number}"),
             ]
         made += [
-            (label, 85, "creativecommons", f"creativecommons org licenses {short}"),
-            (label, 80, "creative", f"creative commons {name}"),
-            (label, 80, "cc", f"cc {short}"),
+            (label, 85, f"creativecommons org licenses {short}"),
+            (label, 80, f"creative commons {name}"),
+            (label, 80, f"cc {short}"),
         ]
-    return made + _OTHERS
+    return [(label, priority, _keyword(pattern), pattern) for label, priority, pattern in made + _OTHERS]
+
+
+def _gate() -> str:
+    """An expression over text as it is that finds something in each text in which a rule or base phrase matches.
+
+    It looks for the marks, and for the whole pattern of a rule that has none. All but the
+    license word start a word, as matches do.
+    """
+    whole: dict[str, None] = {}
+    marks = set()
+    for _, _, _, pattern in rules():
+        mark = next((m for m in _MARKS if any(m in t for t in _texts(pattern))), None)
+        if mark is None:
+            whole[pattern] = None
+        elif _MARKS[mark]:
+            marks.add(_MARKS[mark])
+    # A pattern that goes on where a shorter one ends adds nothing.
+    least = [p for p in whole if not any(p != q and "|" not in re.sub(r"\(.*?\)", "", q) and p.startswith(q) for q in whole)]
+    granted = [p.removeprefix(_GRANT) for p in least if p.startswith(_GRANT)]
+    starts = [*sorted(marks), *(p for p in least if not p.startswith(_GRANT)), f"{_GRANT}(?:{'|'.join(granted)})"]
+
+    def spread(piece: re.Match) -> str:
+        if piece[0][0] == "[":
+            return piece[0].replace(" ", _BETWEEN)
+        return f"[{_BETWEEN}]" + ("*" if piece[0] == " ?" else "+")
+
+    return f"(?i)licen[cs]|(?<![0-9a-z])(?:{re.sub(r'\[[^]]*\]| \??', spread, '|'.join(starts))})"
+
+
+_GATE = _gate()
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
