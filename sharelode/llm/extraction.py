@@ -28,7 +28,9 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
     r"|<[!?/][^>]*(?:>|\Z)", re.S)
-_HINT = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# One attribute: its name up to white space, "=", "/" or the end, and its value with the quotes.
+_ATTRIBUTE = re.compile(r"""([^\s/][^\s/=]*+)(?:\s*+=\s*+("[^"]*+"?|'[^']*+'?|[^\s"'][^\s]*+)?)?""")
+_HINTS = {"class", "id", "role", "hidden", "aria-hidden", "style"}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _COMMAS = re.compile("[,，、،]")
@@ -171,14 +173,23 @@ def _goes_along(element: _Element) -> bool:
     return element.tag == "p" and (density < 0.25 and element.chars > 80 or not element.linked and element.chars > 20)
 
 
+def _hints(attributes: str) -> Iterator[tuple[str, str]]:
+    """Name and value of each attribute that can tell what an element is; the first of a name counts."""
+    seen = set()
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name = name.lower()
+        if name in _HINTS and name not in seen:
+            seen.add(name)
+            yield name, value.strip("\"'")
+
+
 def _is_out(tag: str, attributes: str, parent: _Element) -> bool:
     if tag in _LEFT_OUT:
         # The header of an article holds its title.
         return not (tag == "header" and _within(parent, "article"))
     if not attributes or tag in _NEVER_OUT and not attributes:
         return False
-    for name, value in _HINT.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in _hints(attributes):
         if name == "role":
             if value.lower() in _ROLES:
                 return True
