@@ -2,7 +2,8 @@
 
 The tokenizer lower-cases, cuts at white space and by a pattern, and merges within the
 parts, so the ids of a text are those of its parts in a row. A worker remembers the ids of
-parts it has met, and merges new ones many at a time. That holds for texts of plain letters,
+parts it has met, and merges new ones many at a time. Added tokens are found in the text as it is,
+before all else, and what is between two of them is encoded by itself. That holds for texts of plain letters,
 digits and punctuation; the words of other texts are left to the library if they are not
 plain themselves.
 """
@@ -27,6 +28,8 @@ _PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-ÿ\\x09-\\x0d ]*")
 _WORDS = re.compile("[^\\x09-\\x0d ]+")
 # Before a word that the library encodes; no part begins like that.
 _RAW = " "
+# Before an added token; no other part begins like that.
+_ADDED = "\n"
 _NEVER = np.int32(1 << 30)
 _SLOTS = 1 << 20
 
@@ -37,19 +40,28 @@ def _slot(keys: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=4)
 def load(path: str) -> "WordBpe":
-    return WordBpe(path)
+    """The vocabulary as the library reads it: the literals of added tokens are those tokens."""
+    return WordBpe(path, encode_special_tokens=False)
 
 
 class WordBpe:
-    """Encodes words to little-endian 16-bit ids."""
+    """Encodes words to little-endian 16-bit ids.
 
-    def __init__(self, path: str):
+    `encode_special_tokens` is the library's option: with it the literals of added special
+    tokens are encoded like any other text.
+    """
+
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+            content = json.load(file)
+        model = content["model"]
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = encode_special_tokens
+        added = [t for t in content.get("added_tokens") or [] if not (encode_special_tokens and t["special"])]
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+            raise ValueError("added tokens must be found in the text as it is")
         vocabulary, end = model["vocab"], model["end_of_word_suffix"]
-        if max(vocabulary.values()) >= 1 << 16:
+        if max([*vocabulary.values(), *(t["id"] for t in added)]) >= 1 << 16:
             raise ValueError("ids must fit in 16 bits")
         letters = _byte_letters()
         self.inner = np.array([vocabulary[c] for c in letters], np.int32)
@@ -59,6 +71,10 @@ class WordBpe:
         self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
         self._hash(keys)
         self.parts: dict[str, bytes] = {}
+        # At one place the longest added token counts.
+        self.literals = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.added = {_ADDED + t["content"]: t["id"].to_bytes(2, "little") for t in added}
+        self.between = re.compile(f"({'|'.join(map(re.escape, self.literals))})")
 
     def _hash(self, keys: np.ndarray) -> None:
         """Pairs to their ranks in a table with open places, so that most lookups are one step."""
@@ -76,6 +92,7 @@ class WordBpe:
         """The ids of each text."""
         if len(self.parts) > MEMO_PARTS:
             self.parts.clear()
+        self.parts.update(self.added)
         cut = [self._cut(text) for text in texts]
         flat = list(chain.from_iterable(cut))
         ids = list(map(self.parts.get, flat))
@@ -87,8 +104,16 @@ class WordBpe:
         ends = np.cumsum([len(c) for c in cut]).tolist()
         return [b"".join(ids[end - len(c):end]) for c, end in zip(cut, ends)]
 
+    def _cut(self, text: str) -> list[str]:
+        if not any(a in text for a in self.literals):
+            return self._cut_between(text)
+        parts = []
+        for i, piece in enumerate(self.between.split(text)):
+            parts += [_ADDED + piece] if i % 2 else self._cut_between(piece)
+        return parts
+
     @staticmethod
-    def _cut(text: str) -> list[str]:
+    def _cut_between(text: str) -> list[str]:
         if _PLAIN_TEXT.fullmatch(text):
             return _PARTS.findall(text.lower())
         parts = []
