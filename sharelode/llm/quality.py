@@ -8,6 +8,7 @@ policy decides alone. A new policy needs no second look at the texts.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ RULES = [
     ("many_symbols", "10 * n_symbols > 3 * n_words"),
     ("repeated_lines", "n_lines >= 4 and 2 * n_dup_lines > n_lines"),
     ("short_words", "n_words > 0 and word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 30 * n_words"),
+    ("long_words", "word_chars > 30 * n_words and 2 * n_unspaced <= n_letters"),
     ("few_letters", "2 * n_letters < word_chars"),
     ("few_word_kinds", "n_words >= 20 and 20 * n_kinds < n_words and n_kinds < 10"),
     ("shouting", "n_letters >= 40 and 10 * n_upper > 7 * n_letters"),
@@ -39,6 +40,9 @@ BASE = BITS["too_few_words"] | BITS["repeated_words"]
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
             "n_letters", "n_upper", "n_kinds", "n_stutter"]
+# Measured for a rule, not part of the ledger: characters of scripts without spaces between
+# words, counted only in texts that have long words.
+_INNER = "n_unspaced"
 
 
 @dataclass(frozen=True)
@@ -72,7 +76,7 @@ def ledger(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     rows = only(docs, _id=id_column, text=text_column, **{f"_keep{i}": c for i, c in enumerate(keep)})
     rows = rows.withColumn("text", F.col("text").cast("string"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    found = rows.mapInArrow(_measured, schema + "".join(f", {m} long" for m in MEASURES))
+    found = rows.mapInArrow(_measured, schema + "".join(f", {m} long" for m in [*MEASURES, _INNER]))
     kept = [F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)]
     ids = [] if "doc_id" in keep else [F.col("_id").alias("doc_id")]
     clear = [m for m in MEASURES if m not in keep]
@@ -129,11 +133,19 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = [_lines(t) for t in texts]
         columns["n_lines"] = np.array([x[0] for x in lines], np.int64)
         columns["n_dup_lines"] = np.array([x[1] for x in lines], np.int64)
+        columns[_INNER] = np.zeros(len(texts), np.int64)
+        for i in np.flatnonzero(columns["word_chars"] > 30 * counts).tolist():
+            columns[_INNER][i] = sum(map(len, _UNSPACED.findall(texts[i].decode(errors="replace"))))
+        made = [*MEASURES, _INNER]
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(n) for n in others), *(pa.array(columns[m], pa.int64()) for m in MEASURES)],
-            names=[*others, *MEASURES])
+            [*(batch.column(n) for n in others), *(pa.array(columns[m], pa.int64()) for m in made)],
+            names=[*others, *made])
 
 
+# Thai, Lao, Tibetan, Burmese, Khmer, Tai scripts, Chinese, Japanese and Yi, with their punctuation.
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u2e80-\u2fff\u3001-\u312f\u31a0-\u4dbf"
+                       "\u4e00-\ua4cf\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff01-\uff9f\U00020000-\U0003ffff]+")
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LATER = np.zeros(256, bool)  # bytes within a character
