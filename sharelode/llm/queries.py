@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sharelode.llm import (
-    extraction, jaccard, licenses, packing, pieces, quality, repeats, search, sql, token_counts, warc,
+    audit, extraction, jaccard, licenses, packing, pieces, quality, repeats, search, sql, token_counts, warc,
 )
 from sharelode.llm.common import scratch_path
 
@@ -75,6 +75,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -93,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_html_extraction": op9_html_extraction,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }
 
@@ -104,4 +109,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": sql.ARCHIVES,
         "op8_quality_rules": sql.QUALITY,
         "op10_ngram_jaccard": sql.NEAR,
+        "op13_filter_audit": sql.AUDIT,
     }

@@ -110,3 +110,44 @@ reach AS (
 SELECT d.doc_id, coalesce(n, 0)::bigint AS n_shingles, coalesce(component_id, d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (row_id) LEFT JOIN reach ON reach.x = d.doc_id
 """
+
+AUDIT = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+said AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS bad
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+    if(len(w) < 50, 1, 0) + if(100 * len(list_distinct(w)) < 65 * len(w), 2, 0)
+    + if(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t), 4, 0)
+    + if(regexp_matches(t, '[#$%&*|]'), 8, 0)
+    + if(coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false), 16, 0) AS mask
+  FROM d LEFT JOIN said USING (doc_id)),
+n AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad
+  FROM m GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+    list_sum([0] || list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::int AS earlier
+  FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders)),
+r AS (
+  SELECT part, filter_order, step, own,
+    sum(if(mask & (earlier | own) = 0, n, 0)) AS kept,
+    sum(if(mask & own <> 0 AND mask & earlier = 0, n, 0)) AS removed,
+    sum(if(mask & own <> 0 AND mask & earlier <> 0, n, 0)) AS redundant,
+    sum(if(mask = own, n, 0)) AS unique_fails,
+    sum(if(mask & own <> 0 AND mask & earlier = 0, good, 0)) AS good_lost,
+    sum(if(mask & own <> 0 AND mask & earlier = 0, bad, 0)) AS toxic_lost
+  FROM n, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept::bigint AS kept, removed::bigint AS removed, redundant::bigint AS redundant,
+  unique_fails::bigint AS unique_fails, good_lost::bigint AS good_lost, toxic_lost::bigint AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::bigint AS shapley
+FROM r
+"""

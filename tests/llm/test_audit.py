@@ -1,0 +1,119 @@
+import itertools
+import random
+
+import pytest
+
+import cases
+from compare import duck, duck_rows, spark_rows
+from sharelode.llm import audit, queries
+
+KIND = "doc_id long, text string, source string"
+
+
+def brute(rows, labels):
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, t in labels if t == 1 and d is not None}
+    least = {}
+    for doc_id, text, _ in rows:
+        if doc_id is not None:
+            least[text or ""] = min(least.get(text or "", doc_id), doc_id)
+    parts = {}
+    for doc_id, text, source in rows:
+        t = text or ""
+        w = cases.words(t)
+        fails = set()
+        if len(w) < 50:
+            fails.add("A")
+        if 100 * len(set(w)) < 65 * len(w):
+            fails.add("B")
+        if 100 * sum("A" <= c <= "Z" for c in t) > 5 * len(t):
+            fails.add("C")
+        if set(t) & set("#$%&*|"):
+            fails.add("D")
+        if doc_id is not None and least[t] < doc_id:
+            fails.add("E")
+        parts.setdefault(source or "", []).append((fails, doc_id in good, doc_id in toxic))
+    out = []
+    for part, documents in parts.items():
+        found, shares = {}, dict.fromkeys("ABCDE", 0)
+        for order in map("".join, itertools.permutations("ABCDE")):
+            gone = set()
+            for step, own in enumerate(order, 1):
+                failing = [i for i, d in enumerate(documents) if own in d[0]]
+                removed = [i for i in failing if i not in gone]
+                redundant = len(failing) - len(removed)
+                gone.update(removed)
+                shares[own] += len(removed)
+                found[order, step] = (
+                    len(documents) - len(gone), len(removed), redundant, sum(d[0] == {own} for d in documents),
+                    sum(documents[i][1] for i in removed), sum(documents[i][2] for i in removed))
+        out += [(part, order, step, *numbers, shares[order[step - 1]]) for (order, step), numbers in found.items()]
+    return sorted(out)
+
+
+def rows_and_labels(seed):
+    rng = random.Random(seed)
+    texts = ["", None, " \n ", "Aa Bb | 9", "x" * 5000, "A B C " * 30, " ".join(f"w{i}" for i in range(60)),
+             " ".join(f"w{i}" for i in range(60)) + " #", "é" * 20 + "A", "é" * 19 + "A", "one\x1ctwo", "日本 " * 60]
+    texts += [" ".join(rng.choice(["a", "B", "c$", "dé"]) + str(rng.randrange(40)) for _ in range(rng.choice([49, 50, 90])))
+              for _ in range(8)]
+    rows = [(rng.randrange(200), rng.choice(texts), rng.choice(["s", "t", None, ""])) for _ in range(160)]
+    rows += [(None, texts[6], "s"), (None, None, None), (1 << 60, texts[6], "u"), ((1 << 60) + 1, texts[6], "u"),
+             (-5, texts[4], "u"), rows[0], rows[1]]
+    labels = [(rng.randrange(220), rng.choice([0, 1, None]), rng.choice([0, 1, None])) for _ in range(150)]
+    return rows, labels + [(None, 1, 1), labels[0]]
+
+
+def table(spark, path, rows, files):
+    """A table in files that are read in the order of their times."""
+    for i in range(files):
+        part = cases.frame(spark, rows[i::files], KIND)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def found(df):
+    order = ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"]
+    return sorted(tuple(r) for r in df.select(*order).collect())
+
+
+@pytest.mark.parametrize("seed,batches", [(1, 1), (2, 3)])
+def test_against_every_order(spark, tmp_path, monkeypatch, seed, batches):
+    monkeypatch.setattr(audit, "SHARD", 10)
+    rows, labels = rows_and_labels(seed)
+    rows.sort(key=lambda r: -(r[0] or 0))  # later files have smaller ids, so masks are retracted
+    path = table(spark, f"{tmp_path}/docs", rows, 3)
+    said = cases.frame(spark, labels, "doc_id long, quality int, toxic int")
+    assert found(audit.audit(spark, path, said, batches=batches)) == brute(rows, labels)
+
+
+def test_new_files_are_added_to_what_is_known(spark, tmp_path):
+    rows, labels = rows_and_labels(3)
+    said = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    later, first = rows[:60], rows[60:]
+    path = table(spark, f"{tmp_path}/docs", first, 2)
+    scratch = f"{tmp_path}/scratch"
+    assert found(audit.audit(spark, path, said, scratch=scratch)) == brute(first, labels)
+    assert found(audit.audit(spark, path, said, scratch=scratch)) == brute(first, labels)
+    table(spark, path, later, 1)
+    assert found(audit.audit(spark, path, said, scratch=scratch)) == brute(rows, labels)
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], KIND).write.parquet(f"{tmp_path}/docs")
+    said = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert audit.audit(spark, f"{tmp_path}/docs", said).collect() == []
+
+
+def test_entries_of_a_text_that_fills_the_table(spark):
+    rows = spark.range(5000).selectExpr("id as doc_id", "'same' as text", "'s' as source")
+    entries = audit.combined(audit.judged(rows.coalesce(1)), 4)
+    assert entries.filter("key is not null").count() <= 1 + 5000 // 1000
+    assert entries.filter("key is null").groupBy().sum("n").first()[0] == 5000
+
+
+def test_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    columns, rows = spark_rows(queries.op13_filter_audit(spark, sf))
+    expected_columns, expected = duck_rows(duck(sf), queries.oracle_sql()["op13_filter_audit"])
+    assert columns == expected_columns and rows == expected
