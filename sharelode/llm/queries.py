@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sharelode.llm import (
     audit, extraction, jaccard, licenses, packing, pieces, quality, repeats, search, sql, token_counts, warc,
+    whitening,
 )
 from sharelode.llm.common import scratch_path
 
@@ -75,6 +76,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
 
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_html_extraction": op9_html_extraction,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op12_embedding_whitening": op12_embedding_whitening,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }

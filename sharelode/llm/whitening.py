@@ -14,19 +14,20 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sharelode.llm.common import only, stored
 
 COMPONENTS = 32
-SCALE, SHIFT = 64, 1_000_000
+SCALE = 64
 # Rows of a stored block are so many that it holds about this number of bytes.
 BLOCK_BYTES = 4 << 20
 # Whole numbers beyond are cut off, so that the sum of a block fits 64 bits.
 LARGEST = 1 << 44
 
 # A residual below this share of the largest eigenvalue is rounding.
-TOLERANCE = 1e-14
+TOLERANCE = 2e-14
 # Wanted vectors that get a correction in the same passes over the rows.
 TARGETS = 32
 INNER_STEPS = 6
@@ -103,7 +104,8 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.diff(offsets)
         bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
         live = np.flatnonzero(bad[offsets[1:]] == bad[offsets[:-1]])
-        ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
+        ids = pc.fill_null(batch.column("vec_id"), 0).to_numpy(zero_copy_only=False)
+        has_id = batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
         step = max(1, BLOCK_BYTES // (8 * max(1, int(lengths[live].max(initial=0)))))
         for at in range(0, len(live), step):
             chosen = live[at:at + step]
@@ -113,16 +115,14 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own = np.flatnonzero(lengths[chosen] == length)
                 matrix[own, :length] = values[offsets[chosen[own]][:, None] + np.arange(length)]
             whole = np.clip(np.floor(SCALE * matrix), -LARGEST, LARGEST).astype(np.int64)
-            known = np.array([batch.column("vec_id")[int(i)].is_valid for i in chosen], np.uint8)
-            own_ids = np.nan_to_num(ids[chosen]) if ids.dtype.kind == "f" else ids[chosen]
+            raw = [x.tobytes() for x in (ids[chosen], has_id[chosen].astype(np.uint8), whole)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([dims], pa.int32()),
-                 *[pa.array([x.tobytes()], pa.binary()) for x in (own_ids.astype(np.int64), known, whole)]],
+                [pa.array([dims], pa.int32()), *[pa.array([x], pa.binary()) for x in raw]],
                 names=["dims", "ids", "known", "matrix"])
 
 
-def _read(batches: Iterable[pa.RecordBatch], dims: int) -> Iterator[tuple[pa.StructScalar, np.ndarray]]:
-    """Blocks as matrices of whole numbers, without the shift, which centring takes out again."""
+def _read(batches: Iterable[pa.RecordBatch], dims: int) -> Iterator[tuple[dict, np.ndarray]]:
+    """Blocks as matrices of floor(64 * c); centring would take the constant out again."""
     for batch in batches:
         for row in batch.to_pylist():
             matrix = np.frombuffer(row["matrix"], np.int64).reshape(len(row["known"]), row["dims"])
@@ -229,8 +229,8 @@ def eigenpairs(product: Product, dims: int, wanted: int, trace: float) -> tuple[
     """The `wanted` largest eigenvalues of a matrix known by its product, and their unit vectors.
 
     The matrix is symmetric without negative eigenvalues, and `trace` their sum. Pairs whose
-    value is rounding are left out. All are locked when their residuals are as small
-    as rounding; a matrix for which that does not happen is an error.
+    value is rounding are left out. A pair is locked when its residual is as small as rounding;
+    the iteration ends when all are, or the subspace is the whole space.
     """
     start = np.random.default_rng(0).standard_normal((dims, min(wanted + 4, dims)))
     basis = np.linalg.qr(start)[0]
@@ -243,6 +243,7 @@ def eigenpairs(product: Product, dims: int, wanted: int, trace: float) -> tuple[
         inner = whole.T @ whole_images
         values, inside = np.linalg.eigh((inner + inner.T) / 2)
         values, inside = values[::-1], inside[:, ::-1]
+        inside = _calmest(values, inside, whole, whole_images)
         candidates, their_images = whole @ inside, whole_images @ inside
         residuals = their_images - candidates * values
         sizes = np.linalg.norm(residuals[:, :wanted], axis=0)
@@ -254,19 +255,40 @@ def eigenpairs(product: Product, dims: int, wanted: int, trace: float) -> tuple[
         keep = whole.shape[1] if whole.shape[1] + wanted <= most else wanted + 4
         basis, images = candidates[:, first:keep], their_images[:, first:keep]
         open_ones = [j for j in range(first, wanted) if not done[j]][:min(TARGETS, dims - keep)]
-        corrections = minres(product, candidates[:, open_ones], locked, values[open_ones],
-                             -residuals[:, open_ones])
-        fresh = _orthogonal(corrections, np.hstack([locked, basis]))
-        if not fresh.shape[1]:
-            fresh = _orthogonal(residuals[:, open_ones], np.hstack([locked, basis]))
+        # A correction is sought beside all wanted vectors: equal eigenvalues would make the equation singular.
+        taken = np.hstack([locked, basis])
+        corrections = minres(product, candidates[:, :wanted], values[open_ones], -residuals[:, open_ones])
+        fresh = _orthogonal(corrections, taken)
+        if fresh.shape[1] < len(open_ones):
+            more = _orthogonal(residuals[:, open_ones], np.hstack([taken, fresh]))
+            fresh = np.hstack([fresh, more[:, :len(open_ones) - fresh.shape[1]]])
         if not fresh.shape[1]:
             break  # nothing left but rounding
         basis, images = np.hstack([basis, fresh]), np.hstack([images, product(fresh)])
     else:
-        raise ArithmeticError(f"{int((~done).sum())} eigenvectors have not converged")
-    values, vectors = values[:wanted], candidates[:, :wanted]
+        if sizes.max() > 1e-10 * values[0]:
+            raise ArithmeticError(f"{int((~done).sum())} eigenvectors have not converged")
+    values, found = values[:wanted], candidates[:, :wanted]
     real = values > 1e-13 * max(values[0], 0)
-    return values[real], np.linalg.qr(vectors[:, real])[0] * 1.0 if real.any() else vectors[:, :0]
+    return values[real], found[:, real] / np.linalg.norm(found[:, real], axis=0)
+
+
+def _calmest(values: np.ndarray, inside: np.ndarray, whole: np.ndarray, images: np.ndarray) -> np.ndarray:
+    """Turn the vectors of equal values so that those with the smallest residuals come first.
+
+    Otherwise a vector just found would be mixed into those that have converged.
+    """
+    inside = inside.copy()
+    first = 0
+    for end in range(1, len(values) + 1):
+        if end < len(values) and values[first] - values[end] <= 1e-12 * abs(values[0]):
+            continue
+        if end - first > 1:
+            own = inside[:, first:end]
+            turn = np.linalg.svd(images @ own - whole @ own * values[first:end], full_matrices=False)[2]
+            inside[:, first:end] = own @ turn[::-1].T
+        first = end
+    return inside
 
 
 def _orthogonal(vectors: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -290,16 +312,15 @@ def _orthogonal(vectors: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return np.array(found).T if found else np.zeros((len(basis), 0))
 
 
-def minres(product: Product, own: np.ndarray, locked: np.ndarray, values: np.ndarray,
-           right: np.ndarray, steps: int = INNER_STEPS) -> np.ndarray:
-    """Approximate solutions of (A - value) t = right, each orthogonal to its vector and the locked ones.
+def minres(product: Product, beside: np.ndarray, values: np.ndarray, right: np.ndarray,
+           steps: int = INNER_STEPS) -> np.ndarray:
+    """Approximate solutions of (A - value) t = right, all orthogonal to the columns of `beside`.
 
-    All equations take a step together, with one product for all of them.
+    The equations, projected likewise, take a step together, with one product for all of them.
     """
     def projected(block: np.ndarray) -> np.ndarray:
         for _ in range(2):
-            block = block - locked @ (locked.T @ block)
-            block = block - own * (own * block).sum(axis=0)
+            block = block - beside @ (beside.T @ block)
         return block
 
     v = projected(right)
@@ -309,32 +330,24 @@ def minres(product: Product, own: np.ndarray, locked: np.ndarray, values: np.nda
     before = np.zeros_like(v)
     solution = np.zeros_like(v)
     w, w_before = np.zeros_like(v), np.zeros_like(v)
-    c, s, c_before, s_before = (np.ones(len(beta)), np.zeros(len(beta)), np.ones(len(beta)), np.zeros(len(beta)))
-    left = beta.copy()
-    beta = np.zeros(len(beta))
-    for _ in range(min(steps, len(v))):
-        live = left > 1e-6 * scale
+    c, c_before, s, s_before = np.ones(len(beta)), np.ones(len(beta)), np.zeros(len(beta)), np.zeros(len(beta))
+    left, beta = beta, np.zeros(len(beta))
+    for _ in range(steps):
+        live = np.abs(left) > 1e-8 * scale
         if not live.any():
             break
         image = projected(product(v) - v * values)
         alpha = (v * image).sum(axis=0)
         following = image - alpha * v - beta * before
-        beta_next = np.linalg.norm(following, axis=0)
-        # Givens rotations of the new column of the tridiagonal matrix.
-        epsilon = s_before * beta
-        delta = c * (c_before * beta) + s * alpha
-        gamma_raw = c * alpha - s * (c_before * beta)
-        gamma = np.hypot(gamma_raw, beta_next)
-        safe = np.where(gamma > 0, gamma, 1)
-        c_next, s_next = gamma_raw / safe, beta_next / safe
-        w_next = (v - delta * w - epsilon * w_before) / safe
-        use = live & (gamma > 0)
-        solution = solution + np.where(use, c_next * left, 0) * w_next
-        left = np.where(use, np.abs(s_next) * left * np.sign(1), left)
-        left_sign = np.where(use, -1.0, 1.0)
-        w, w_before = w_next, w
-        c_before, s_before, c, s = c, s, c_next, s_next
-        before, v = v, following / np.where(beta_next > 0, beta_next, 1)
-        beta = beta_next
-        del left_sign
+        size = np.linalg.norm(following, axis=0)
+        # Rotations make the tridiagonal matrix of the steps so far an upper triangle.
+        diagonal = c * alpha - c_before * s * beta
+        rho = np.hypot(diagonal, size)
+        live &= rho > 1e-12 * np.abs(values)
+        rho = np.where(rho > 0, rho, 1)
+        w, w_before = (v - s_before * beta * w_before - (s * alpha + c_before * c * beta) * w) / rho, w
+        c, c_before, s, s_before = diagonal / rho, c, size / rho, s
+        solution = solution + np.where(live, c * left, 0) * w
+        left = np.where(live, -s * left, 0)
+        before, v, beta = v, following / np.where(size > 0, size, 1), size
     return projected(solution)
