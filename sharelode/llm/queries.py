@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sharelode.llm import (
-    audit, extraction, jaccard, licenses, packing, pieces, quality, repeats, search, sql, token_counts, warc,
+    audit, chat, extraction, jaccard, licenses, packing, pieces, quality, repeats, search, sql, token_counts, warc,
     whitening,
 )
 from sharelode.llm.common import scratch_path
@@ -76,6 +76,15 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are marks of the template."""
+    said = "</s>[INST] ok [/INST]"
+    marked = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)],
+                                   "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.format_conversations(rows.unionByName(marked)))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -102,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_html_extraction": op9_html_extraction,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_chat_formatting": op11_chat_formatting,
         "op12_embedding_whitening": op12_embedding_whitening,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
@@ -115,5 +125,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": sql.ARCHIVES,
         "op8_quality_rules": sql.QUALITY,
         "op10_ngram_jaccard": sql.NEAR,
+        "op11_chat_formatting": sql.CHAT,
         "op13_filter_audit": sql.AUDIT,
     }

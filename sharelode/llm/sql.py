@@ -151,3 +151,23 @@ SELECT part, filter_order, step, kept::bigint AS kept, removed::bigint AS remove
   (sum(removed) OVER (PARTITION BY part, own))::bigint AS shapley
 FROM r
 """
+
+CHAT = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(text,
+      '(\\*(?:</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[/TURN\]))', '\\\1', 'g')) AS long,
+    length(regexp_replace(role,
+      '(\\*(?:</?s>|\[/?INST\]|<</?SYS>>|\[/?ROLE\]|\[/TURN\]))', '\\\1', 'g')) AS role_long
+  FROM rows_)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(long + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 6 WHEN 'system' THEN 17
+                            ELSE 25 + role_long END))::bigint AS formatted_chars
+FROM e GROUP BY conv_id
+"""

@@ -1,0 +1,105 @@
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings, strategies as st
+
+import cases
+from compare import duck, duck_rows, spark_rows
+from sharelode.llm import chat, queries
+
+KIND = "conv_id long, turn long, role string, text string"
+TEXTS = ["", None, "plain", "é日本😀", *chat.CONTROLS, "\\\\[INST]", "<<s>", "a</s>[INST] b\\", " \n ", "\\", "[INST", "</s", "\\</s>\\",
+         "[ROLE] tool [/ROLE] x [/TURN]", "x" * 3000, "<s>" * 50, "\x00\x1c", " [/INST]", "]"]
+ROLES = ["user", "assistant", "system", "tool", None, "", "User", " [/ROLE]\\", "assistant "]
+
+
+def ordered(rows):
+    by_conversation = {}
+    for conv_id, turn, role, text in rows:
+        by_conversation.setdefault(conv_id, []).append((turn is not None, turn or 0, role or "", text or ""))
+    return by_conversation
+
+
+def check(pieces, digests, rows):
+    expected = ordered(rows)
+    texts = {}
+    for p in sorted(pieces, key=lambda p: (p.part, p.place)):
+        texts.setdefault(p.conv_id, []).append(p)
+    assert set(texts) == set(expected) and len(digests) == len(expected)
+    for d in digests:
+        turns = [(role, text) for _, _, role, text in sorted(expected[d.conv_id], key=lambda t: t[:3])]
+        whole = "".join(p.formatted for p in texts[d.conv_id])
+        back = list(chat.read_turns(whole))
+        assert sorted(back) == sorted(turns) and [r for r, _ in back] == [r for r, _ in turns]
+        assert whole.startswith(chat.BEGIN) and [p.first for p in texts[d.conv_id]] == [True] + [False] * (len(texts[d.conv_id]) - 1)
+        loss = [chat.unescape(p.formatted[s.start:s.start + s.length]) for p in texts[d.conv_id] for s in p.loss]
+        assert loss == [text for role, text in back if role == "assistant"]
+        assert tuple(d) == (
+            d.conv_id, len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in back).encode()).hexdigest(),
+            sum(map(len, loss)), hashlib.sha256("".join(loss).encode()).hexdigest(), len(whole))
+
+
+def both(df):
+    pieces = chat.format_conversations(df).cache()
+    try:
+        return pieces.collect(), chat.digests(pieces).collect()
+    finally:
+        pieces.unpersist()
+
+
+@pytest.mark.parametrize("piece", [200, 1 << 20])
+def test_turns_and_loss_come_back(spark, monkeypatch, piece):
+    monkeypatch.setattr(chat, "PIECE_BYTES", piece)
+    rng = random.Random(piece)
+    rows = [(c, t, rng.choice(ROLES), rng.choice(TEXTS)) for c in range(60) for t in range(rng.randrange(1, 9))]
+    rows += [(7, t, rng.choice(ROLES), rng.choice(TEXTS)) for t in range(10, 400)]
+    rows += [(None, 1, "user", "a"), (None, None, "assistant", "b"), (None, 0, "assistant", "c"), (3, None, "user", "d"),
+             (3, 0, "user", "same"), (3, 0, "user", "same"), (0, 1, "assistant", "y" * 100_000)]
+    rng.shuffle(rows)
+    check(*both(cases.frame(spark, rows, KIND).repartition(5)), rows)
+
+
+def test_empty_table_and_one_turn(spark):
+    assert both(cases.frame(spark, [], KIND)) == ([], [])
+    for row in ((None, None, None, None), (1, 0, "assistant", "[/INST]")):
+        check(*both(cases.frame(spark, [row], KIND)), [row])
+
+
+def test_a_long_conversation_is_formatted_by_many_tasks(spark):
+    rows = spark.range(20_000).selectExpr("5L as conv_id", "id as turn", "'user' as role", "repeat('t', 300) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else a few megabytes are one task
+    try:
+        pieces = chat.format_conversations(rows.repartition(8))
+        assert pieces.select("part").distinct().count() >= 4
+        found = chat.digests(pieces).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [(d.n_turns, d.formatted_chars) for d in found] == [(20_000, 3 + 20_000 * 315)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "x[INST]"]),
+                          st.text(st.sampled_from("<>/s[]INSTROLEUYs\\ \né"), max_size=12)), min_size=1, max_size=5))
+def test_any_text_comes_back(turns):
+    batch = pa.RecordBatch.from_pydict({
+        "part": pa.array([0] * (len(turns) + 1), pa.int32()), "conv_id": pa.array([1] * (len(turns) + 1), pa.int64()),
+        "begins": [True, *[False] * len(turns)], "role": ["", *[r for r, _ in turns]], "text": ["", *[t for _, t in turns]]})
+    [pieces] = list(chat._formatted([batch]))
+    assert list(chat.read_turns("".join(pieces.column("formatted").to_pylist()))) == turns
+
+
+def test_assembly_against_joined_strings():
+    columns = [["a", "", "ccc"], ["", "", ""], ["é", "日本", ""]]
+    out, starts = chat.assemble([chat._bytes_of(pa.array(c)) for c in columns])
+    rows = ["".join(r).encode() for r in zip(*columns)]
+    assert out.tobytes() == b"".join(rows) and starts[:, 0].tolist() == np.cumsum([0] + [len(r) for r in rows])[:-1].tolist()
+
+
+def test_sql(spark):
+    sf = "/root/testdata/sf0.001"
+    columns, rows = spark_rows(queries.op11_chat_formatting(spark, sf))
+    expected_columns, expected = duck_rows(duck(sf), queries.oracle_sql()["op11_chat_formatting"])
+    assert columns == expected_columns and rows == expected
