@@ -41,15 +41,6 @@ BATCHES = 8
 # Rows of the table per shard of states.
 SHARD = 1024
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_SETTINGS = {
-    "spark.sql.streaming.stateStore.providerClass": _ROCKSDB,
-    # One budget for all texts' states of an executor, whatever the number of partitions.
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-}
-
 _SYMBOLS = re.compile(rb"[#$%&*|]")
 _UPPER = bytes(range(65, 91))
 _ENTRIES = "shard long, key binary, doc_id long, part string, code int, n long"
@@ -80,35 +71,16 @@ def audit(spark: SparkSession, path: str, labels: DataFrame, *, batches: int = B
     The files are taken in at most `batches` micro-batches. Progress, states and changes are
     in `scratch`, a folder of the shared one by default; with a folder of an earlier call
     only files that are new since are read, and the result covers both. `labels` has to be
-    the same then.
+    the same then. States, some 50 bytes a text, are in the state store that the session
+    names: Spark's default one keeps them in memory, the RocksDB one on local disks.
     """
     scratch = scratch or scratch_path(spark, "audit")
     changes = f"{scratch}/changes"
-    with _configured(spark):
-        _query(spark, path, labels, batches, scratch, changes).awaitTermination()
+    _query(spark, path, labels, batches, scratch, changes).awaitTermination()
     stored = spark.read.schema(_CHANGES).option("recursiveFileLookup", "true").parquet(changes)
     return _orders(_summed(stored))
 
 
-class _configured:
-    """The session's settings for the state of texts, put back afterwards."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        self.conf = spark.conf
-
-    def __enter__(self) -> None:
-        self.before = {key: self.conf.get(key, None) for key in _SETTINGS}
-        for key, value in _SETTINGS.items():
-            self.conf.set(key, value)
-
-    def __exit__(self, *_) -> None:
-        for key, value in self.before.items():
-            if value is None:
-                self.conf.unset(key)
-            else:
-                self.conf.set(key, value)
-
-
 def _query(spark: SparkSession, path: str, labels: DataFrame, batches: int, scratch: str, changes: str):
     table = spark.read.parquet(path)
     files = table.inputFiles()
