@@ -8,8 +8,13 @@ from sharelode.functions.amounts import COST, DIFFICULTY, decimal_text, parse_de
 from sharelode.functions.times import from_epoch_ms, to_epoch_ms
 from sharelode.schemas import SHARE_COLUMNS, SHARE_FOUND, TEXT_LIMITS, WIRE_COLUMNS
 
-_CORRUPT = "_corrupt_record"
 _DEFAULTS = {"shareDate": 0, "cHrate": 0, "aHrate": 0, "isSolo": False}
+_TYPES = {key: kind.upper() for key, kind in (f.split() for f in SHARE_FOUND.split(","))}
+_VALUES = {"STRING": r'"[^"\\]*"', "BIGINT": r"-?\d{1,18}", "BOOLEAN": "(?:true|false)"}
+# The text as a producer writes it: fields of a message in their order, each at most once,
+# of the right kind, without spaces and escapes, and nothing before or behind.
+_USUAL = r"^\{" + "".join(f'(?:"{key}":{_VALUES[kind]},?)?' for key, kind in _TYPES.items()) + r"\}$"
+_CORRUPT = "_corrupt_record"
 
 
 def decode(messages: DataFrame, value: str = "value") -> DataFrame:
@@ -17,50 +22,52 @@ def decode(messages: DataFrame, value: str = "value") -> DataFrame:
 
     A missing or null field becomes its zero value. Keys are matched exactly. `malformed`
     marks text that is not one message: other text before or after it, a second object, a field
-    of another type, single quotes. `malformed_text` holds it. Other columns of
-    `messages` are kept.
+    of another type, a key that is there twice, single quotes, more than 16 MB. `malformed_text`
+    holds it, and its fields have their zero values. Other columns of `messages` are kept.
+
+    Every text is parsed once. One in the usual form goes straight to typed fields: the form
+    leaves only its commas and numbers to check. Any other becomes a variant, which fields and
+    their kinds are taken from.
     """
-    text = F.col(value).cast("string")
-    # A parser stops at the end of the first value. Only one value and no more fits both
-    # as the member of an object that goes on, and as the one element of a list.
-    parsed = F.from_json(
-        F.concat(F.lit('{"m":'), text, F.lit(',"end":true}')),
-        f"m struct<{SHARE_FOUND}>, end boolean, {_CORRUPT} string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT, "allowSingleQuotes": "false"},
-    )
-    single = F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1
     kept = [c for c in messages.columns if c != value]
-    message = F.col("_m")["m"]
-    fields = [
-        F.coalesce(message[key], F.lit(_DEFAULTS.get(key, ""))).alias(name)
-        for key, name in WIRE_COLUMNS.items()
+    usual = F.coalesce(F.col("_text").rlike(_USUAL), F.lit(False))
+    typed = F.when(F.col("_usual"), F.from_json(
+        "_text", f"{SHARE_FOUND}, {_CORRUPT} string",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}))
+    # A parser stops at the end of the first value. Behind the message stands a number
+    # that depends on the whole text, so no text can bring it along and end early.
+    mark = F.xxhash64("_text")
+    listed = F.when(~F.col("_usual"), F.try_parse_json(
+        F.concat(F.lit("["), F.col("_text"), F.lit(","), mark.cast("string"), F.lit("]"))))
+    message = F.try_variant_get("_list", "$[0]", "variant")
+    alone = F.try_variant_get("_list", "$[1]", "bigint") == mark
+    whole = F.when(F.col("_usual"), F.col("_typed")[_CORRUPT].isNull()).otherwise(
+        F.coalesce(F.col("_alone") & _right_kinds(F.col("_message")), F.lit(False)))
+    other = F.when(F.col("_whole"), F.try_variant_get("_message", "$", f"struct<{SHARE_FOUND}>"))
+    found = [
+        F.when(F.col("_whole"), F.coalesce(F.col("_typed")[key], F.col("_other")[key], zero))
+        .otherwise(zero).alias(name)
+        for key, name in WIRE_COLUMNS.items() for zero in [F.lit(_DEFAULTS.get(key, ""))]
     ]
-    whole = F.col("_single") & F.col("_m")["end"] & F.col("_m")[_CORRUPT].isNull() & message.isNotNull()
-    malformed = ~F.coalesce(whole, F.lit(False)) | F.coalesce(_wrong_kind(F.col("_text")), F.lit(False))
     return (
-        messages.select(*kept, text.alias("_text"), parsed.alias("_m"), single.alias("_single"))
-        .select(*kept, *fields, malformed.alias("malformed"), "_text")
-        .select(*kept, *WIRE_COLUMNS.values(), "malformed",
-                F.when(F.col("malformed"), F.col("_text")).alias("malformed_text"))
+        messages.select(*kept, F.col(value).cast("string").alias("_text"))
+        .select(*kept, "_text", usual.alias("_usual"))
+        .select(*kept, "_text", "_usual", typed.alias("_typed"), listed.alias("_list"))
+        .select(*kept, "_text", "_usual", "_typed", message.alias("_message"), alone.alias("_alone"))
+        .select(*kept, "_text", "_typed", "_message", whole.alias("_whole"))
+        .select(*kept, "_text", "_typed", "_whole", other.alias("_other"))
+        .select(*kept, *found, (~F.col("_whole")).alias("malformed"),
+                F.when(~F.col("_whole"), F.col("_text")).alias("malformed_text"))
     )
 
 
-_TEXT_KEYS = [key for key in WIRE_COLUMNS if key not in _DEFAULTS]
-_MAYBE_WRONG = f'"(?:{"|".join(_TEXT_KEYS)})"\\s*:\\s*(?!["\\s]|null)'
-
-
-def _wrong_kind(text: Column) -> Column:
-    """Whether a field that holds text has a number, a list or an object.
-
-    The text is parsed a second time only where it looks as if it had.
-    """
-    def kind(key: str) -> Column:
-        return F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), f"$.{key}", "variant"))
-
-    wrong = F.lit(False)
-    for key in _TEXT_KEYS:
-        wrong = wrong | ~F.coalesce(kind(key), F.lit("VOID")).isin("STRING", "VOID")
-    return F.when(text.rlike(_MAYBE_WRONG), wrong).otherwise(F.lit(False))
+def _right_kinds(message: Column) -> Column:
+    """Whether it is an object and its fields of a message have the right types; others may have any."""
+    right = F.schema_of_variant(message).startswith("OBJECT<")
+    for key, kind in _TYPES.items():
+        own = F.schema_of_variant(F.try_variant_get(message, f"$.{key}", "variant"))
+        right = right & F.coalesce(own, F.lit("VOID")).isin(kind, "VOID")
+    return right
 
 
 def encode(found: DataFrame) -> Column:

@@ -32,14 +32,24 @@ def test_missing_and_null_fields_get_zero_values_of_their_own_row(spark):
     message() + message(), message() + " x", message() + "}", message() + ',"x":' + message(),
     message() + "]", message() + "],[" + message(), message() + ',"end":true}', "[" + message() + "]",
     message(workerfull=7), message(workerfull={"x": 1}), message(nonce=["a"]), message(uuid=True),
+    '{"\\u0075uid": 5}', '{"uuid": "a", "uuid": 5}', '{"uuid": "a", "\\u0075uid": "b"}', message(shareDate=1.5),
+    message(shareDate=1 << 63), message(isSolo="true"), message(cHrate="1"), message(more=1, cost=2),
+    message() + ",7]", message() + ",7],[8", message().replace(", ", ",").replace(": ", ":") + "}",
+    '{"uuid":"a"}{"uuid":"b"}', '{"uuid":"a","uuid":"b"}', '{"uuid":"a""nonce":"b"}', '{"uuid":"a",}', '{"shareDate":012}',
+    '{"uuid":"a\nb"}', '{"uuid":"a","cost":1}', '{"isSolo":truefalse}', '{"uuid":"a"}\n{', "{,}",
+    '{"uuid": "a"', "7", '"text"', message() + ",",
 ])
 def test_malformed(spark, text):
     (row,) = decoded(spark, text)
-    assert row.malformed is True
+    assert row.malformed is True and row.malformed_text == text
+    assert (row.uuid, row.share_date_ms, row.is_solo, row.workerfull) == ("", 0, False, "")
 
 
 @pytest.mark.parametrize("text", [
     "  " + message() + "\n", message(other={"uuid": 5}), message(nonce='"uuid": 5'), message(more=[1, {"x": 2}]),
+    message(**{"cost: BIGINT, x": None, "OBJECT<": 1, "a>": {"b": [1.5, None]}}), message(cHrate=None, nonce=None),
+    message(shareDate=(1 << 63) - 1, aHrate=-5), '{"uuid":"u","shareDate":-7,"isSolo":true}', '{"cost":"{}","uuid":"u"}',
+    '{"uuid":"u","nonce":"{\\"uuid\\":5}"}', '{"uuid":"u","nonce":"}{"}', '{"uuid":"u"}\n', '{"\\u0075uid": "u"}',
 ])
 def test_well_formed(spark, text):
     (row,) = decoded(spark, text)
