@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
 from sharelode.session import settle
@@ -16,17 +16,26 @@ BROADCAST_BYTES = 64 << 20
 ROWS_PER_TASK = 1_000_000
 
 
+def sizes(df: DataFrame) -> dict[str, Column]:
+    """Aggregates that tell how large `df` is: `n` rows and the `bytes` of text in them."""
+    text = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, StringType):
+            text = text + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+    return {"n": F.count(F.lit(1)), "bytes": F.sum(text)}
+
+
+def within_broadcast(size: dict, rows: int | None = None) -> bool:
+    return size["n"] <= (BROADCAST_ROWS if rows is None else rows) and (size["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def fits_broadcast(df: DataFrame, rows: int | None = None) -> bool:
     """Whether `df` has at most `rows` rows and not too much text.
 
     A count and a sum, so no rows move to one task.
     """
-    text = F.lit(0).cast("bigint")
-    for field in df.schema.fields:
-        if isinstance(field.dataType, StringType):
-            text = text + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
-    found = df.agg(F.count("*").alias("n"), F.sum(text).alias("bytes")).first()
-    return found.n <= (BROADCAST_ROWS if rows is None else rows) and (found.bytes or 0) <= BROADCAST_BYTES
+    found = df.agg(*[value.alias(name) for name, value in sizes(df).items()]).first()
+    return within_broadcast(found.asDict(), rows)
 
 
 def one_per_key(dim: DataFrame, on: list[str], id_column: str, name: str) -> DataFrame:
@@ -84,13 +93,21 @@ def attach(
     return salted.join(repeated, [*on, "_salt"], "left").select(*columns)
 
 
+def coin_symbols(coins: DataFrame) -> DataFrame:
+    """Each symbol with its id, stored; what `coin_ids` needs of the coins for many batches."""
+    return settle(one_per_key(coins, ["symbol"], "id", "coin_id"))
+
+
 def coin_ids(facts: DataFrame, coins: DataFrame, symbol: str = "coin_symbol", *,
              small: bool | None = None) -> DataFrame:
-    """Add `coin_id` by exact symbol; NULL for a symbol that is not listed."""
-    named = coins.select(F.col("symbol").alias(symbol), "id")
-    small = fits_broadcast(named) if small is None else small
-    return attach(facts, one_per_key(named, [symbol], "id", "coin_id"), [symbol], ["coin_id"],
-                  small=small)
+    """Add `coin_id` by exact symbol; NULL for a symbol that is not listed.
+
+    `coins` are the coins, or what `coin_symbols` has made of them.
+    """
+    small = fits_broadcast(coins.select("symbol")) if small is None else small
+    if "coin_id" not in coins.columns:
+        coins = one_per_key(coins, ["symbol"], "id", "coin_id")
+    return attach(facts, coins.withColumnRenamed("symbol", symbol), [symbol], ["coin_id"], small=small)
 
 
 def known_ids(facts: DataFrame, dim: DataFrame, key: list[str], name: str) -> DataFrame:

@@ -28,14 +28,17 @@ class GetOrCreate(NamedTuple):
     created: DataFrame  # rows to append to the dimension
 
 
+def key_hash(key: list[str]) -> Column:
+    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
+
+
 def number_keys(fresh: DataFrame, key: list[str], after: int, name: str = "id",
                 digits: int = BUCKET_DIGITS) -> DataFrame:
     """Give the rows of `fresh`, unique on `key`, the ids `after`+1, `after`+2, ...
 
     The ids do not depend on `digits`.
     """
-    digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key]))
-    hashed = fresh.withColumn("_hash", digest)
+    hashed = fresh.withColumn("_hash", key_hash(key))
     hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     # One row per bucket: at most 16 ** digits rows, whatever the data.
     earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -51,10 +54,50 @@ def number_keys(fresh: DataFrame, key: list[str], after: int, name: str = "id",
 
 def highest_ids(*dims: DataFrame) -> list[int]:
     """The highest id of each dimension, 0 for an empty one, in one job."""
-    tops = [d.agg(F.max("id").alias("top")).select(F.lit(i).alias("i"), "top")
-            for i, d in enumerate(dims)]
-    found = {row.i: row.top for row in reduce(DataFrame.unionByName, tops).collect()}
-    return [found[i] or 0 for i in range(len(dims))]
+    ids = [d.select(F.lit(i).alias("i"), "id") for i, d in enumerate(dims)]
+    found = {row.i: row.top for row in
+             reduce(DataFrame.unionByName, ids).groupBy("i").agg(F.max("id").alias("top")).collect()}
+    return [found.get(i) or 0 for i in range(len(dims))]
+
+
+def few_ids(keys: DataFrame, wallets: DataFrame, workers: DataFrame, top_wallet: int,
+            top_worker: int) -> DataFrame:
+    """Ids for distinct worker keys that fit a broadcast.
+
+    The keys are sent to the dimensions, and what is found there meets them in one task,
+    which numbers what is new as `number_keys` does. Adds `worker_id`, `wallet_id`, `new_worker`,
+    `new_wallet` (on one row of each new wallet) and `wallet_is_solo`.
+    """
+    def hits(dim: DataFrame, key: list[str], name: str) -> DataFrame:
+        found = dim.join(F.broadcast(keys.select(*key)), key, "left_semi")
+        return found.select(*key, F.col("id").alias(name))
+
+    together = (
+        keys.withColumn("_key", F.lit(True))
+        .unionByName(hits(workers, WORKER_KEY, "_worker"), allowMissingColumns=True)
+        .unionByName(hits(wallets, WALLET_KEY, "_wallet"), allowMissingColumns=True)
+        .repartition(1)
+    )
+    by_worker, by_wallet = Window.partitionBy(*WORKER_KEY), Window.partitionBy(*WALLET_KEY)
+    first = by_wallet.orderBy(F.col("_key").desc_nulls_last(), "first_seen", "is_solo", "workerfull")
+    found = together.withColumn("_worker", F.min("_worker").over(by_worker)).withColumns({
+        "_wallet": F.min("_wallet").over(by_wallet),
+        "wallet_is_solo": F.first("is_solo").over(first),
+        "_nth": F.row_number().over(first),
+    }).filter("_key")
+    found = found.withColumns({
+        "new_worker": F.col("_worker").isNull(),
+        "new_wallet": F.col("_wallet").isNull() & (F.col("_nth") == 1),
+    })
+
+    def so_far(flag: str, key: list[str]) -> Column:
+        # Rows of one key are peers, so all of them get its number.
+        return F.sum(F.col(flag).cast("bigint")).over(Window.orderBy(key_hash(key), *key))
+
+    return found.withColumns({
+        "worker_id": F.coalesce("_worker", F.lit(top_worker) + so_far("new_worker", WORKER_KEY)),
+        "wallet_id": F.coalesce("_wallet", F.lit(top_wallet) + so_far("new_wallet", WALLET_KEY)),
+    }).drop("_key", "_worker", "_wallet", "_nth")
 
 
 def find_known(keys: DataFrame, dim: DataFrame, key: list[str], name: str, *,
@@ -73,6 +116,29 @@ def find_known(keys: DataFrame, dim: DataFrame, key: list[str], name: str, *,
     return attach(keys, hits, key, [name], small=True if small else None)
 
 
+def many_ids(keys: DataFrame, wallets: DataFrame, workers: DataFrame, top_wallet: int,
+             top_worker: int) -> DataFrame:
+    """`few_ids` for any number of keys: both sides are shuffled, and numbers go by buckets."""
+    tagged = find_known(keys, workers, WORKER_KEY, "worker_id", small=False, unique=True)
+    tagged = settle(find_known(tagged, wallets, WALLET_KEY, "wallet_id", small=False, unique=False))
+    fresh_workers = number_keys(
+        tagged.filter(F.col("worker_id").isNull()).drop("worker_id", "wallet_id"),
+        WORKER_KEY, top_worker, "new_id",
+    )
+    fresh_wallets = number_keys(
+        wallet_keys(tagged.filter(F.col("wallet_id").isNull())), WALLET_KEY, top_wallet, "_wallet",
+    ).withColumnsRenamed({"is_solo": "wallet_is_solo", "workerfull": "_first"})
+    ids = attach(tagged, fresh_wallets, WALLET_KEY, ["_wallet", "wallet_is_solo", "_first"])
+    ids = attach(ids, fresh_workers, WORKER_KEY, ["new_id"],
+                 counts=tagged.select(*WORKER_KEY, F.lit(1).alias("n")))
+    return ids.withColumns({
+        "new_worker": F.col("worker_id").isNull(),
+        "new_wallet": F.col("_wallet").isNotNull() & (F.col("workerfull") == F.col("_first")),
+        "worker_id": F.coalesce("worker_id", "new_id"),
+        "wallet_id": F.coalesce("wallet_id", "_wallet"),
+    }).drop("new_id", "_wallet", "_first")
+
+
 def worker_keys(found: DataFrame, arrival: str) -> DataFrame:
     """Distinct worker keys of a batch with the attributes of their first share.
 
@@ -95,7 +161,7 @@ def wallet_keys(workers: DataFrame) -> DataFrame:
     """Distinct wallet keys, from distinct worker keys: a worker's name holds its wallet's."""
     return (
         workers.groupBy(*WALLET_KEY)
-        .agg(F.min(F.struct("first_seen", "is_solo")).alias("_first"), F.sum("n").alias("n"))
+        .agg(F.min(F.struct("first_seen", "is_solo", "workerfull")).alias("_first"), F.sum("n").alias("n"))
         .select(*WALLET_KEY, "_first.*", "n")
     )
 

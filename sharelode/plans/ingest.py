@@ -1,9 +1,10 @@
 """From share messages to rows of the shares table.
 
-Shares are read twice: once to find the distinct workers of the batch, once to
-receive their ids. Everything between works on distinct workers, of which there
-are far fewer than shares. Wallets come from workers, so the shares are joined
-once and get both ids from it.
+Judged messages are read twice: once to find the distinct workers of the batch, once to
+receive their ids, so they should be stored. Everything between works on distinct workers,
+of which there are far fewer than shares. Wallets come from workers, so the shares are
+joined once and get both ids from it. Sizes and numbers of new ids are counted in the
+passes that store the workers, not in jobs of their own.
 """
 
 from __future__ import annotations
@@ -12,16 +13,15 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sharelode.operators.lookup import attach, coin_ids, fits_broadcast
+from sharelode.operators.lookup import attach, coin_ids, sizes, within_broadcast
 from sharelode.operators.members import (
-    find_known, highest_ids, new_wallet_rows, new_worker_rows, number_keys,
-    wallet_keys, worker_keys,
+    few_ids, highest_ids, many_ids, new_wallet_rows, new_worker_rows, worker_keys,
 )
 from sharelode.operators.messages import (
     arrival_order, bad_amount, decode, enforce, too_long, typed_columns,
 )
 from sharelode.schemas import SHARE_COLUMNS, WALLET_KEY, WORKER_KEY
-from sharelode.session import settle
+from sharelode.session import at_once, counted
 
 FAIL = "fail"
 QUARANTINE = "quarantine"
@@ -32,6 +32,7 @@ class Normalized(NamedTuple):
     new_wallets: DataFrame  # rows to append to the wallets
     new_workers: DataFrame  # rows to append to the workers
     rejected: DataFrame     # messages left out, with `reject_reason`
+    created: dict[str, int]  # how many rows `new_wallets` and `new_workers` have
 
 
 def judge(found: DataFrame, coins: DataFrame, *, small: bool | None = None) -> DataFrame:
@@ -62,7 +63,7 @@ def normalize(found: DataFrame, coins: DataFrame, wallets: DataFrame, workers: D
 
 def assign_ids(judged: DataFrame, wallets: DataFrame, workers: DataFrame, *,
                on_error: str = FAIL, now: Column | None = None) -> Normalized:
-    """`normalize` for messages that `judge` has seen, which may be persisted."""
+    """`normalize` for messages that `judge` has seen, which may be stored."""
     if on_error not in (FAIL, QUARANTINE):
         raise ValueError(f"on_error must be {FAIL!r} or {QUARANTINE!r}: {on_error!r}")
     rejected = judged.filter(F.col("reject_reason").isNotNull())
@@ -71,50 +72,31 @@ def assign_ids(judged: DataFrame, wallets: DataFrame, workers: DataFrame, *,
     else:
         accepted = judged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
 
-    keys = settle(worker_keys(accepted, "arrival"))
-    # Wallets, known ids and new ids are all at most as many as these keys.
-    small = fits_broadcast(keys)
-    fits = True if small else None
-    tagged = find_known(keys, workers, WORKER_KEY, "worker_id", small=small, unique=True)
-    tagged = settle(
-        find_known(tagged, wallets, WALLET_KEY, "wallet_id", small=small, unique=False)
-    )
-
-    top_wallet, top_worker = highest_ids(wallets, workers)
-    fresh_workers = number_keys(
-        tagged.filter(F.col("worker_id").isNull()).drop("worker_id", "wallet_id"),
-        WORKER_KEY, top_worker,
-    )
-    fresh_wallets = number_keys(
-        wallet_keys(tagged.filter(F.col("wallet_id").isNull())),
-        WALLET_KEY, top_wallet,
+    keys = worker_keys(accepted, "arrival")
+    (keys, size), (top_wallet, top_worker) = at_once(
+        judged.sparkSession,
+        lambda: counted(keys, **sizes(keys)), lambda: highest_ids(wallets, workers),
     )
-    ids = attach(
-        tagged,
-        fresh_wallets.withColumnsRenamed({"id": "new_wallet", "is_solo": "wallet_is_solo"}),
-        WALLET_KEY, ["new_wallet", "wallet_is_solo"], small=fits,
-    )
-    ids = attach(
-        ids, fresh_workers.withColumnRenamed("id", "new_worker"), WORKER_KEY, ["new_worker"],
-        counts=tagged.select(*WORKER_KEY, F.lit(1).alias("n")), small=fits,
-    )
-    ids = settle(ids.withColumns({
-        "worker_id": F.coalesce("worker_id", "new_worker"),
-        "wallet_id": F.coalesce("wallet_id", "new_wallet"),
-    }))
-    new_workers = ids.filter(F.col("new_worker").isNotNull()).withColumnRenamed("new_worker", "id")
-    new_wallets = ids.filter(F.col("new_wallet").isNotNull()).groupBy(*WALLET_KEY).agg(
-        F.min("new_wallet").alias("id"), F.min("wallet_is_solo").alias("is_solo")
+    # Wallets, known ids and new ids are all at most as many as these keys.
+    small = within_broadcast(size)
+    made = few_ids if small else many_ids
+    ids, new = counted(
+        made(keys, wallets, workers, top_wallet, top_worker),
+        workers=F.count_if("new_worker"), wallets=F.count_if("new_wallet"),
     )
+    new_workers = ids.filter("new_worker").withColumn("id", F.col("worker_id"))
+    new_wallets = ids.filter("new_wallet").select(
+        *WALLET_KEY, F.col("wallet_id").alias("id"), F.col("wallet_is_solo").alias("is_solo"))
 
     shares = attach(
         accepted, ids, WORKER_KEY, ["worker_id", "wallet_id"],
-        counts=ids.select(*WORKER_KEY, "n"), small=fits,
+        counts=ids.select(*WORKER_KEY, "n"), small=True if small else None,
     )
     shares = shares.withColumns(typed_columns()).select(*SHARE_COLUMNS)
     stamp = F.current_timestamp() if now is None else now
     return Normalized(
-        shares, new_wallet_rows(new_wallets), new_worker_rows(new_workers, stamp), rejected
+        shares, new_wallet_rows(new_wallets), new_worker_rows(new_workers, stamp), rejected,
+        {name: number or 0 for name, number in new.items()},
     )
 
 

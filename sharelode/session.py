@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings that results depend on; always set.
 REQUIRED = {
@@ -72,3 +77,49 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def counted(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """`settle`, with aggregates over the rows taken in the pass that stores them."""
+    watch = Observation()
+    settled = settle(df.observe(watch, *[value.alias(name) for name, value in aggregates.items()]))
+    return settled, watch.get
+
+
+@contextmanager
+def staged(df: DataFrame, **aggregates: Column) -> Iterator[tuple[DataFrame, dict]]:
+    """`df` as a columnar table in the shared folder, with aggregates taken as it is written.
+
+    For rows that several jobs read in part. The table is removed at the end, also of
+    a block that fails.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    watch = Observation()
+    try:
+        df.observe(watch, *[value.alias(name) for name, value in aggregates.items()]).write.parquet(path)
+        yield spark.read.schema(df.schema).parquet(path), watch.get
+    finally:
+        remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def at_once(spark: SparkSession, *steps: Callable[[], object]) -> list:
+    """Run steps that do not need each other side by side, each in a scheduler pool of its own.
+
+    All have ended when this returns or raises what one of them has raised.
+    """
+    context = spark.sparkContext
+
+    def run(number: int, step: Callable[[], object]) -> object:
+        context.setLocalProperty("spark.scheduler.pool", f"step-{number}")
+        return step()
+
+    with ThreadPoolExecutor(len(steps)) as pool:
+        started = [pool.submit(inheritable_thread_target(spark)(run), i, step) for i, step in enumerate(steps)]
+    return [future.result() for future in started]

@@ -1,7 +1,7 @@
 """Ingest of share messages as a Structured Streaming query.
 
-A micro-batch is written in the order wallets, workers, shares, under its batch
-number, and its offsets are committed last. A batch that is interrupted is run
+A micro-batch is written under its batch number, wallets, workers and rejected messages
+first and at once, then its shares, and its offsets are committed last. A batch that is interrupted is run
 again: ids that it already created are found, and its rows replace themselves.
 There is one writer per set of tables.
 """
@@ -14,11 +14,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sharelode.operators.lookup import fits_broadcast
-from sharelode.operators.messages import decode
+from sharelode.operators.lookup import coin_symbols, fits_broadcast
+from sharelode.operators.messages import decode, enforce
 from sharelode.plans.ingest import FAIL, QUARANTINE, assign_ids, judge
 from sharelode.schemas import WALLET_KEY, WALLETS, WORKER_KEY, WORKERS
-from sharelode.session import configure
+from sharelode.session import at_once, configure, staged
 from sharelode.sinks.compaction import compact_dimension
 from sharelode.sinks.tables import append_dimension, append_shares, create_tables
 from sharelode.sources.tables import BATCH, read_dimension
@@ -97,32 +97,37 @@ class KnownIds:
 
 
 def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables, coins: DataFrame,
-                 on_error: str = FAIL, *, keep: bool = False, small_coins: bool | None = None,
+                 on_error: str = FAIL, *, by_time: bool = True, small_coins: bool | None = None,
                  wallets: KnownIds | None = None, workers: KnownIds | None = None) -> None:
     """Write one bounded batch of messages; also the way to load history in bulk.
 
-    The decoded batch is used twice. `keep` holds it in the executors for that;
-    what they lose, and all of a batch too large to keep, is decoded again.
+    Messages are decoded once, into a columnar table in the shared folder that the keys, the
+    shares and the rejected messages are read from, and that is removed at the end.
     """
     spark = configure(messages.sparkSession)
     judged = judge(decode(messages), coins, small=small_coins)
-    if keep:
-        judged.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    if on_error == FAIL:
+        # Nothing is written if a message cannot be stored.
+        judged = enforce(judged).withColumn("reject_reason", F.lit(None).cast("string"))
+    with staged(judged, bad=F.count("reject_reason")) as (stage, found):
         result = assign_ids(
-            judged,
+            stage,
             wallets.read(spark) if wallets else read_dimension(spark, tables.wallets, WALLETS),
             workers.read(spark) if workers else read_dimension(spark, tables.workers, WORKERS),
             on_error=on_error,
         )
-        append_dimension(result.new_wallets, tables.wallets, batch_id)
-        append_dimension(result.new_workers, tables.workers, batch_id)
-        append_shares(result.shares, tables.shares, batch_id, by_time=not keep)
-        if on_error == QUARANTINE:
-            append_dimension(result.rejected, tables.rejected, batch_id)
-    finally:
-        if keep:
-            judged.unpersist()
+        # Writes of what there is; they do not need each other, and shares need all of them.
+        writes = [
+            lambda rows=rows, path=path: append_dimension(rows, path, batch_id)
+            for rows, path, number in (
+                (result.new_wallets, tables.wallets, result.created["wallets"]),
+                (result.new_workers, tables.workers, result.created["workers"]),
+                (result.rejected, tables.rejected, found["bad"]),
+            ) if number
+        ]
+        if writes:
+            at_once(spark, *writes)
+        append_shares(result.shares, tables.shares, batch_id, by_time=by_time)
 
 
 def start_ingest(messages: DataFrame, tables: Tables, coins: DataFrame, checkpoint: str, *,
@@ -132,12 +137,13 @@ def start_ingest(messages: DataFrame, tables: Tables, coins: DataFrame, checkpoi
     `checkpoint` holds the offsets; a new folder starts at the source's starting
     offsets again. The default trigger looks for messages every second.
     """
+    coins = coin_symbols(coins)
     small_coins = fits_broadcast(coins)
     wallets = KnownIds(tables.wallets, WALLETS, WALLET_KEY)
     workers = KnownIds(tables.workers, WORKERS, WORKER_KEY)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, tables, coins, on_error, keep=True,
+        ingest_batch(batch, batch_id, tables, coins, on_error, by_time=False,
                      small_coins=small_coins, wallets=wallets, workers=workers)
 
     return (

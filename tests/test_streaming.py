@@ -1,11 +1,15 @@
 import glob
 import os
 import re
+import threading
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from sharelode.operators.lookup import coin_symbols
 from sharelode.schemas import WALLETS, WORKERS
+from sharelode.session import at_once, shared_dir
 from sharelode.sources.messages import file_batch, file_stream
 from sharelode.sources.tables import read_dimension, read_shares, seed_coins
 from sharelode.streaming import job
@@ -83,24 +87,76 @@ def test_replayed_batch_leaves_no_trace(spark, tmp_path):
     assert names(spark, tables) == found
 
 
-@pytest.mark.parametrize("step", ["append_dimension", "append_shares"])
-def test_a_batch_that_stops_between_its_writes_is_completed(spark, tmp_path, monkeypatch, step):
+@pytest.mark.parametrize("step, nth", [
+    ("append_dimension", 1), ("append_dimension", 2), ("append_dimension", 3), ("append_shares", 1),
+    ("append_shares", 2), ("assign_ids", 2)])
+def test_a_batch_that_stops_between_its_writes_is_completed(spark, tmp_path, monkeypatch, step, nth):
+    """Wallets, workers and rejected messages are written at once, so each may be there without the others."""
     tables = Tables(f"{tmp_path}/pool").create(spark)
-    write_files(f"{tmp_path}/in", batch(), 19)
+    write_files(f"{tmp_path}/in", batch()[:19] + ["{broken"] + batch()[19:], 20)
     real, calls = getattr(job, step), []
 
     def stop(*args, **options):
         calls.append(1)
-        if len(calls) == 2:  # workers of the first batch, or shares of the second
+        if len(calls) == nth:
             raise RuntimeError("lost")
         return real(*args, **options)
 
     monkeypatch.setattr(job, step, stop)
     with pytest.raises(Exception, match="lost"):
-        run(spark, f"{tmp_path}/in", tables, f"{tmp_path}/checkpoint")
-    run(spark, f"{tmp_path}/in", tables, f"{tmp_path}/checkpoint")
+        run(spark, f"{tmp_path}/in", tables, f"{tmp_path}/checkpoint", on_error="quarantine")
+    run(spark, f"{tmp_path}/in", tables, f"{tmp_path}/checkpoint", on_error="quarantine")
     found = names(spark, tables)
     assert sum(found.values()) == 38 and len(found) == 27
+    assert spark.read.parquet(tables.rejected).count() == 1
+    assert not glob.glob(f"{shared_dir(spark)}/stage-*")
+
+
+def test_a_message_is_decoded_once_in_a_batch(spark, tmp_path):
+    counted = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        counted.add(1)
+        return text
+
+    for i, options in enumerate(({}, {"by_time": False}, {"on_error": "quarantine"})):
+        tables = Tables(f"{tmp_path}/pool{i}").create(spark)
+        before = counted.value
+        sent = frame(spark, batch()).withColumn("value", F.udf(seen)("value"))
+        ingest_batch(sent, 0, tables, seed_coins(spark), **options)
+        assert counted.value - before == 38 and read_shares(spark, tables.shares).count() == 38
+
+
+def test_jobs_of_a_micro_batch(spark, tmp_path):
+    """It was 39 with a job for every count and a second look at the dimensions."""
+    tables = Tables(f"{tmp_path}/pool").create(spark)
+    tracker = spark.sparkContext._jsc.sc().statusTracker()
+    coins = coin_symbols(seed_coins(spark))
+    try:
+        for i in range(2):
+            spark.sparkContext.setJobGroup(f"{tmp_path}-{i}", "a micro-batch")
+            ingest_batch(frame(spark, batch()[i * 15:i * 15 + 15] + ["{broken"]), i, tables, coins, "quarantine",
+                         by_time=False, small_coins=True)
+            assert len(list(tracker.getJobIdsForGroup(f"{tmp_path}-{i}"))) <= 19
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_steps_run_at_once_and_all_end(spark):
+    ended = []
+    gate = threading.Barrier(2, timeout=30)
+
+    def waits():
+        gate.wait()
+        ended.append(spark.range(10).count())
+
+    def fails():
+        gate.wait()
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        at_once(spark, fails, waits)
+    assert ended == [10] and at_once(spark, lambda: 1, lambda: 2) == [1, 2]
 
 
 def test_new_checkpoint_reads_from_the_start(spark, tmp_path):
