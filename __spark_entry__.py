@@ -17,11 +17,12 @@ from sharelode.functions.headers import headers_map
 from sharelode.functions.names import wallet_name, worker_name
 from sharelode.functions.times import bucket_start, month_key, to_epoch_ms
 from sharelode.operators import analytics, hashrate, lookup, members, messages
-from sharelode.plans import ingest
+from sharelode.plans import ingest, sums
 from sharelode.schemas import WALLET_KEY, WALLETS, WORKER_KEY, WORKERS
 from sharelode.session import configure, shared_dir
 from sharelode.sinks import compaction, tables as sinks
 from sharelode.sinks.messages import publish_to_files, to_records
+from sharelode.sources import progress
 from sharelode.sources.messages import file_batch, file_stream
 from sharelode.sources.tables import empty_table, read_dimension, read_shares, seed_coins
 from sharelode.streaming.job import Tables, ingest_batch, start_ingest
@@ -546,8 +547,9 @@ STORED_START, STORED_END = datetime(1998, 2, 27), datetime(1999, 5, 1)
 
 
 def stored_share_by_uuid(spark, sf_dir):
-    """The shares of one uuid in the stored table, found by its bloom filters."""
-    found = read_shares(spark, _stored_items(spark, sf_dir)).filter(F.col("uuid") == "1-1")
+    """The shares of the uuid that comes first, found in the stored table by its bloom filters."""
+    first = item_shares(spark, sf_dir).agg(F.min("uuid")).first()[0]
+    found = read_shares(spark, _stored_items(spark, sf_dir)).filter(F.col("uuid") == first)
     return _plain(found)
 
 
@@ -563,6 +565,76 @@ def stored_coin_hashrate(spark, sf_dir):
     return hashrate.coin_hashrate(stored, seed_coins(spark), "kas", STORED_END, 400 * 86400, 65536.0)
 
 
+def _stored_sums(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The shares of `events` as stored in two batches, one of them twice, and their partial sums."""
+    shares = event_shares(spark, sf_dir).withColumns({
+        "share_date": F.col("share_date").cast("timestamp"), "server_id": F.lit("EU-1"), "nonce": F.lit(""),
+        "sharedif": F.col("difficulty"), "cost": F.lit(0).cast("decimal(30,20)"),
+        "is_solo": F.col("reward_method") == "SOLO",
+    })
+    stored, partial = _scratch(spark, "shares"), _scratch(spark, "sums")
+    odd = F.col("uuid").cast("bigint") % 3 == 0
+    for batch, rows in ((0, shares.filter(odd)), (1, shares.filter(~odd)), (0, shares.filter(odd))):
+        sinks.append_shares(rows, stored, batch)
+        sums.append_sums(rows, partial, batch)
+    return sums.read_sums(spark, partial, SUMS_START, SUMS_END), read_shares(spark, stored, SUMS_START, SUMS_END)
+
+
+# Neither end is a whole minute.
+SUMS_START, SUMS_END = datetime(2024, 1, 3, 7, 30, 13, 500_000), datetime(2024, 1, 29, 11, 59, 58, 250_000)
+
+
+def sums_range_difficulty(spark, sf_dir):
+    """The difficulty of a range, from partial sums and the shares at its ends."""
+    return sums.range_difficulty_sum(*_stored_sums(spark, sf_dir), SUMS_START, SUMS_END, 4, "PPLNS")
+
+
+def sums_interval_wallet(spark, sf_dir):
+    found = sums.interval_wallet(*_stored_sums(spark, sf_dir), SUMS_START, SUMS_END, 1800, 4, 8, "PPLNS")
+    return found.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
+def sums_interval_global_years(spark, sf_dir):
+    """Days of seven years, from partial sums."""
+    partial = _scratch(spark, "sums")
+    shares = item_shares(spark, sf_dir)
+    sums.append_sums(shares, partial, 0)
+    found = sums.interval_global(
+        sums.read_sums(spark, partial, YEARS_START, YEARS_END), shares, YEARS_START, YEARS_END, 86400, 4, "SOLO")
+    return found.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
+YEARS_START, YEARS_END = datetime(1995, 1, 1), datetime(2002, 1, 1)
+
+
+def replay_progress(spark, sf_dir):
+    """What batches of a topic have stored, by partition, and the offsets they lack or have twice.
+
+    Messages of `events` lie in five partitions. Batches of 150 offsets hold all but every
+    seventh; every ninth reads 40 offsets of the one before again.
+    """
+    place = events(spark, sf_dir).select(
+        F.lit("shares").alias("topic"), (F.col("event_id") % 5).cast("int").alias("partition"),
+        F.expr("event_id div 5").alias("offset"))
+    batch = F.expr("offset div 150")
+    first = place.withColumn("ingest_batch", batch)
+    again = place.filter(F.col("offset") % 150 >= 110).withColumn("ingest_batch", batch + 1).filter("ingest_batch % 9 = 4")
+    read = first.unionByName(again).filter("(ingest_batch + partition) % 7 != 3")
+    path = _scratch(spark, "progress")
+    rows = progress.batch_progress(read, "ingest_batch")
+    sinks.replace_batch(rows).partitionBy("ingest_batch").parquet(path)
+    known = progress.read_progress(spark, path)
+    listed = progress.breaks(known).groupBy("topic", "partition").agg(
+        F.count_if(F.col("kind") == progress.GAP).alias("gaps"),
+        F.count_if(F.col("kind") == progress.OVERLAP).alias("overlapping"),
+        F.sum(F.when(F.col("kind") == progress.OVERLAP, F.col("to_offset") - F.col("from_offset") + 1)).alias("twice"))
+    return (
+        progress.folded(known).join(listed, ["topic", "partition"], "left")
+        .join(progress.next_offsets(known, first_gap=True), ["topic", "partition"])
+        .withColumns({name: F.coalesce(name, F.lit(0).cast("bigint")) for name in ("gaps", "overlapping", "twice")})
+    )
+
+
 def compacted_scan(spark, sf_dir):
     """Months of a table, before and after one of them moved to the archive."""
     live, archive, archived = (_scratch(spark, n) for n in ("shares", "archive", "archived"))
@@ -682,6 +754,10 @@ def share_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stored_share_by_uuid": stored_share_by_uuid,
         "stored_interval_wallet": stored_interval_wallet,
         "stored_coin_hashrate": stored_coin_hashrate,
+        "sums_range_difficulty": sums_range_difficulty,
+        "sums_interval_wallet": sums_interval_wallet,
+        "sums_interval_global_years": sums_interval_global_years,
+        "replay_progress": replay_progress,
         "compacted_scan": compacted_scan,
         "stream_ingest": stream_ingest,
         "backfill_ingest": backfill_ingest,
@@ -850,7 +926,8 @@ def share_sql() -> dict[str, str]:
             datetime(1999, 5, 1), ITEMS_SQL),
         "stored_share_by_uuid": f"""
           SELECT uuid, server_id, coin_id, worker_id, wallet_id, share_date, nonce, is_solo,
-            reward_method, {items_text} FROM ({ITEMS_SQL}) WHERE uuid = '1-1'""",
+            reward_method, {items_text} FROM ({ITEMS_SQL})
+          WHERE uuid = (SELECT min(uuid) FROM ({ITEMS_SQL}))""",
         "stored_interval_wallet": _interval_sql(
             "coin_id = 8 AND reward_method = 'PPLNS' AND wallet_id = 3", 86400, ITEMS_SQL,
             STORED_START, STORED_END),
@@ -858,6 +935,29 @@ def share_sql() -> dict[str, str]:
           SELECT coalesce({SUM_SQL}, 0.0::double) * 65536.0::double / {400 * 86400}::double AS hashrate
           FROM ({ITEMS_SQL}) WHERE coin_id = 8 AND share_date <= TIMESTAMP '{STORED_END}'
             AND share_date > TIMESTAMP '{STORED_END}' - INTERVAL 400 DAY""",
+        "sums_range_difficulty": _range_sql("coin_id = 4 AND reward_method = 'PPLNS'", SUMS_START, SUMS_END),
+        "sums_interval_wallet": _interval_sql(
+            "coin_id = 4 AND reward_method = 'PPLNS' AND wallet_id = 8", 1800, SHARES_SQL, SUMS_START, SUMS_END),
+        "sums_interval_global_years": _interval_sql(
+            "coin_id = 4 AND reward_method = 'SOLO'", 86400, ITEMS_SQL, YEARS_START, YEARS_END),
+        "replay_progress": """
+          WITH p AS (SELECT (event_id % 5)::integer AS partition, event_id // 5 AS o FROM events),
+          r AS (
+            SELECT *, o // 150 AS b FROM p
+            UNION ALL SELECT *, o // 150 + 1 AS b FROM p WHERE o % 150 >= 110 AND (o // 150 + 1) % 9 = 4),
+          k AS (SELECT * FROM r WHERE (b + partition) % 7 <> 3),
+          once AS (
+            SELECT partition, o, lag(o) OVER (PARTITION BY partition ORDER BY o) AS before
+            FROM (SELECT DISTINCT partition, o FROM k)),
+          twice AS (
+            SELECT partition, count(DISTINCT o // 150) AS overlapping, count(*) AS twice
+            FROM (SELECT partition, o FROM k GROUP BY partition, o HAVING count(*) > 1) GROUP BY partition)
+          SELECT 'shares' AS topic, partition, min(o) AS first_offset, max(o) AS last_offset,
+            (SELECT count(*) FROM k WHERE k.partition = once.partition) AS n,
+            max(o) - min(o) + 1 - count(*) AS missing, count(*) FILTER (o > before + 1) AS gaps,
+            coalesce(any_value(overlapping), 0)::bigint AS overlapping, coalesce(any_value(twice), 0)::bigint AS twice,
+            coalesce(min(before + 1) FILTER (o > before + 1), max(o) + 1) AS next_offset
+          FROM once LEFT JOIN twice USING (partition) GROUP BY partition""",
         "compacted_scan": f"""
           SELECT cast(year(share_date) * 100 + month(share_date) AS integer) AS share_month,
             reward_method, count(*) AS cnt, {SUM_SQL} AS sumdif FROM ({ITEMS_SQL}) GROUP BY 1, 2""",

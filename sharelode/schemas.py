@@ -53,6 +53,15 @@ WORKERS = """
     is_solo boolean, miner_client string, reward_method string
 """
 
+# Number and exact difficulty of the shares of a minute.
+MINUTE_SUMS = """
+    minute timestamp, coin_id bigint, reward_method string, wallet_id bigint,
+    worker_id bigint, cnt bigint, sumdif decimal(38,10)
+"""
+
+# Offsets of a batch in one partition of a topic.
+PROGRESS = "topic string, partition int, first_offset bigint, last_offset bigint, n bigint"
+
 # JSON key -> column name used once a message is decoded.
 WIRE_COLUMNS = {
     "uuid": "uuid",

@@ -19,7 +19,8 @@ from sharelode.sources.tables import BATCH, MONTH, empty_table
 BLOOM_COLUMNS = ["uuid", "wallet_id", "worker_id"]
 
 
-def _replace_batch(df: DataFrame) -> DataFrameWriter:
+def replace_batch(df: DataFrame) -> DataFrameWriter:
+    """A writer that replaces the folders it writes to and leaves all others as they are."""
     return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
 
@@ -32,7 +33,7 @@ def create_tables(spark: SparkSession, shares: str, wallets: str, workers: str)
 
 def append_dimension(rows: DataFrame, path: str, batch_id: int) -> None:
     """Append new wallets or workers. No rows leave the folder of the batch as it is."""
-    _replace_batch(rows.withColumn(BATCH, F.lit(batch_id).cast("bigint"))).partitionBy(
+    replace_batch(rows.withColumn(BATCH, F.lit(batch_id).cast("bigint"))).partitionBy(
         BATCH
     ).parquet(path)
 
@@ -63,7 +64,7 @@ def append_shares(shares: DataFrame, path: str, batch_id: int, *, by_time: bool
     """Append typed shares to the month folders of the table."""
     configure(shares.sparkSession)
     rows = shares.select(*SHARE_COLUMNS).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-    writer = file_options(_replace_batch(by_month(rows, BATCH, by_time)))
+    writer = file_options(replace_batch(by_month(rows, BATCH, by_time)))
     writer.partitionBy(MONTH, BATCH).parquet(path)
 
 

@@ -16,11 +16,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sharelode.operators.lookup import coin_symbols, fits_broadcast
 from sharelode.operators.messages import decode, enforce
-from sharelode.plans.ingest import FAIL, QUARANTINE, assign_ids, judge
+from sharelode.plans.ingest import FAIL, assign_ids, judge
+from sharelode.plans.sums import append_sums
 from sharelode.schemas import WALLET_KEY, WALLETS, WORKER_KEY, WORKERS
 from sharelode.session import at_once, configure, staged
 from sharelode.sinks.compaction import compact_dimension
 from sharelode.sinks.tables import append_dimension, append_shares, create_tables
+from sharelode.sources.progress import batch_progress
 from sharelode.sources.tables import BATCH, read_dimension
 
 
@@ -50,6 +52,14 @@ class Tables:
     def rejected(self) -> str:
         return f"{self.root}/rejected"
 
+    @property
+    def sums(self) -> str:
+        return f"{self.root}/minute_sums"
+
+    @property
+    def progress(self) -> str:
+        return f"{self.root}/progress"
+
     def create(self, spark: SparkSession) -> "Tables":
         create_tables(spark, self.shares, self.wallets, self.workers)
         return self
@@ -97,19 +107,24 @@ class KnownIds:
 
 
 def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables, coins: DataFrame,
-                 on_error: str = FAIL, *, by_time: bool = True, small_coins: bool | None = None,
-                 wallets: KnownIds | None = None, workers: KnownIds | None = None) -> None:
+                 on_error: str = FAIL, *, by_time: bool = True, sums: bool = False,
+                 small_coins: bool | None = None, wallets: KnownIds | None = None, workers: KnownIds | None = None) -> None:
     """Write one bounded batch of messages; also the way to load history in bulk.
 
     Messages are decoded once, into a columnar table in the shared folder that the keys, the
-    shares and the rejected messages are read from, and that is removed at the end.
+    shares and the rejected messages are read from, and that is removed at the end. With `sums`
+    the partial sums of the minutes are written beside the shares. Progress is written last, so
+    what it names is stored; messages without offsets have none.
     """
     spark = configure(messages.sparkSession)
     judged = judge(decode(messages), coins, small=small_coins)
     if on_error == FAIL:
         # Nothing is written if a message cannot be stored.
         judged = enforce(judged).withColumn("reject_reason", F.lit(None).cast("string"))
-    with staged(judged, bad=F.count("reject_reason")) as (stage, found):
+    counts = {"bad": F.count("reject_reason")}
+    if {"topic", "partition", "offset"} <= set(judged.columns):
+        counts["offsets"] = F.count("offset")
+    with staged(judged, **counts) as (stage, found):
         result = assign_ids(
             stage,
             wallets.read(spark) if wallets else read_dimension(spark, tables.wallets, WALLETS),
@@ -127,11 +142,16 @@ def ingest_batch(messages: DataFrame, batch_id: int, tables: Tables, coins: Data
         ]
         if writes:
             at_once(spark, *writes)
-        append_shares(result.shares, tables.shares, batch_id, by_time=by_time)
+        stores = [lambda: append_shares(result.shares, tables.shares, batch_id, by_time=by_time)]
+        if sums:
+            stores.append(lambda: append_sums(result.shares, tables.sums, batch_id))
+        at_once(spark, *stores)
+        if found.get("offsets"):
+            append_dimension(batch_progress(stage), tables.progress, batch_id)
 
 
 def start_ingest(messages: DataFrame, tables: Tables, coins: DataFrame, checkpoint: str, *,
-                 on_error: str = FAIL, trigger: dict | None = None) -> StreamingQuery:
+                 on_error: str = FAIL, sums: bool = False, trigger: dict | None = None) -> StreamingQuery:
     """Start the job on a stream of messages.
 
     `checkpoint` holds the offsets; a new folder starts at the source's starting
@@ -143,7 +163,7 @@ def start_ingest(messages: DataFrame, tables: Tables, coins: DataFrame, checkpoi
     workers = KnownIds(tables.workers, WORKERS, WORKER_KEY)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch, batch_id, tables, coins, on_error, by_time=False,
+        ingest_batch(batch, batch_id, tables, coins, on_error, by_time=False, sums=sums,
                      small_coins=small_coins, wallets=wallets, workers=workers)
 
     return (

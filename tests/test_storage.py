@@ -9,7 +9,7 @@ from sharelode.operators import analytics
 from sharelode.operators.messages import share_text
 from sharelode.plans.ingest import normalize_messages
 from sharelode.schemas import SHARE_COLUMNS, WALLETS, WORKERS
-from sharelode.sinks import compaction
+from sharelode.sinks import compaction, tables
 from sharelode.sinks.tables import (
     append_dimension, append_share, append_shares, create_tables,
 )
@@ -244,3 +244,35 @@ def test_filters_skip_files_and_row_groups(spark, tmp_path):
     assert rows_read(stored.filter(F.col("uuid") == "2-555")) == 0
     start, end = datetime(2024, 1, 2), datetime(2024, 1, 2, 23, 30)
     assert rows_read(analytics.range_difficulty_sum(stored, start, end, 4, "PPLNS")) == 100
+
+
+def rows_scanned(df):
+    """Rows that the scan of a plan without exchanges has handed on."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.sparkSession._jvm.org.apache.spark.sql.execution.SparkPlan
+    leaf = plan.collectLeaves().head()
+    list(df._jdf.collectToPython())
+    return leaf.metrics().get("numOutputRows").get().value()
+
+
+def test_a_uuid_is_found_by_reading_few_rows(spark, tmp_path):
+    """Bloom filters leave out row groups; without them every one may hold the value."""
+    shares = spark.range(40_000).selectExpr(
+        "md5(cast(id AS string)) AS uuid", "'s' AS server_id", "4L AS coin_id", "id AS worker_id", "id AS wallet_id",
+        "timestamp_millis(1704067200000 + id * 60000) AS share_date", "cast(id AS decimal(25,10)) AS difficulty",
+        "cast(1 AS decimal(25,10)) AS sharedif", "'' AS nonce", "false AS is_solo", "'PPLNS' AS reward_method",
+        "cast(0 AS decimal(30,20)) AS cost")
+    wanted = shares.filter("worker_id = 12345").first().uuid
+    scanned = {}
+    for blooms in (True, False):
+        path = f"{tmp_path}/blooms-{blooms}"
+        placed = tables.by_month(shares.withColumn("ingest_batch", F.lit(0).cast("bigint")), "ingest_batch")
+        writer = tables.file_options(placed.write.option("parquet.block.row.count.limit", "1000"))
+        if not blooms:
+            for column in tables.BLOOM_COLUMNS:
+                writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "false")
+        writer.partitionBy("share_month", "ingest_batch").parquet(path)
+        found = read_shares(spark, path).filter(F.col("uuid") == wanted)
+        assert [r.worker_id for r in found.collect()] == [12345]
+        scanned[blooms] = rows_scanned(read_shares(spark, path).filter(F.col("uuid") == wanted))
+    assert scanned[True] <= 2000 and scanned[False] >= 10_000
