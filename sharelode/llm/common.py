@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sharelode.session import shared_dir
+from sharelode.session import remove, shared_dir
 
 # Text that a Python worker holds as words at once.
 SLICE_BYTES = 4 << 20
@@ -39,11 +39,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free(*tables: DataFrame) -> None:
+    """Delete tables of `stored` that nothing reads any more."""
+    for table in tables:
+        for path in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            remove(table.sparkSession, path)
+
+
 def sweep(spark: SparkSession) -> None:
     """Remove all scratch tables of this application; results made from them end too."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}")
 
 
 def only(df: DataFrame, **columns: str | Column) -> DataFrame:

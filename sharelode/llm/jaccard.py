@@ -9,9 +9,9 @@ one under each other order, before its sets are compared.
 
 A shingle that is frequent and still among the first of many sets belongs to a large group of
 near copies. Only which documents hang together is asked for, so there not all pairs are
-compared: first members of small parts of such groups are compared with one member of the part,
-which links most of them, and what is not in a group's largest component by then is compared
-with all of the group.
+compared: first members of such groups are compared with the group's smallest key, which is
+the same one in most groups of the same near copies and links most of them. What is not in a
+group's largest component by then is compared with all of the group.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sharelode.llm.common import (
-    as_bytes, mix, only, slices, stored, window_hashes, word_hashes,
+    as_bytes, free, mix, only, slices, stored, window_hashes, word_hashes,
 )
 from sharelode.llm.components import connected
 
@@ -33,17 +33,19 @@ SHINGLE = 5
 # Alike: 100 * common >= 75 * all.
 PERCENT = 75
 # Cells of the sketch for each document, and their largest number: one byte each is sent to the tasks.
-CELLS_PER_DOCUMENT = 4
+CELLS_PER_DOCUMENT = 64
 LEAST_CELLS, MOST_CELLS = 1 << 16, 1 << 24
-BLOCK = 4096
+BLOCK = 1 << 16
+# Sketches of tasks that are added up at once.
+_SKETCHES = 256
 # First shingles are dealt to as many buckets that each has those of so many documents.
 DOCUMENTS_PER_BUCKET, LEAST_BUCKETS = 4096, 8
 # A group of at most so many sets gives its pairs right away.
-SMALL_GROUP = 256
+SMALL_GROUP = 32
 # Pairs that a bucket's task holds before it counts them.
 _PAIRS_AT_ONCE = 1 << 21
-# Of larger groups one in so many is cut into parts of about so many members at first.
-GROUPS_APART, PART = 4, 32
+# Of larger groups one in so many gives first comparisons.
+GROUPS_APART = 4
 # Of the mixed keys of the second and the third order.
 _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 
@@ -110,6 +112,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             "jaccard-labelled")
         more = stored(_rest(labelled, counted, percent), "jaccard-pairs")
         parts = connected(links.unionByName(_alike(more, full, percent)))
+        free(labelled, more)
+    free(dealt, pairs, full)
 
     # By document: the smallest id of all sets that hang together.
     joined = sets.join(parts, F.col("v") == F.col("node"), "left").select(
@@ -194,9 +198,9 @@ def _frequency(passed: DataFrame, cells: int):
     spark = passed.sparkSession
     sketch = passed.filter("block is not null").select("block", "counts")
     summed = (
-        sketch.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
-        .groupBy("block", "part").applyInPandas(_sum_counts, "block int, counts binary")
-        .groupBy("block").applyInPandas(_sum_counts, "block int, counts binary")
+        sketch.withColumn("part", F.floor(F.spark_partition_id() / _SKETCHES))
+        .groupBy("block", "part").applyInPandas(lambda key, frame: _sum_counts(key, frame, np.uint8), "block int, counts binary")
+        .groupBy("block").applyInPandas(lambda key, frame: _sum_counts(key, frame, np.uint32), "block int, counts binary")
     )
     total = passed.filter("block is null").agg(F.sum("n")).first()[0] or 0
     usual = max(1.0, total / cells)
@@ -206,7 +210,7 @@ def _frequency(passed: DataFrame, cells: int):
         for frame in frames:
             made = []
             for counts in frame["counts"]:
-                ratio = np.frombuffer(counts, np.int64) / (2 * usual)
+                ratio = np.frombuffer(counts, np.uint32) / (2 * usual)
                 made.append(np.where(ratio > 1, np.log2(np.maximum(ratio, 1)) + 1, 0).astype(np.uint8).tobytes())
             yield pd.DataFrame({"block": frame["block"], "levels": made})
 
@@ -215,10 +219,10 @@ def _frequency(passed: DataFrame, cells: int):
     return spark.sparkContext.broadcast(classes)  # MOST_CELLS bytes at most
 
 
-def _sum_counts(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BLOCK, np.int64)
+def _sum_counts(key: tuple, frame: pd.DataFrame, kind: type) -> pd.DataFrame:
+    total = np.zeros(BLOCK, np.uint32)
     for counts in frame["counts"]:
-        total += np.frombuffer(counts, np.int64)
+        total += np.frombuffer(counts, kind)
     return pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
 
 
@@ -258,12 +262,14 @@ def _cell(tokens: np.ndarray, cells: int) -> np.ndarray:
 
 def _profiles(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n", "v", "v2", "block", "counts"]
-    sketch = np.zeros(cells, np.int64)
+    # A task's count in a cell stops at 255: what is that frequent comes last anyway.
+    sketch = np.zeros(cells, np.uint8)
     seen = False
     for batch in slices(batches):
         seen = True
         sets = _sets(batch)
-        sketch += np.bincount(_cell(np.concatenate(sets), cells), minlength=cells)
+        found, times = np.unique(_cell(np.concatenate(sets), cells), return_counts=True)
+        sketch[found] = np.minimum(sketch[found] + times, 255)
         keys = [_key(s) for s in sets]
         nothing = pa.nulls(len(sets))
         yield pa.RecordBatch.from_arrays([
@@ -384,20 +390,12 @@ def _grouped(table: pa.Table, percent: int, small_group: int) -> pa.Table:
                 if len(pairs) else np.empty(0, np.int64)
             pieces.append((pairs[first], np.diff(np.append(first, len(pairs)))))
     large = size > small_group
+    # Members of large groups with the first of their group; these need not share more than the one shingle here.
+    own_start = np.repeat(starts, np.diff(np.append(starts, len(token))))
     apart = np.flatnonzero(large & (token % GROUPS_APART == 0))
-    if len(apart):
-        # Each member with the head of its part; these need not share more than the one shingle here.
-        h = mix(v[apart].view(np.uint64) ^ mix(token[apart].astype(np.uint64)))
-        part = h % (size[apart] // PART + 1).astype(np.uint64)
-        order = np.lexsort((h, part, token[apart]))
-        apart, part = apart[order], part[order]
-        head = np.append(True, (token[apart][1:] != token[apart][:-1]) | (part[1:] != part[:-1]))
-        heads = apart[head][np.cumsum(head) - 1]
-        good = (heads != apart) & _room(n, place, heads, apart, percent)
-        x, y = np.where(v[heads] < v[apart], heads, apart)[good], np.where(v[heads] < v[apart], apart, heads)[good]
-        firsts = np.stack([v[x], n[x], v[y], n[y]], axis=1)
-    else:
-        firsts = np.empty((0, 4), np.int64)
+    heads = own_start[apart]
+    good = (heads != apart) & _room(n, place, heads, apart, percent)
+    firsts = np.stack([v[heads[good]], n[heads[good]], v[apart[good]], n[apart[good]]], axis=1)
     pairs = np.concatenate([p for p, _ in pieces]) if pieces else np.empty((0, 4), np.int64)
     counts = np.concatenate([c for _, c in pieces]) if pieces else np.empty(0, np.int64)
     bucket = table.column("bucket")[0].as_py()
