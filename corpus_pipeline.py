@@ -1,7 +1,8 @@
 """From raw documents to packed sequences, a stage per operator.
 
 Each stage takes what the one before has kept and returns documents with the same
-columns; the last returns the pieces of packed sequences.
+columns; the last returns the pieces of packed sequences. A row is a document, also where
+rows share an id.
 """
 
 from __future__ import annotations
@@ -12,34 +13,60 @@ from sharelode.llm import jaccard, packing, quality, repeats
 from sharelode.llm.common import stored
 from sharelode.llm.queries import TOKENIZER, vocabulary
 
+_ROW = "_pipeline_row"
+_WORDS = "_pipeline_words"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the strict policy rejects."""
+    """Documents that no rule of the strict policy rejects.
+
+    Each row is judged by its own text, whatever its id is; a null text is empty and goes.
+    An empty table gives an empty one.
+    """
     judged = quality.judge(quality.ledger(docs, keep=tuple(docs.columns)), quality.STRICT)
     return judged.filter("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together the one with the smallest id; rows without an id stay."""
-    found = jaccard.near_duplicates(docs)
-    first = stored(found.filter("doc_id = component_id").select("doc_id").distinct(), "pipeline-first")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """Of documents that hang together the one with the smallest id.
+
+    Rows that share an id are documents each: with different texts both stay, and of
+    repeated rows one stays. Rows without an id stay, as do empty texts. Texts of any length
+    are compared whole. An empty table gives an empty one.
+    """
+    # Rows get keys of their own, stored so that a task that runs again finds the same ones.
+    keyed = stored(docs.withColumn(
+        _ROW, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "pipeline-rows")
+    found = jaccard.near_duplicates(keyed, id_column=_ROW).select(F.col("doc_id").alias(_ROW), "component_id")
+    first = found.join(keyed.select(_ROW, "doc_id"), _ROW).groupBy("component_id").agg(
+        F.min(F.struct("doc_id", _ROW)).alias("first"))
+    kept = keyed.join(stored(first.select(f"first.{_ROW}"), "pipeline-first"), _ROW, "left_semi")
+    return kept.unionByName(keyed.filter(F.col(_ROW).isNull())).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that an earlier one has."""
-    found = repeats.remove_repeats(docs).filter("n_removed > 0")
-    changed = stored(found.select("doc_id", "kept").dropDuplicates(["doc_id"]), "pipeline-changed")
+    """Documents without the words of passages that a document with a smaller id has.
+
+    Rows that share an id do not remove each other's words, and each is changed by its own text. A
+    document without such passages, a null text and a row without an id stay as they are; one
+    that consists of them becomes an empty text. An empty table gives an empty one.
+    """
+    # What is left belongs to the id and the words it was made from.
+    found = repeats.remove_repeats(docs, words_hash=True).filter("n_removed > 0")
+    changed = stored(
+        found.select("doc_id", F.col("words_sha256").alias(_WORDS), "kept").dropDuplicates(["doc_id", _WORDS]),
+        "pipeline-changed")
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.coalesce("kept", "text")
-    return docs.join(changed, "doc_id", "left").withColumns(
+    return docs.withColumn(_WORDS, F.sha2(F.array_join(words, " "), 256)).join(
+        changed, ["doc_id", _WORDS], "left").withColumns(
         {"text": text, "n_chars": F.when(F.col("kept").isNotNull(), F.length("kept"))
                                    .otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
     ).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens, by piece."""
+    """Sequences of at most 2048 tokens, by piece; each row is packed, whatever its id is."""
     return packing.packed(docs, vocabulary(TOKENIZER))
 
 

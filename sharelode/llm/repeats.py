@@ -29,14 +29,15 @@ _LARGEST = np.uint64(2**64 - 1)
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                   window: int = WINDOW) -> DataFrame:
+                   window: int = WINDOW, words_hash: bool = False) -> DataFrame:
     """For every document what is left when words that an earlier document has are removed.
 
     A word goes if a window of `window` consecutive words covers it whose word sequence also
     starts in a document with a smaller id; windows are judged on the input. Words are
     `[^\\x20\\x09-\\x0D]+` of the whole text. Returns one row per input row: `doc_id`,
     `n_words`, `n_removed`, `kept_sha256` (of the kept words joined by one space, UTF-8),
-    and `kept`, these words as text, or null where nothing was removed.
+    and `kept`, these words as text, or null where nothing was removed. With `words_hash` also
+    `words_sha256`, the same hash of all words, by which rows that share an id are told apart.
 
     A null or empty text has no words. Rows with a null id take no part: nothing is
     removed from them or for their sake. Rows that share an id do not remove each other's
@@ -107,6 +108,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             F.when(F.col("is_copy"), F.lit(nothing))
             .otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
             F.when(F.col("is_copy"), F.lit("")).otherwise(F.col("kept")).alias("kept"),
+            *([F.col("sha").alias("words_sha256")] if words_hash else []),
         )
     )
 

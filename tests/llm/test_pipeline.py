@@ -60,6 +60,27 @@ def test_odd_rows_pass_all_stages(spark):
         assert stage(spark, spark.read.parquet(f"{SF}/documents.parquet").filter("false"), SF).count() == 0
 
 
+def test_rows_that_share_an_id_are_documents_each(spark):
+    """None is lost, and what is removed from one is not taken from another."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(120)) for x in "abc")
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, None), (3, ""), (None, a), (None, None), (5, f"{c} {passage}"),
+            (7, f"{b} {a} {c} {passage}"), (7, f"x y z {passage} end"), (8, "short"), (8, "other")]
+    docs = cases.frame(spark, rows, clash=False).selectExpr(
+        "doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars")
+
+    def kept(df):
+        return cases.ordered((r.doc_id, r.text) for r in df.collect())
+    single = corpus_pipeline.near_duplicates(spark, docs, SF)
+    stay = [(1, a), (2, b), *rows[4:]]
+    assert kept(single) == cases.ordered(stay)
+    unique = corpus_pipeline.substring_dedup(spark, single, SF)
+    expected = [(i, left if n else text) for (i, text), (_, _, n, _, left) in zip(stay, cases.removed(stay, 50))]
+    assert (7, "") in expected and (7, "x y z end") in expected
+    assert kept(unique) == cases.ordered(expected)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in unique.collect())
+
+
 @pytest.mark.parametrize("key", sorted(text_queries.oracle_sql()))
 def test_query_against_sql(spark, key):
     columns, rows = spark_rows(text_queries.queries()[key](spark, SF))
@@ -70,7 +91,7 @@ def test_query_against_sql(spark, key):
 def test_registered():
     names = set(registered.queries())
     assert {*text_queries.queries()} <= names and "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_packing_query_over_a_table(spark):
