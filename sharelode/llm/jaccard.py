@@ -9,9 +9,10 @@ one under each other order, before its sets are compared.
 
 A shingle that is frequent and still among the first of many sets belongs to a large group of
 near copies. Only which documents hang together is asked for, so there not all pairs are
-compared: first members of such groups are compared with the group's smallest key, which is
-the same one in most groups of the same near copies and links most of them. What is not in a
-group's largest component by then is compared with all of the group.
+compared: first members of such groups are compared with the group's smallest keys, which are
+the same ones in most groups of the same near copies and link most of them. What is not in a
+group's largest component by then is compared with some members of that, and what still is not
+with all of the group.
 """
 
 from __future__ import annotations
@@ -41,11 +42,13 @@ _SKETCHES = 256
 # First shingles are dealt to as many buckets that each has those of so many documents.
 DOCUMENTS_PER_BUCKET, LEAST_BUCKETS = 4096, 8
 # A group of at most so many sets gives its pairs right away.
-SMALL_GROUP = 32
+SMALL_GROUP = 128
 # Pairs that a bucket's task holds before it counts them.
 _PAIRS_AT_ONCE = 1 << 21
-# Of larger groups one in so many gives first comparisons.
-GROUPS_APART = 4
+# Of larger groups one in so many gives first comparisons, with so many of its members.
+GROUPS_APART, HEADS = 4, 4
+# Members of a group's largest component that each of its other members is compared with next.
+SLOTS = 8
 # Of the mixed keys of the second and the third order.
 _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 
@@ -107,12 +110,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = _alike(pairs, full, percent)
     parts = connected(links)
     if not members.isEmpty():
-        labelled = stored(
-            members.join(parts, F.col("v") == F.col("node"), "left").withColumn("c", F.coalesce("component", "v")),
-            "jaccard-labelled")
-        more = stored(_rest(labelled, counted, percent), "jaccard-pairs")
-        parts = connected(links.unionByName(_alike(more, full, percent)))
-        free(labelled, more)
+        for ask in (_some, lambda groups: _rest(groups, counted, percent)):
+            groups = _open_groups(members, parts)
+            more = stored(ask(groups), "jaccard-pairs")
+            links = links.unionByName(_alike(more, full, percent))
+            parts = connected(links)
+            free(groups, more)
     free(dealt, pairs, full)
 
     # By document: the smallest id of all sets that hang together.
@@ -139,17 +142,39 @@ def _may_link(percent: int) -> Column:
     )
 
 
-def _rest(labelled: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
+def _open_groups(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of the groups that have more than one component, with theirs (`c`) and the largest (`top`)."""
+    labelled = stored(
+        members.join(parts, F.col("v") == F.col("node"), "left").withColumn("c", F.coalesce("component", "v")),
+        "jaccard-labelled")
+    counts = labelled.groupBy("token", "c").agg(F.count("*").alias("k"))
+    largest = stored(
+        counts.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("kinds"))
+        .filter("kinds > 1").select("token", F.col("top.c").alias("top")), "jaccard-largest")
+    found = stored(labelled.join(largest, "token"), "jaccard-open")
+    free(labelled, largest)
+    return found
+
+
+def _some(groups: DataFrame) -> DataFrame:
+    """Pairs of what is outside a group's largest component with a few members of that.
+
+    Which ones depends on their keys alone, so groups of the same near copies name the same.
+    """
+    some = (
+        groups.filter("c = top").groupBy("token", F.pmod(F.xxhash64("v"), F.lit(SLOTS)).alias("slot"))
+        .agg(F.min("v").alias("v2"))
+    )
+    return groups.filter("c <> top").join(some, "token").select(
+        F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
+
+
+def _rest(open_groups: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
     """All pairs of different components that share enough of their first shingles.
 
     They are found from the side that is not a group's largest. `counted` has what pairs share in
     small groups.
     """
-    counts = labelled.groupBy("token", "c").agg(F.count("*").alias("k"))
-    largest = stored(
-        counts.groupBy("token").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("kinds"))
-        .filter("kinds > 1").select("token", F.col("top.c").alias("top")), "jaccard-largest")
-    open_groups = stored(labelled.join(largest, "token"), "jaccard-open")
     side = open_groups.filter("c <> top")
     other = open_groups.select("token", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("place").alias("place2"),
                                F.col("c").alias("c2"), (F.col("c") == F.col("top")).alias("is_top"))
@@ -390,12 +415,15 @@ def _grouped(table: pa.Table, percent: int, small_group: int) -> pa.Table:
                 if len(pairs) else np.empty(0, np.int64)
             pieces.append((pairs[first], np.diff(np.append(first, len(pairs)))))
     large = size > small_group
-    # Members of large groups with the first of their group; these need not share more than the one shingle here.
+    # Members of large groups with the first ones of their group; these need not share more than the one shingle here.
     own_start = np.repeat(starts, np.diff(np.append(starts, len(token))))
     apart = np.flatnonzero(large & (token % GROUPS_APART == 0))
-    heads = own_start[apart]
-    good = (heads != apart) & _room(n, place, heads, apart, percent)
-    firsts = np.stack([v[heads[good]], n[heads[good]], v[apart[good]], n[apart[good]]], axis=1)
+    firsts = []
+    for k in range(HEADS):
+        heads = np.minimum(own_start[apart] + k, apart)
+        good = (heads < apart) & _room(n, place, heads, apart, percent)
+        firsts.append(np.stack([v[heads[good]], n[heads[good]], v[apart[good]], n[apart[good]]], axis=1))
+    firsts = np.concatenate(firsts)
     pairs = np.concatenate([p for p, _ in pieces]) if pieces else np.empty((0, 4), np.int64)
     counts = np.concatenate([c for _, c in pieces]) if pieces else np.empty(0, np.int64)
     bucket = table.column("bucket")[0].as_py()
