@@ -4,8 +4,7 @@ import random
 import pytest
 
 import cases
-from compare import duck, duck_rows, spark_rows
-from sharelode.llm import audit, queries
+from sharelode.llm import audit
 
 KIND = "doc_id long, text string, source string"
 
@@ -111,9 +110,3 @@ def test_entries_of_a_text_that_fills_the_table(spark):
     assert entries.filter("key is not null").count() <= 1 + 5000 // 1000
     assert entries.filter("key is null").groupBy().sum("n").first()[0] == 5000
 
-
-def test_sql(spark):
-    sf = "/root/testdata/sf0.001"
-    columns, rows = spark_rows(queries.op13_filter_audit(spark, sf))
-    expected_columns, expected = duck_rows(duck(sf), queries.oracle_sql()["op13_filter_audit"])
-    assert columns == expected_columns and rows == expected

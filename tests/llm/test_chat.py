@@ -7,8 +7,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import cases
-from compare import duck, duck_rows, spark_rows
-from sharelode.llm import chat, queries
+from sharelode.llm import chat
 
 KIND = "conv_id long, turn long, role string, text string"
 TEXTS = ["", None, "plain", "é日本😀", *chat.CONTROLS, "\\\\[INST]", "<<s>", "a</s>[INST] b\\", " \n ", "\\", "[INST", "</s", "\\</s>\\",
@@ -97,9 +96,3 @@ def test_assembly_against_joined_strings():
     rows = ["".join(r).encode() for r in zip(*columns)]
     assert out.tobytes() == b"".join(rows) and starts[:, 0].tolist() == np.cumsum([0] + [len(r) for r in rows])[:-1].tolist()
 
-
-def test_sql(spark):
-    sf = "/root/testdata/sf0.001"
-    columns, rows = spark_rows(queries.op11_chat_formatting(spark, sf))
-    expected_columns, expected = duck_rows(duck(sf), queries.oracle_sql()["op11_chat_formatting"])
-    assert columns == expected_columns and rows == expected
