@@ -4,12 +4,15 @@ A text is lower-cased (A-Z) and cut into words; rules are regular expressions ov
 words joined by one space. A first expression over the raw text keeps texts without any
 license word out of all further work. Of the rest a rule is tried only if its keyword is
 there. Both follow from the patterns, so they lose no match. Each match is an interval with its rule's priority; a match that lies within one
-of at least its priority, or overlaps one of a higher priority, is suppressed.
+of at least its priority, or overlaps one of a higher priority, is suppressed. Matches are put in order
+and compared only within groups that hang together by overlap, so the work of a text grows with its length.
 """
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -107,6 +110,10 @@ _OTHERS = [
     ("copyleft", 30, "copyleft"),
 ]
 
+# Values that one step of a running sum or maximum goes over.
+_STEP = 128
+_SPAN = "struct<from:int,to:int,priority:int,place:int,label:string>"
+
 _GRANT = "(?:licen[cs]ed|released|distributed|published|available|provided|covered) (?:under|by) (?:the )?(?:terms of )?(?:the )?"
 _VERSION = "(?: version| v)? ?"
 
@@ -235,7 +242,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         .withColumn("found", _found(F.col("joined")))
         .withColumn("places", F.filter(
             F.transform("marks", lambda m, i: F.when(m.isNotNull(), i.cast("long"))), lambda p: p.isNotNull()))
-        .withColumn("detections", F.filter("found", lambda d: ~F.exists("found", lambda o: _suppresses(o, d))))
+        .withColumn("detections", _left(F.col("found")))
         .withColumn("base", F.array_sort(F.array_distinct(F.filter("marks", lambda m: m.isNotNull()))))
         .select(
             "doc_id", "n_words",
@@ -266,31 +273,73 @@ def _base_label(word: Column, place: Column) -> Column:
     return label
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each place of an array with values, the merged values up to it.
+
+    An array that grows by one is copied each time, so this goes block by block, then over the blocks.
+    """
+    def along(block: Column) -> Column:
+        return F.aggregate(F.slice(block, F.lit(2), F.size(block)), F.slice(block, 1, 1),
+                           lambda done, x: F.concat(done, F.array(merge(F.element_at(done, -1), x))))
+
+    def blocks(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(all_) - 1, F.lit(_STEP)), lambda first: F.transform(
+            F.sequence(first, F.least(first + _STEP, F.size(all_)) - 1), lambda i: F.get(all_, i)))
+
+    def joined(parts: Column, ends: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda part, i: F.transform(
+            part, lambda x: F.when(i == 0, x).otherwise(merge(F.get(ends, i - 1), x)))))
+
+    return _let(values, lambda all_: _let(
+        F.transform(blocks(all_), along),
+        lambda parts: _let(_let(F.transform(parts, lambda part: F.element_at(part, -1)), along),
+                           lambda ends: joined(parts, ends))))
+
+
 def _found(joined: Column) -> Column:
     """All matches of all rules whose keyword is in the text."""
-    table = F.array(*[
-        F.struct(F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(place).alias("place"),
-                 F.lit(keyword).alias("keyword"), F.lit(f"(?<= )(?:{pattern})(?= )").alias("pattern"))
+    # One literal; the optimizer reads it once for all rows.
+    table = F.from_json(F.lit(json.dumps([
+        {"label": label, "priority": priority, "place": place, "keyword": keyword, "pattern": f"(?<= )(?:{pattern})(?= )"}
         for place, (label, priority, keyword, pattern) in enumerate(rules())
-    ])
+    ])), "array<struct<label:string,priority:int,place:int,keyword:string,pattern:string>>")
     likely = F.filter(table, lambda r: F.contains(joined, r["keyword"]))
-    return F.flatten(F.transform(likely, lambda r: _spans(joined, r)))
+    return F.flatten(F.transform(likely, lambda r: _let(
+        F.regexp_extract_all(joined, r["pattern"], F.lit(0)),
+        lambda matches: F.when(F.size(matches) > 0, _spans(joined, r, matches)).otherwise(F.array().cast(f"array<{_SPAN}>")))))
+
+
+def _spans(joined: Column, rule: Column, matches: Column) -> Column:
+    steps = F.zip_with(F.split(joined, rule["pattern"], -1), matches,
+                       lambda gap, match: F.length(gap) + F.coalesce(F.length(match), F.lit(0)))
+    return _let(_running(steps, lambda n, x: n + x), lambda ends: F.transform(matches, lambda match, i: F.struct(
+        (F.get(ends, i) - F.length(match)).alias("from"), F.get(ends, i).alias("to"),
+        rule["priority"].alias("priority"), rule["place"].alias("place"), rule["label"].alias("label"))))
 
 
-def _spans(joined: Column, rule: Column) -> Column:
-    matches = F.regexp_extract_all(joined, rule["pattern"], F.lit(0))
-    gaps = F.split(joined, rule["pattern"], -1)
+def _left(found: Column) -> Column:
+    """The matches that no other one suppresses, in order."""
+    def group(all_: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda first, k: F.transform(
+            F.sequence(first, F.coalesce(F.get(starts, k + 1), F.size(all_)) - 1), lambda i: F.get(all_, i)))
 
-    def length(parts: Column, count: Column) -> Column:
-        return F.aggregate(F.slice(parts, F.lit(1), count), F.lit(0), lambda n, x: n + F.length(x))
+    def starts(all_: Column, reach: Column) -> Column:
+        """Where a match starts behind the ends of all before it."""
+        return F.filter(F.sequence(F.lit(0), F.size(all_) - 1),
+                        lambda i: (i == 0) | (F.get(all_, i)["from"] >= F.get(reach, i - 1)))
 
-    def span(match: Column, i: Column) -> Column:
-        start = length(gaps, i + 1) + length(matches, i)
-        return F.struct(
-            rule["label"].alias("label"), rule["priority"].alias("priority"), rule["place"].alias("place"),
-            start.alias("from"), (start + F.length(match)).alias("to"))
+    def kept(all_: Column) -> Column:
+        groups = _let(_running(F.transform(all_, lambda d: d["to"]), F.greatest),
+                      lambda reach: _let(starts(all_, reach), lambda s: group(all_, s)))
+        return F.flatten(F.transform(groups, lambda members: F.filter(
+            members, lambda d: ~F.exists(members, lambda o: _suppresses(o, d)))))
 
-    return F.transform(matches, span)
+    return F.when(F.size(found) > 0, _let(F.sort_array(found), kept)).otherwise(found)
 
 
 def _suppresses(other: Column, found: Column) -> Column:
