@@ -2,6 +2,12 @@
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+# Scripts without spaces between words, with their punctuation.
+UNSPACED = "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for first, last in [
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x2E80, 0x2FFF), (0x3001, 0x312F),
+    (0x31A0, 0x4DBF), (0x4E00, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF01, 0xFF9F),
+    (0x20000, 0x3FFFF)])
+
 QUALITY = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
@@ -24,14 +30,15 @@ m AS (
     coalesce(n, 0)::bigint AS n_repeat_words,
     length(regexp_replace(t, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g'))::bigint AS n_letters,
     length(regexp_replace(t, '[^A-Z]', '', 'g'))::bigint AS n_upper,
+    length(regexp_replace(t, '[^{UNSPACED}]', '', 'g'))::bigint AS n_unspaced,
     len(list_distinct(w))::bigint AS n_kinds,
     len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1]))::bigint AS n_stutter
   FROM d JOIN lines USING (row_id) LEFT JOIN covered USING (row_id))
-SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed_bits = 0 AS kept
+SELECT * EXCLUDE (n_unspaced), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failed_bits = 0 AS kept
 FROM (SELECT *,
     if(n_words < 20, 1, 0) + if(100 * n_repeat_words > 30 * n_words, 2, 0)
     + if(10 * n_symbols > 3 * n_words, 4, 0) + if(n_lines >= 4 AND 2 * n_dup_lines > n_lines, 8, 0)
-    + if(n_words > 0 AND word_chars < 2 * n_words, 16, 0) + if(word_chars > 30 * n_words, 32, 0)
+    + if(n_words > 0 AND word_chars < 2 * n_words, 16, 0) + if(word_chars > 30 * n_words AND 2 * n_unspaced <= n_letters, 32, 0)
     + if(2 * n_letters < word_chars, 64, 0)
     + if(n_words >= 20 AND 20 * n_kinds < n_words AND n_kinds < 10, 128, 0)
     + if(n_letters >= 40 AND 10 * n_upper > 7 * n_letters, 256, 0)
