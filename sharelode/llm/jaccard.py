@@ -465,8 +465,12 @@ def _full_sets(batches: Iterator[pa.RecordBatch], frequency: np.ndarray) -> Iter
 
 
 _LOW = np.uint64(0xFFFFFFFF)
-# More equal halves of different shingles than this do not meet in one pair.
-_CHANCE = 2
+
+
+def _chance(n: int, m: int) -> int:
+    """More equal halves of different shingles than this do not meet in a pair of sets of these sizes."""
+    expected = n * m / 2**32
+    return 2 + int(expected + 10 * expected**0.5)
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -500,7 +504,7 @@ def _likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
             needed = -(-(len(low_a) + len(low_b)) * percent // (100 + percent))
             if common >= needed:
                 keep.append(i)
-                sure.append(common > needed + _CHANCE)
+                sure.append(common > needed + _chance(len(low_a), len(low_b)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("a").take(pa.array(keep, pa.int64())), batch.column("b").take(pa.array(keep, pa.int64())),
              pa.array(sure, pa.bool_())], names=["a", "b", "sure"])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import cases
@@ -33,6 +34,14 @@ def test_large_groups_give_the_same(spark):
         assert cases.ordered(tuple(r) for r in found.collect()) == cases.ordered(cases.components(rows))
 
 
+def test_chance_grows_with_the_sets():
+    rng = np.random.default_rng(1)
+    assert jaccard._chance(600, 600) == 2
+    for n in (20_000, 200_000, 1_000_000):
+        a, b = (np.unique(rng.integers(0, 2**32, n, dtype=np.uint64)) for _ in "ab")
+        assert jaccard._common(a, b) <= jaccard._chance(len(a), len(b)) < 6 + n / 1000
+
+
 def test_empty_table_and_only_empty_texts(spark):
     assert jaccard.near_duplicates(cases.frame(spark, [])).count() == 0
     found = jaccard.near_duplicates(cases.frame(spark, [(4, ""), (5, None), (6, " ")])).collect()
