@@ -11,8 +11,9 @@ A shingle that is frequent and still among the first of many sets belongs to a l
 near copies. Only which documents hang together is asked for, so there not all pairs are
 compared: first members of such groups are compared with the group's smallest keys, which are
 the same ones in most groups of the same near copies and link most of them. What is not in a
-group's largest component by then is compared with some members of that, and what still is not
-with all of the group.
+group's largest component by then is held against the whole group, a block of sets at a time,
+and a pair leaves its task only if it shares enough of its first shingles under each order: first
+the few pairs of each set that share most, then, of what is still apart, all.
 """
 
 from __future__ import annotations
@@ -47,8 +48,12 @@ SMALL_GROUP = 128
 _PAIRS_AT_ONCE = 1 << 21
 # Of larger groups one in so many gives first comparisons, with so many of its members.
 GROUPS_APART, HEADS = 4, 4
-# Members of a group's largest component that each of its other members is compared with next.
-SLOTS = 8
+# Pairs that each set outside a group's largest component has in a block at first.
+FEW = 4
+# What a block of a large group holds: shingles of its sets, and so many more for each set.
+BLOCK_WEIGHT, SET_WEIGHT = 1 << 17, 128
+# Different shingles that a task counts at once.
+_COLUMNS = 1 << 12
 # Of the mixed keys of the second and the third order.
 _SEEDS = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
 
@@ -100,7 +105,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs = stored(
         counted.filter(_shares_enough(percent)).select("a", "b").unionByName(first).distinct(), "jaccard-pairs")
     members = dealt.filter("token is not null").select(
-        "token", F.col("a").alias("v"), F.col("n_a").alias("n"), "place", F.col("count").alias("size"))
+        "token", F.col("a").alias("v"), F.col("n_a").alias("n"))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).unionByName(members.select("v")).distinct()
     full = stored(
         rows.join(wanted.join(sets.select("v", "first"), "v"), F.col("doc_id") == F.col("first")).select("v", "text")
@@ -110,9 +115,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = _alike(pairs, full, percent)
     parts = connected(links)
     if not members.isEmpty():
-        for ask in (_some, lambda groups: _rest(groups, counted, percent)):
+        for few in (FEW, None):
             groups = _open_groups(members, parts)
-            more = stored(ask(groups), "jaccard-pairs")
+            more = _rest(groups, full, percent, few)
             links = links.unionByName(_alike(more, full, percent))
             parts = connected(links)
             free(groups, more)
@@ -128,20 +133,6 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return profiles.join(changed, "v", "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def _enough(n: Column, m: Column, percent: int) -> Column:
-    """Common shingles, times 100 + percent, that sets of these sizes need."""
-    return (n + m) * percent
-
-
-def _may_link(percent: int) -> Column:
-    """Whether a pair with a common shingle at these places can have enough in common."""
-    room = F.least("place", "place2") + 1 + F.least(F.col("n") - F.col("place") - 1, F.col("n2") - F.col("place2") - 1)
-    return (
-        (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent)
-        & (room * (100 + percent) >= _enough(F.col("n"), F.col("n2"), percent))
-    )
-
-
 def _open_groups(members: DataFrame, parts: DataFrame) -> DataFrame:
     """Members of the groups that have more than one component, with theirs (`c`) and the largest (`top`)."""
     labelled = stored(
@@ -156,40 +147,117 @@ def _open_groups(members: DataFrame, parts: DataFrame) -> DataFrame:
     return found
 
 
-def _some(groups: DataFrame) -> DataFrame:
-    """Pairs of what is outside a group's largest component with a few members of that.
+def _rest(open_groups: DataFrame, full: DataFrame, percent: int, few: int | None) -> DataFrame:
+    """Pairs of different components of a group that pass the filters of all orders.
 
-    Which ones depends on their keys alone, so groups of the same near copies name the same.
+    What is outside a group's largest component is put into blocks, and so is the whole group. A
+    task has one block of each and the first shingles of their sets, and counts what pairs share by
+    products of matrices. So no pair is a row before it has passed. A pair that shares several
+    large groups is taken from the one with the smallest number. With `few`, each set outside
+    gives no more pairs of a block than that, those that share most; without, all are given.
     """
-    some = (
-        groups.filter("c = top").groupBy("token", F.pmod(F.xxhash64("v"), F.lit(SLOTS)).alias("slot"))
-        .agg(F.min("v").alias("v2"))
-    )
-    return groups.filter("c <> top").join(some, "token").select(
-        F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct()
+    outside = F.col("c") != F.col("top")
+    weight = F.col("n") + SET_WEIGHT
+    blocks = lambda total: F.ceil(F.coalesce(F.sum(total), F.lit(0)) / BLOCK_WEIGHT)
+    sizes = stored(
+        open_groups.groupBy("token").agg(blocks(F.when(outside, weight)).alias("sides"), blocks(weight).alias("others")),
+        "jaccard-sizes")
+    groups = open_groups.groupBy("v").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    firsts = stored(
+        full.join(groups, "v").select("v", "tokens", "low", "levels")
+        .mapInArrow(lambda batches: _all_orders(batches, percent),
+                    "v long, tokens array<long>, first1 binary, first2 binary, first3 binary"), "jaccard-firsts")
+    placed = open_groups.join(sizes, "token").join(firsts, "v")
+
+    def dealt(rows: DataFrame, mine: str, their: str):
+        own = F.pmod(F.xxhash64("v"), F.col(f"{mine}s")).alias(mine)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{their}s") - 1)).alias(their)
+        # Columns anew, as both sides come from one table.
+        same = [F.col(x).alias(x) for x in ("token", "v", "n", "c", "tokens", "first1", "first2", "first3")]
+        return rows.select(own, every, outside.alias("outside"), *same).groupBy("token", "side", "other")
 
+    pairs = stored(
+        dealt(placed.filter(outside), "side", "other").cogroup(dealt(placed, "other", "side")).applyInArrow(
+            lambda side, other: _crossed(side, other, percent, few), "a long, b long").distinct(), "jaccard-pairs")
+    free(sizes, firsts)
+    return pairs
 
-def _rest(open_groups: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share enough of their first shingles.
 
-    They are found from the side that is not a group's largest. `counted` has what pairs share in
-    small groups.
+def _all_orders(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The first shingles of each set under all orders, by half hashes."""
+    for batch in batches:
+        made = [[], [], []]
+        for low, levels in zip(batch.column("low"), batch.column("levels")):
+            low, levels = np.frombuffer(low.as_buffer(), np.uint32), np.frombuffer(levels.as_buffer(), np.uint8)
+            for found, seed in zip(made, (0, *_SEEDS)):
+                found.append(_first_under(low, levels, seed, percent).tobytes())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("v"), batch.column("tokens"), *(pa.array(x, pa.binary()) for x in made)],
+            names=["v", "tokens", "first1", "first2", "first3"])
+
+
+def _crossed(side: pa.Table, other: pa.Table, percent: int, few: int | None) -> pa.Table:
+    """Pairs of a set of one block and a set of another that can be alike by the filters of all orders."""
+    def rows(name: str) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (table.column(name).to_numpy() for table in (side, other))
+        return a[:, None], b[None, :]
+
+    found = np.empty((0, 2), np.int64)
+    if side.num_rows and other.num_rows:
+        (v, v2), (n, n2), (c, c2) = rows("v"), rows("n"), rows("c")
+        good = (c != c2) & (~rows("outside")[1] | (v < v2))
+        good &= np.minimum(n, n2) * 100 >= np.maximum(n, n2) * percent
+        if few is None:
+            token = side.column("token")[0].as_py()
+            earlier = [[x[:np.searchsorted(x, token)] for x in table.column("tokens").to_numpy()]
+                       for table in (side, other)]
+            good &= _shared(*earlier) == 0
+        most = np.zeros(good.shape)
+        rest = -(-np.maximum(n, n2) * percent // 100) - 1
+        for name in ("first1", "first2", "first3"):
+            if not good.any():
+                break
+            halves = [[np.frombuffer(x.as_buffer(), np.uint32) for x in table.column(name)] for table in (side, other)]
+            shared = _shared(*halves)
+            good &= (shared + rest) * (100 + percent) >= (n + n2) * percent
+            most += shared / (n + n2)
+        if few is not None and few < other.num_rows:
+            most[~good] = -1
+            best = np.argpartition(-most, few - 1, axis=1)[:, :few]
+            chosen = np.zeros(good.shape, bool)
+            np.put_along_axis(chosen, best, True, axis=1)
+            good &= chosen
+        i, j = np.nonzero(good)
+        found = np.sort(np.stack([v[i, 0], v2[0, j]], axis=1), axis=1)
+    return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each array on the left shares with each on the right.
+
+    A value that is repeated in both counts more than once, which only makes the number larger.
     """
-    side = open_groups.filter("c <> top")
-    other = open_groups.select("token", F.col("v").alias("v2"), F.col("n").alias("n2"), F.col("place").alias("place2"),
-                               F.col("c").alias("c2"), (F.col("c") == F.col("top")).alias("is_top"))
-    swap = F.col("v") > F.col("v2")
-    return (
-        side.join(other, (side["token"] == other["token"]) & (F.col("c") != F.col("c2"))
-                  & (F.col("is_top") | (F.col("v") < F.col("v2"))) & _may_link(percent))
-        .select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b"),
-                F.when(swap, F.col("n2")).otherwise(F.col("n")).alias("n_a"),
-                F.when(swap, F.col("n")).otherwise(F.col("n2")).alias("n_b"))
-        .groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("large"))
-        .join(counted.select("a", "b", F.col("count").alias("small")), ["a", "b"], "left")
-        .withColumn("count", F.col("large") + F.coalesce("small", F.lit(0)))
-        .filter(_shares_enough(percent)).select("a", "b")
-    )
+    flat = [np.concatenate(x) for x in (left, right)]
+    values = np.intersect1d(*flat)
+    total = np.zeros((len(left), len(right)), np.int64)
+    cells = []
+    for arrays, all_of_them in zip((left, right), flat):
+        row = np.repeat(np.arange(len(arrays)), [len(x) for x in arrays])
+        at = np.searchsorted(values, all_of_them)
+        known = at < len(values)
+        known[known] = values[at[known]] == all_of_them[known]
+        order = np.argsort(at[known], kind="stable")
+        cells.append((row[known][order], at[known][order]))
+    for start in range(0, len(values), _COLUMNS):
+        width = min(_COLUMNS, len(values) - start)
+        parts = []
+        for arrays, (row, at) in zip((left, right), cells):
+            a, b = np.searchsorted(at, [start, start + width])
+            matrix = np.zeros((len(arrays), width), np.float32)
+            np.add.at(matrix, (row[a:b], at[a:b] - start), 1)
+            parts.append(matrix)
+        total += (parts[0] @ parts[1].T).astype(np.int64)
+    return total
 
 
 def _shares_enough(percent: int) -> Column:
@@ -442,8 +510,8 @@ def _grouped(table: pa.Table, percent: int, small_group: int) -> pa.Table:
         "n_a": column(pairs[:, 1], firsts[:, 1], n[large]),
         "b": column(pairs[:, 2], firsts[:, 2], None),
         "n_b": column(pairs[:, 3], firsts[:, 3], None),
-        "count": column(counts, None, size[large]),
-        "place": column(None, np.zeros(len(firsts), np.int64), place[large]),
+        "count": column(counts, None, None),
+        "place": column(None, np.zeros(len(firsts), np.int64), None),
     })
 
 
