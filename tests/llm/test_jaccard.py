@@ -57,3 +57,47 @@ def test_connected(spark, monkeypatch, per_task):
     expected = {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 300: 200}
     assert {r.node: r.component for r in found} == expected and len(found) == len(expected)
     assert components.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(3)
+    for columns in (1, 7, 4096):
+        left, right = ([rng.choice(200, rng.integers(0, 40), replace=False).astype(np.uint32) for _ in range(n)]
+                       for n in (9, 14))
+        before, jaccard._COLUMNS = jaccard._COLUMNS, columns
+        try:
+            found = jaccard._shared(left, right)
+        finally:
+            jaccard._COLUMNS = before
+        assert found.tolist() == [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert jaccard._shared([np.empty(0, np.uint32)], [np.array([5], np.uint32)]).tolist() == [[0]]
+
+
+@pytest.mark.parametrize("weight", [1 << 12, 1 << 17])
+def test_one_group_of_near_copies(spark, monkeypatch, weight):
+    """Many members link with few others only. In one block compared pairs are in proportion to the members.
+
+    The few pairs of a set are so many of each block, so small blocks give more (25,133 here).
+    """
+    monkeypatch.setattr(jaccard, "BLOCK_WEIGHT", weight)
+    asked = []
+    compare = jaccard._alike
+
+    def counted(pairs, full, percent):
+        asked.append(pairs.count())
+        return compare(pairs, full, percent)
+
+    monkeypatch.setattr(jaccard, "_alike", counted)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(500):
+        mine = list(base)
+        for at in rng.sample(range(100), rng.randrange(1, 4)):
+            mine[at] = f"x{rng.randrange(5)}"
+        rows.append((i, " ".join(mine)))
+    found = jaccard.near_duplicates(cases.frame(spark, rows), small_group=32)
+    assert cases.ordered(tuple(r) for r in found.collect()) == cases.ordered(cases.components(rows))
+    assert len(asked) == 3
+    if weight == 1 << 17:
+        assert sum(asked) < 40 * len(rows)
