@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sharelode.llm import jaccard, packing, quality, repeats
-from sharelode.llm.common import stored
+from sharelode.llm.common import passing, scratch_path, stored
 from sharelode.llm.queries import TOKENIZER, vocabulary
 
 _ROW = "_pipeline_row"
@@ -37,11 +37,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Rows get keys of their own, stored so that a task that runs again finds the same ones.
     keyed = stored(docs.withColumn(
         _ROW, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "pipeline-rows")
-    found = jaccard.near_duplicates(keyed, id_column=_ROW).select(F.col("doc_id").alias(_ROW), "component_id")
-    first = found.join(keyed.select(_ROW, "doc_id"), _ROW).groupBy("component_id").agg(
-        F.min(F.struct("doc_id", _ROW)).alias("first"))
-    kept = keyed.join(stored(first.select(f"first.{_ROW}"), "pipeline-first"), _ROW, "left_semi")
-    return kept.unionByName(keyed.filter(F.col(_ROW).isNull())).select(*docs.columns)
+    path = scratch_path(spark, "pipeline-gone")
+    with passing(spark):
+        found = jaccard.near_duplicates(keyed, id_column=_ROW).select(F.col("doc_id").alias(_ROW), "component_id")
+        named = found.join(keyed.select(_ROW, "doc_id"), _ROW).select(
+            "component_id", F.struct("doc_id", _ROW).alias("member"))
+        first = named.groupBy("component_id").agg(F.min("member").alias("first"), F.count("*").alias("members"))
+        # Those that go are fewer than those that stay, which spares the texts a shuffle as long as they fit a broadcast.
+        gone = stored(
+            named.join(first.filter("members > 1"), "component_id").filter("member > first")
+            .select(f"member.{_ROW}"), "pipeline-gone", path)
+    return keyed.join(gone, _ROW, "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +58,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     that consists of them becomes an empty text. An empty table gives an empty one.
     """
     # What is left belongs to the id and the words it was made from.
-    found = repeats.remove_repeats(docs, words_hash=True).filter("n_removed > 0")
-    changed = stored(
-        found.select("doc_id", F.col("words_sha256").alias(_WORDS), "kept").dropDuplicates(["doc_id", _WORDS]),
-        "pipeline-changed")
+    path = scratch_path(spark, "pipeline-changed")
+    with passing(spark):
+        found = repeats.remove_repeats(docs, words_hash=True).filter("n_removed > 0")
+        changed = stored(
+            found.select("doc_id", F.col("words_sha256").alias(_WORDS), "kept").dropDuplicates(["doc_id", _WORDS]),
+            "pipeline-changed", path)
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.coalesce("kept", "text")
     return docs.withColumn(_WORDS, F.sha2(F.array_join(words, " "), 256)).join(
