@@ -19,7 +19,7 @@ from sharelode.functions.times import bucket_start, month_key, to_epoch_ms
 from sharelode.operators import analytics, hashrate, lookup, members, messages
 from sharelode.plans import ingest, sums
 from sharelode.schemas import WALLET_KEY, WALLETS, WORKER_KEY, WORKERS
-from sharelode.session import configure, shared_dir
+from sharelode.session import configure, settle, shared_dir
 from sharelode.sinks import compaction, tables as sinks
 from sharelode.sinks.messages import publish_to_files, to_records
 from sharelode.sources import progress
@@ -622,8 +622,9 @@ def replay_progress(spark, sf_dir):
     read = first.unionByName(again).filter("(ingest_batch + partition) % 7 != 3")
     path = _scratch(spark, "progress")
     rows = progress.batch_progress(read, "ingest_batch")
-    sinks.replace_batch(rows).partitionBy("ingest_batch").parquet(path)
-    known = progress.read_progress(spark, path)
+    sinks.replace_batch(sinks.by_batch(rows)).partitionBy("ingest_batch").parquet(path)
+    # The files of all batches are opened once.
+    known = settle(progress.read_progress(spark, path).hint("rebalance"))
     listed = progress.breaks(known).groupBy("topic", "partition").agg(
         F.count_if(F.col("kind") == progress.GAP).alias("gaps"),
         F.count_if(F.col("kind") == progress.OVERLAP).alias("overlapping"),

@@ -24,6 +24,15 @@ def replace_batch(df: DataFrame) -> DataFrameWriter:
     return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
 
 
+def by_batch(rows: DataFrame) -> DataFrame:
+    """Rows of many batches, placed for the folders of these: a file for each, and all tasks write some.
+
+    Rows may be few beside the files they come to, so the number of tasks is given: by their
+    size adaptive execution would leave all folders to one task.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), BATCH)
+
+
 def create_tables(spark: SparkSession, shares: str, wallets: str, workers: str) -> None:
     """Make the tables that do not exist yet, without rows."""
     configure(spark)
