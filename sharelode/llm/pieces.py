@@ -19,16 +19,21 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sharelode.llm.common import MEMO_WORDS, as_bytes, list_array, only, slices
+from sharelode.llm.lattice import GAP, Lattice
 
 SPACE = "▁"
 # Characters between two looks for a common boundary.
 _STRIDE = 256
+# Words whose paths are found together.
+_TOGETHER = 1 << 14
 
 _RUNS = re.compile(rb" *[^ ]+| +")
 
@@ -38,8 +43,14 @@ def load(path: str) -> "Pieces":
     return Pieces(path)
 
 
-class Pieces:
-    """A merge vocabulary with its pieces' ids, scores and last merges."""
+@lru_cache(maxsize=4)
+def load_texts(path: str) -> "PieceTexts":
+    """What decoding needs, without the merges."""
+    return PieceTexts(path)
+
+
+class PieceTexts:
+    """A merge vocabulary with its pieces' ids, texts and scores."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -66,6 +77,22 @@ class Pieces:
         # Pieces in the order in which they are merged; equal scores have equal ranks.
         ranks = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
         self.rank = {i: ranks[s] for i, s in score.items()}
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
+        """The text of ids; ids outside the vocabulary have none."""
+        values = np.asarray(ids)
+        inside = (values >= 0) & (values < len(self.bytes_of))
+        if not inside.all():
+            values = values[inside]
+        raw = b"".join(map(self.bytes_of.__getitem__, values.tolist()))
+        return raw.removeprefix(b" ").decode("utf-8", "replace")
+
+
+class Pieces(PieceTexts):
+    """The same with the pieces' last merges, by which texts are cut."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
         self.split: dict[int, tuple[int, int] | None] = {}
         self.whole: dict[str, int] = {}  # pieces that their own string is merged to
         for piece, i in self.ids.items():
@@ -84,6 +111,11 @@ class Pieces:
             node[0] = i
         self.fits: dict[int, bool] = {}
         self.words: dict[bytes, bytes] = {}
+        halves = ((self.ids.get(p[:k]), self.ids.get(p[k:]), i) for p, i in self.ids.items() for k in range(1, len(p)))
+        self.lattice = Lattice(
+            ((i, list(map(ord, p))) for p, i in self.whole.items()), self.split, self.rank,
+            {a << 16 | b: self.rank[i] for a, b, i in halves if a is not None and b is not None})
+        self.id_of_byte = np.array(self.byte_ids, np.uint16)
 
     def merge(self, text: str) -> tuple[list[str], tuple[int, int] | None]:
         """The parts that merging a whole string by rank leads to, and the last merge's two ids."""
@@ -220,9 +252,15 @@ class Pieces:
         if len(self.fits) > 4 * MEMO_WORDS:
             self.fits.clear()
         words = [self._words(text) for text in texts]
-        found = [list(map(self.words.get, w)) for w in words]
-        self._learn({w for ws, ids in zip(words, found) if None in ids for w, i in zip(ws, ids) if i is None})
-        return [b"".join(ids if None not in ids else map(self.words.__getitem__, ws)) for ws, ids in zip(words, found)]
+        flat = list(chain.from_iterable(words))
+        ids = list(map(self.words.get, flat))
+        new = list(compress(range(len(flat)), map(is_, ids, repeat(None))))
+        if new:
+            self._learn(list(dict.fromkeys(map(flat.__getitem__, new))))
+            for i in new:
+                ids[i] = self.words[flat[i]]
+        ends = np.cumsum([len(ws) for ws in words]).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
     @staticmethod
     def _words(text: bytes) -> list[bytes]:
@@ -235,36 +273,47 @@ class Pieces:
         words = text.split(b" ")
         return [w[1:] for w in _RUNS.findall(b" " + text)] if b"" in words else words
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Remember the ids of words. Words in order share the paths of their common beginnings."""
-        texts = sorted((SPACE + w.decode("utf-8", "replace").replace(" ", SPACE), w) for w in words)
-        before, pieces, begins = "", [-1], [0]
-        for text, word in texts:
-            if SPACE in text[1:]:
-                # Runs of spaces have merges of equal rank, which only merging in order tells apart.
-                ids = []
-                for part in self.merge(text)[0]:
-                    i = self.ids.get(part)
-                    ids += [i] if i is not None else [self.byte_ids[b] for b in part.encode()]
-            elif len(text) > _STRIDE:
-                ids = self.viterbi(text)
-            else:
-                common = 0
-                for a, b in zip(before, text):
-                    if a != b:
-                        break
-                    common += 1
-                del pieces[common + 1:], begins[common + 1:]
-                self._advance(text, len(text), 0, pieces, begins)
-                ids = self._path(pieces, begins, 0, len(text))
-                before = text
-            self.words[word] = array("H", ids).tobytes()
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids; ids outside the vocabulary have none."""
-        table, size = self.bytes_of, len(self.bytes_of)
-        raw = b"".join([table[i] for i in ids if 0 <= i < size])
-        return raw.removeprefix(b" ").decode("utf-8", "replace")
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of words. Short words go through their lattices together."""
+        short = [w for w in words if len(w) < _STRIDE and b" " not in w]
+        if len(short) < len(words):
+            for word in words:
+                if len(word) >= _STRIDE or b" " in word:
+                    text = SPACE + word.decode("utf-8", "replace").replace(" ", SPACE)
+                    self.words[word] = array("H", self._ids(text)).tobytes()
+        for start in range(0, len(short), _TOGETHER):
+            self._learn_short(short[start:start + _TOGETHER])
+
+    def _ids(self, text: str) -> list[int]:
+        if SPACE not in text[1:]:
+            return self.viterbi(text)
+        # Runs of spaces have merges of equal rank, which only merging in order tells apart.
+        ids = []
+        for part in self.merge(text)[0]:
+            i = self.ids.get(part)
+            ids += [i] if i is not None else [self.byte_ids[b] for b in part.encode()]
+        return ids
+
+    def _learn_short(self, words: list[bytes]) -> None:
+        mark = b" " + SPACE.encode()
+        text = (mark + mark.join(words)).decode("utf-8", "replace")
+        symbols = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        symbols[symbols == ord(" ")] = GAP
+        cells, ids = self.lattice.paths(symbols)
+        counts = np.ones(len(cells), np.int64)
+        bare = np.flatnonzero(ids < 0)
+        if len(bare):
+            # Characters without a piece are their bytes.
+            alone = symbols[cells[bare]]
+            counts[bare] += (alone >= 1 << 7).astype(np.int64) + (alone >= 1 << 11) + (alone >= 1 << 16)
+            ids = np.repeat(ids, counts)
+            raw = alone.astype("<u4").tobytes().decode("utf-32-le").encode()
+            ids[ids < 0] = self.id_of_byte[np.frombuffer(raw, np.uint8)]
+        before = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.append(np.flatnonzero(symbols == GAP)[1:], len(symbols))
+        bounds = [0, *(2 * before[np.searchsorted(cells, ends)]).tolist()]
+        joined = ids.astype("<u2").tobytes()
+        self.words.update(zip(words, map(joined.__getitem__, map(slice, bounds, bounds[1:]))))
 
 
 def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -300,7 +349,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    model = load(path)
+    model = load_texts(path)
     for batch in batches:
         texts, counts, sums = [], [], []
         for i in range(batch.num_rows):
@@ -311,7 +360,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
                 sums.append(None)
                 continue
             values = ids.values.to_numpy(zero_copy_only=False)
-            texts.append(model.decode(values.tolist()))
+            texts.append(model.decode(values))
             counts.append(len(values))
             sums.append(zlib.crc32(values.astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays(
