@@ -24,7 +24,7 @@ class _Table:
     """Whole numbers from 0 to whole numbers, with open places, so that most lookups are one step."""
 
     def __init__(self, known: dict[int, int], missing: int):
-        bits = max(4, (2 * len(known)).bit_length())
+        bits = max(4, (4 * len(known)).bit_length())
         self.shift, self.missing = np.uint64(64 - bits), missing
         self.keys = np.full((1 << bits) + 1, -1, np.int64)
         self.values = np.full(len(self.keys), missing, np.int32)
@@ -143,7 +143,7 @@ class Lattice:
         gaps = symbols == GAP
         starts = np.flatnonzero(gaps)
         lengths = np.diff(np.append(starts, len(symbols))) - 1
-        cells = np.flatnonzero(~gaps)
+        cells = np.flatnonzero(~gaps).astype(np.int32)
         node = np.zeros(len(cells), np.int64)
         ending = []
         size = 0
@@ -154,9 +154,9 @@ class Lattice:
             cells, node = cells[live], node[live].astype(np.int64)
             piece = self.ends[node]
             has = np.flatnonzero(piece >= 0)
-            ending.append((cells[has], piece[has], np.full(len(has), size, np.int64)))
+            ending.append((cells[has], piece[has], np.full(len(has), size, np.int32)))
         last = np.full(len(symbols), -1, np.int32)
-        back = np.ones(len(symbols), np.int64)
+        back = np.ones(len(symbols), np.int32)
         if ending:
             cell, piece, width = (np.concatenate(x) for x in zip(*ending))
             column = (np.arange(len(symbols)) - np.repeat(starts, lengths + 1))[cell]

@@ -111,7 +111,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.Re
     bpe = load(tokenizer)
     end = END.to_bytes(2, "little")
     for batch in slices(batches):
-        ids = [i + end for i in bpe.encode([t or "" for t in batch.column(1).to_pylist()])]
+        ids = [i + end for i in bpe.encode_column(batch.column(1))]
         rows = [np.frombuffer(i, "<u2") for i in ids]
         yield pa.RecordBatch.from_arrays([
             batch.column(0), pa.array(ids, pa.binary()), pa.array([len(r) for r in rows], pa.int64()),

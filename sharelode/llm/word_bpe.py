@@ -1,11 +1,10 @@
 """Ids of a BPE vocabulary with word ends, by remembered parts of words.
 
 The tokenizer lower-cases, cuts at white space and by a pattern, and merges within the
-parts, so the ids of a text are those of its parts in a row. A worker remembers the ids of
-parts it has met, and merges new ones many at a time. Added tokens are found in the text as it is,
-before all else, and what is between two of them is encoded by itself. That holds for texts of plain letters,
-digits and punctuation; the words of other texts are left to the library if they are not
-plain themselves.
+parts, so the ids of a text are those of its parts in a row. The different words of many texts are cut
+once; a worker remembers the ids of parts it has met, and new ones go through their lattices together. Added
+tokens are found in the text as it is, before all else, and what is between two of them is encoded by itself.
+That holds for words of plain letters, digits and punctuation; other words are left to the library.
 """
 
 from __future__ import annotations
@@ -17,19 +16,26 @@ from itertools import chain, compress, repeat
 from operator import is_
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
+from sharelode.llm.lattice import GAP, Lattice
+
 MEMO_PARTS = 3 << 18
+# New parts whose paths are found together.
+_TOGETHER = 1 << 14
 
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-# The vocabulary's cutting pattern on lower-case text of the plain characters (fixed values).
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\x09-\\x0d ]+")
-_PLAIN_TEXT = re.compile("[!-~À-ÖØ-öø-ÿ\\x09-\\x0d ]*")
-_WORDS = re.compile("[^\\x09-\\x0d ]+")
+_PLAIN_LINES = re.compile("[!-~À-ÖØ-öø-ÿ\n]*")
+# The vocabulary's cutting pattern on lower-case text of the plain characters (fixed values), and ends of lines.
+_PARTS = re.compile("\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\\x09-\\x0d ]+")
 # Before a word that the library encodes; no part begins like that.
 _RAW = " "
-# Before an added token; no other part begins like that.
-_ADDED = "\n"
+# In place of ids after each word.
+_LINE_END = b"\xff\xff"
+# What is added to the last byte of a part.
+_LAST = 256
 _NEVER = np.int32(1 << 30)
 _SLOTS = 1 << 20
 
@@ -61,7 +67,7 @@ class WordBpe:
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
             raise ValueError("added tokens must be found in the text as it is")
         vocabulary, end = model["vocab"], model["end_of_word_suffix"]
-        if max([*vocabulary.values(), *(t["id"] for t in added)]) >= 1 << 16:
+        if max([*vocabulary.values(), *(t["id"] for t in added)]) >= 0xFFFF:
             raise ValueError("ids must fit in 16 bits")
         letters = _byte_letters()
         self.inner = np.array([vocabulary[c] for c in letters], np.int32)
@@ -70,12 +76,32 @@ class WordBpe:
         keys = np.array([vocabulary[a] << 16 | vocabulary[b] for a, b in pairs], np.int64)
         self.made = np.array([vocabulary[a + b] for a, b in pairs], np.int32)
         self._hash(keys)
+        self.lattice = self._lattice(keys)
         self.parts: dict[str, bytes] = {}
         # At one place the longest added token counts.
         self.literals = sorted((t["content"] for t in added), key=len, reverse=True)
-        self.added = {_ADDED + t["content"]: t["id"].to_bytes(2, "little") for t in added}
+        self.added = {t["content"]: t["id"].to_bytes(2, "little") for t in added}
         self.between = re.compile(f"({'|'.join(map(re.escape, self.literals))})")
 
+    def _lattice(self, keys: np.ndarray) -> Lattice | None:
+        """The lattice of the merges; none if a piece has two merges, or a merge comes before those that it needs."""
+        left, right, ranks = keys >> 16, keys & 0xFFFF, np.arange(len(keys))
+        symbols = {int(i): (b,) for b, i in enumerate(self.inner)} | {int(i): (b + _LAST,) for b, i in enumerate(self.last)}
+        split: dict[int, tuple[int, int] | None] = dict.fromkeys(symbols)
+        for a, b, i in zip(left.tolist(), right.tolist(), self.made.tolist()):
+            if i in split or a not in split or b not in split:
+                return None
+            symbols[i], split[i] = symbols[a] + symbols[b], (a, b)
+        rank = dict(zip(self.made.tolist(), ranks.tolist()))
+        joined = dict(zip(keys.tolist(), ranks.tolist()))
+        # Pieces that their own bytes are merged to.
+        apart = Lattice([], split, rank, joined).undone(left, right, 2 * ranks)
+        whole = {i for i, parts in split.items() if parts is None}
+        for ok, i in zip(apart.tolist(), self.made.tolist()):
+            if ok and whole.issuperset(split[i]):
+                whole.add(i)
+        return Lattice(((i, symbols[i]) for i in whole), split, rank, joined)
+
     def _hash(self, keys: np.ndarray) -> None:
         """Pairs to their ranks in a table with open places, so that most lookups are one step."""
         self.slot_keys = np.full(_SLOTS + 64, -1, np.int64)
@@ -90,48 +116,98 @@ class WordBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        return self.encode_column(pa.array(texts, pa.string()))
+
+    def encode_column(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of each text; a null one has none."""
         if len(self.parts) > MEMO_PARTS:
             self.parts.clear()
-        self.parts.update(self.added)
-        cut = [self._cut(text) for text in texts]
-        flat = list(chain.from_iterable(cut))
-        ids = list(map(self.parts.get, flat))
-        new = list(compress(range(len(flat)), map(is_, ids, repeat(None))))
+        texts = pc.fill_null(texts, "")
+        marked = np.zeros(len(texts), bool)
+        for literal in self.literals:
+            marked |= pc.match_substring(texts, literal).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._encode_plain(texts)
+        found: list[bytes] = [b""] * len(texts)
+        rows = np.flatnonzero(~marked)
+        for row, ids in zip(rows.tolist(), self._encode_plain(texts.take(pa.array(rows)))):
+            found[row] = ids
+        for row in np.flatnonzero(marked).tolist():
+            pieces = self.between.split(texts[row].as_py())
+            ids = self._encode_plain(pa.array(pieces[::2], pa.string()))
+            found[row] = b"".join(chain(*zip(ids, [self.added[p] for p in pieces[1::2]]), ids[-1:]))
+        return found
+
+    def _encode_plain(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of texts without added tokens."""
+        words = pc.ascii_split_whitespace(texts)
+        each = words.flatten().dictionary_encode()
+        ids = self._word_ids(each.dictionary).take(each.indices)
+        # The ids of all words in a row; the words of a text are neighbours.
+        offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset:ids.offset + len(ids) + 1]
+        data = ids.buffers()[2]
+        joined = data.to_pybytes() if data is not None else b""
+        lengths = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+        bounds = offsets[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+        return [joined[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def _word_ids(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of words without white space; an empty one has none."""
+        if not len(words):
+            return pa.array([], pa.large_binary())
+        lines = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), "\n")[0].as_py() + "\n"
+        if _PLAIN_LINES.fullmatch(lines):
+            parts = _PARTS.findall(lines.lower())
+        else:
+            # A word that is not plain is one part.
+            each = lines.split("\n")[:-1]
+            plain = [not w or _PLAIN.fullmatch(w) is not None for w in each]
+            cut = iter(_PARTS.findall("\n".join([*compress(each, plain), ""]).lower()))
+            parts = []
+            for word, p in zip(each, plain):
+                if p:
+                    parts += iter(cut.__next__, "\n")
+                else:
+                    parts.append(_RAW + word)
+                parts.append("\n")
+        self.parts["\n"] = _LINE_END
+        ids = list(map(self.parts.get, parts))
+        new = list(compress(range(len(parts)), map(is_, ids, repeat(None))))
         if new:
-            self._learn({flat[i] for i in new})
+            self._learn(list(dict.fromkeys(map(parts.__getitem__, new))))
             for i in new:
-                ids[i] = self.parts[flat[i]]
-        ends = np.cumsum([len(c) for c in cut]).tolist()
-        return [b"".join(ids[end - len(c):end]) for c, end in zip(cut, ends)]
-
-    def _cut(self, text: str) -> list[str]:
-        if not any(a in text for a in self.literals):
-            return self._cut_between(text)
-        parts = []
-        for i, piece in enumerate(self.between.split(text)):
-            parts += [_ADDED + piece] if i % 2 else self._cut_between(piece)
-        return parts
-
-    @staticmethod
-    def _cut_between(text: str) -> list[str]:
-        if _PLAIN_TEXT.fullmatch(text):
-            return _PARTS.findall(text.lower())
-        parts = []
-        for word in _WORDS.findall(text):
-            parts += _PARTS.findall(word.lower()) if _PLAIN.fullmatch(word) else [_RAW + word]
-        return parts
-
-    def _learn(self, new: set[str]) -> None:
+                ids[i] = self.parts[parts[i]]
+        flat = np.frombuffer(b"".join(ids), "<u2")
+        line_end = flat == int.from_bytes(_LINE_END, "little")
+        ends = np.flatnonzero(line_end)
+        offsets = np.concatenate([[0], 2 * (ends - np.arange(len(ends)))])
+        buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat[~line_end].tobytes())]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), buffers)
+
+    def _learn(self, new: list[str]) -> None:
         raw = [p for p in new if p[0] == _RAW]
-        own = [p for p in new if p[0] != _RAW] if raw else list(new)
-        if own:
-            self.parts.update(zip(own, self._merge([p.encode() for p in own])))
+        own = [p for p in new if p[0] != _RAW] if raw else new
+        for start in range(0, len(own), _TOGETHER):
+            some = own[start:start + _TOGETHER]
+            self.parts.update(zip(some, self._paths(some) if self.lattice else self._merge([p.encode() for p in some])))
         for start in range(0, len(raw), 1024):
             some = raw[start:start + 1024]
             found = self.library.encode_batch_fast([p[1:] for p in some], add_special_tokens=False)
             for part, encoded in zip(some, found):
                 self.parts[part] = np.array(encoded.ids, "<u2").tobytes()
 
+    def _paths(self, parts: list[str]) -> list[bytes]:
+        raw = np.frombuffer(f" {' '.join(parts)}".encode(), np.uint8)
+        symbols = raw.astype(np.int64)
+        gaps = raw == ord(" ")
+        symbols[np.append(gaps[1:], True)] += _LAST
+        symbols[gaps] = GAP
+        cells, ids = self.lattice.paths(symbols)
+        ends = np.append(np.flatnonzero(gaps)[1:], len(symbols))
+        bounds = [0, *(2 * np.searchsorted(cells, ends)).tolist()]
+        joined = ids.astype("<u2").tobytes()
+        return list(map(joined.__getitem__, map(slice, bounds, bounds[1:])))
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of two symbols side by side; a symbol of -1 has none."""
         keys = left.astype(np.int64) << 16 | right
