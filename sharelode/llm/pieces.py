@@ -34,6 +34,8 @@ SPACE = "▁"
 _STRIDE = 256
 # Words whose paths are found together.
 _TOGETHER = 1 << 14
+# Rows that are decoded at once.
+_DECODED_ROWS = 1 << 10
 
 _RUNS = re.compile(rb" *[^ ]+| +")
 
@@ -350,7 +352,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = load_texts(path)
-    for batch in batches:
+    for batch in (b.slice(a, _DECODED_ROWS) for b in batches for a in range(0, b.num_rows, _DECODED_ROWS)):
         texts, counts, sums = [], [], []
         for i in range(batch.num_rows):
             ids = batch.column(1)[i]

@@ -56,3 +56,16 @@ def test_ids_outside_the_vocabulary_have_no_text():
     ids = LIBRARY.encode("some text")
     assert model.decode([-1, *ids, 1 << 16]) == model.decode(np.array(ids)) == "some text"
     assert model.decode([]) == ""
+
+
+def test_decoding_in_parts_of_a_batch(spark, monkeypatch):
+    import cases
+
+    rows = [(i, None if i % 7 == 0 else f"text {i} é") for i in range(50)]
+    model = pieces.PieceTexts(PATH)
+    monkeypatch.setattr(pieces, "load_texts", lambda _: model)
+    monkeypatch.setattr(pieces, "_DECODED_ROWS", 8)
+    encoded = pieces.encode(cases.frame(spark, rows), PATH).coalesce(1).toArrow().to_batches()
+    found = list(pieces._decoded(iter(encoded), PATH))
+    assert max(b.num_rows for b in found) == 8
+    assert [(r["doc_id"], r["text"]) for b in found for r in b.to_pylist()] == rows
