@@ -8,7 +8,8 @@ each prefix of the text there is one such path, and a back pointer to where its
 piece starts. A new piece starts at most one piece length back, so only the paths of these last
 prefixes survive; ids are committed up to the last boundary which all of them share, and
 what lies before it is forgotten. No piece goes on over the start of a word, so paths
-always meet there, and the ids of a word are remembered.
+always meet there, and the ids of a word are remembered. Short words that are new go
+through their lattices together (`lattice.py`); longer ones are searched one by one.
 """
 
 from __future__ import annotations
@@ -80,13 +81,10 @@ class PieceTexts:
         ranks = {s: r for r, s in enumerate(sorted(set(score.values()), reverse=True))}
         self.rank = {i: ranks[s] for i, s in score.items()}
 
-    def decode(self, ids: list[int] | np.ndarray) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of ids; ids outside the vocabulary have none."""
-        values = np.asarray(ids)
-        inside = (values >= 0) & (values < len(self.bytes_of))
-        if not inside.all():
-            values = values[inside]
-        raw = b"".join(map(self.bytes_of.__getitem__, values.tolist()))
+        table, size = self.bytes_of, len(self.bytes_of)
+        raw = b"".join([table[i] for i in ids if 0 <= i < size])
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
@@ -362,7 +360,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
                 sums.append(None)
                 continue
             values = ids.values.to_numpy(zero_copy_only=False)
-            texts.append(model.decode(values))
+            texts.append(model.decode(values.tolist()))
             counts.append(len(values))
             sums.append(zlib.crc32(values.astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays(
